@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_cascade",)
+MODULES = ("quality_cascade", "pii")
 
 
 def queries() -> dict:
