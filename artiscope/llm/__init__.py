@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "pii", "token_count", "quality_cascade", "url_filters")
+MODULES = ("packing", "pii", "toxicity", "token_count", "quality_cascade", "url_filters")
 
 
 def queries() -> dict:
