@@ -61,7 +61,7 @@ class Model:
         return sum(self.weights.get(f, 0.0) for f in features(w))
 
 
-def distinct_documents(docs: list[np.ndarray], bands: int = 4, rows: int = 3) -> list[np.ndarray]:
+def distinct_documents(docs: list[np.ndarray], bands: int = 6, rows: int = 8) -> list[np.ndarray]:
     """Without near copies of earlier documents, which would make the words of one text look like evidence from many."""
     seen: set = set()
     out = []
@@ -70,7 +70,7 @@ def distinct_documents(docs: list[np.ndarray], bands: int = 4, rows: int = 3) ->
         if not len(d):
             continue
         x = d.astype(np.uint64)
-        low = [int(((x ^ (x << np.uint64(17))) * m >> np.uint64(11)).min()) for m in mix]
+        low = [int((((y := x * m + (m >> np.uint64(7))) ^ (y >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).min()) for m in mix]
         keys = {(b, *low[b * rows : (b + 1) * rows]) for b in range(bands)}
         if not keys & seen:
             out.append(d)

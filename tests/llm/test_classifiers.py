@@ -17,7 +17,7 @@ def make(n=600, seed=4):
         toxic, bad = k % 5 == 0, k % 4 == 1
         lines = [" ".join(rng.choice(WORDS) for _ in range(9)).capitalize() + "." for _ in range(5)]
         if toxic:
-            lines[2] = f"You {rng.choice(['grubling', 'snotface'])} there."
+            lines[4] = f"You {rng.choice(['grubling', 'snotface'])} there."
         if bad:
             for j in (1, 2, 3):
                 lines[j] = " | ".join(rng.choice(WORDS) + "***" for _ in range(6))
