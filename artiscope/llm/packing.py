@@ -36,15 +36,15 @@ from artiscope.llm._scratch import cut, table
 
 CAPACITY = 2048
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 3, 5, 6
-#: Words whose ids a worker remembers, and characters of text that it splits at a time.
-CACHE_WORDS, BLOCK = 400_000, 1 << 20
+#: Stretches (of 64 characters or less) whose ids a worker remembers, and characters of text that it works on at a time.
+CACHE_WORDS, BLOCK = 1_500_000, 1 << 21
 
 #: Text for which splitting here equals the tokenizer's own: no characters that its normalizer would compose or treat unlike str.lower.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-įı-ȳ]*")
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes; each distinct word is encoded once."""
+    """Ids of texts as little-endian unsigned 32-bit bytes; each distinct stretch between white space is encoded once."""
 
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
@@ -57,21 +57,38 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.split = regex.compile(self.SPLIT).findall
         self.known: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word of the split
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def stretches(self, new: list[str]) -> list[bytes]:
+        """Ids of each stretch, from one call for all: every word of the split ends with one id that says so."""
+        raw = self.whole([" ".join(new)])[0]
+        stop = np.concatenate([[0], 4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)])
+        upto = np.concatenate([[0], np.cumsum([len(self.split(t)) for t in new])])
+        if upto[-1] != len(stop) - 1 or stop[-1] != len(raw):
+            return self.whole(new)
+        cuts = stop[upto].tolist()
+        return [raw[x:y] for x, y in zip(cuts, cuts[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [_PLAIN.fullmatch(t) is not None for t in texts]
-        words = [self.split(t.lower()) if ok else () for t, ok in zip(texts, plain)]
+        words = [t.lower().split() if ok else () for t, ok in zip(texts, plain)]
         new = list(set(chain.from_iterable(words)).difference(self.known))
         if new:
             if len(self.known) + len(new) > CACHE_WORDS:
                 self.known.clear()
                 new = list(set(chain.from_iterable(words)))
-            self.known.update(zip(new, self.whole(new)))
+            self.known.update(zip(new, self.stretches(new)))
         get = self.known.__getitem__
-        return [b"".join(map(get, w)) if ok else self.whole([t])[0] for t, w, ok in zip(texts, words, plain)]
+        out = [b"".join(map(get, w)) if ok else self.whole([t])[0] for t, w, ok in zip(texts, words, plain)]
+        for w in new:
+            if len(w) > 64:
+                del self.known[w]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
