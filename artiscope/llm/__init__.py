@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("line_crf", "packing", "pii", "toxicity", "token_count", "quality_cascade", "url_filters")
+MODULES = ("decontaminate", "line_crf", "packing", "pii", "toxicity", "token_count", "quality_cascade", "url_filters")
 
 
 def queries() -> dict:
