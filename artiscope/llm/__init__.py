@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "jaccard_groups", "line_crf", "packing", "pii", "toxicity", "token_count", "quality_cascade", "url_filters")
+MODULES = ("bwt_dedup", "decontaminate", "jaccard_groups", "line_crf", "packing", "pii", "toxicity", "token_count", "quality_cascade", "url_filters")
 
 
 def queries() -> dict:
