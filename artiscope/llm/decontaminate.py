@@ -36,7 +36,7 @@ from artiscope.llm._scratch import table
 K1, B = 1.2, 0.75
 #: Share of an item's score against itself that a passage must reach to be looked at, and share of its shingles to be a leak.
 THRESHOLD, OVERLAP, SHINGLE = 0.5, 0.8, 5
-SHARD_ITEMS, BLOCK_ITEMS = 1024, 8
+SHARD_ITEMS, BLOCK_ITEMS = 1024, 2
 #: Characters of text that are worked on together.
 CHUNK = 1 << 20
 _WORDS = re.compile(r"[^\W_]+").findall
