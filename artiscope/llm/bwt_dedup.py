@@ -36,8 +36,8 @@ from artiscope.llm._scratch import cut, table
 LENGTH, GRAM, SYMBOL = 200, 64, 8
 REACH = LENGTH - GRAM + 1
 #: Bytes of text that are hashed together, bytes of segments that are refined together, segments of an anchor in one task.
-BLOCK, REFINE, GROUP = 1 << 21, 1 << 22, 4096
-LONG_TEXT = 1 << 22
+BLOCK, REFINE, GROUP = 1 << 17, 1 << 22, 4096
+LONG_TEXT = 1 << 18
 BITS = 24
 
 _TABLE = np.frombuffer(b"".join(hashlib.blake2b(bytes([k]), digest_size=8).digest() for k in range(256)), "<u8").copy()

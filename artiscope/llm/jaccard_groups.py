@@ -7,10 +7,11 @@ finds all that could link, and everything else is alone.
 Nodes that share their most shared token form groups; a group has a centre, the node whose tokens are most
 shared. First each node is compared with its group's centre only: near copies of one text are mostly
 connected by that, with a link each. Then the token-group matrix does the rest: groups are split to a
-bounded number of members, each with the union of its members' tokens; a query node meets a group only if
-they share an index token and aren't connected yet, the group is opened only if the query's overlap with
-the union could make a link, and then all its members are counted at once. No pair that could link is left
-out; pairs that are connected already are not looked at.
+bounded number of members, each with the union of its members' tokens (by bucket of hash values); a query
+node meets a group only if they share an index token and aren't connected yet, the group is opened only if
+the query's overlap with the union leaves room for a link, and then all its members are compared at once.
+Pairs that the bounds leave are counted exactly. No pair that could link is left out; pairs that are
+connected already are not looked at.
 
 Results for odd input: null and empty texts have no tokens and link with nothing. Rows with one id are one
 document; a null id links with nothing and has a null component. Extra columns are ignored by ``join`` and
@@ -29,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from artiscope.llm._scratch import cut, drop, free_name, table
+from artiscope.llm._scratch import cut, table
+from artiscope.llm._worker import claim
 from artiscope.llm.components import components
 
 #: Members of a group, queries that meet it in one task, bits of the tables of common tokens and of candidate ids.
 GROUP, QUERIES_PER_TASK, BITS = 256, 512, 24
 #: A token counts as common if this many of one in so many documents have it. It only orders the tokens.
 COMMON, ONE_IN = 4, 32
+MIN_BUCKETS = 256
 DROP_BROADCAST = 500_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -48,7 +51,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
-            if len(self) > 500_000:
+            if len(self) > 200_000:
                 self.clear()
             self[word] = value
         return value
@@ -65,6 +68,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def tokens(text: str | None, n: int) -> np.ndarray:
     """The set of a text as sorted 64-bit numbers: its n-grams of words, or all words as one where there are fewer."""
+    claim("jaccard", _HASHES.clear)
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -123,8 +127,8 @@ def scan_sets(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray) -
         bits = shared.value
         for batch in batches:
             sizes, one, two, prefix = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = tokens(text, n)
+            for text in batch.column(1):
+                s = tokens(text.as_py(), n)
                 sizes.append(len(s))
                 one.append(int(_mix(s).sum(dtype=np.uint64)))
                 two.append(int(_mix(s * _M3).sum(dtype=np.uint64)))
@@ -139,33 +143,81 @@ def scan_sets(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray) -
     return docs.mapInArrow(run, _SETS)
 
 
-def candidate_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and text of the candidates, and of the few others that the bit table can't tell from them."""
+def sketch(s: np.ndarray) -> bytes:
+    """One byte for each bucket of hash values: the sum of its tokens' bytes. Sets differ at least as often as their sketches do.
+
+    The number of buckets is a power of two and grows with the set; adding the halves of a sketch gives the
+    sketch with half as many.
+    """
+    m = MIN_BUCKETS
+    while 2 * m < len(s):
+        m *= 2
+    bucket = (s & np.uint64(m - 1)).astype(np.int64)
+    return np.bincount(bucket, weights=(_mix(s) >> np.uint64(56)).astype(float), minlength=m).astype(np.int64).astype(np.uint8).tobytes()
+
+
+def _fold(sketches: np.ndarray, m: int) -> np.ndarray:
+    while sketches.shape[-1] > m:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] + sketches[..., half:]
+    return sketches
+
+
+def room(a, b, num: int, den: int):
+    """Tokens that linked sets of sizes a and b may differ in at most."""
+    return (den - num) * (a + b) // (den + num)
+
+
+def candidate_texts(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """node, text, set size and sketch of the candidates, and of the few others that the bit table can't tell from them."""
     bits = docs.sparkSession.sparkContext.broadcast(_bit_rows(nodes.select(F.shiftrightunsigned(F.xxhash64("node"), 64 - BITS).alias("slot"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mask = pa.array(_has(bits.value, batch.column(2).to_numpy(zero_copy_only=False)), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pc.filter(batch.column(k), mask) for k in (0, 1)], names=["node", "text"])
+            node, text = (pc.filter(batch.column(k), mask) for k in (0, 1))
+            size, own = [], []
+            for t in text:
+                s = tokens(t.as_py(), n)
+                size.append(len(s))
+                own.append(sketch(s))
+            yield pa.RecordBatch.from_arrays([node, text, pa.array(size, pa.int64()), pa.array(own, pa.binary())], names=["node", "text", "size", "sketch"])
 
     fed = docs.where("id is not null").select("id", "text", F.shiftrightunsigned(F.xxhash64("id"), 64 - BITS).alias("slot"))
-    return fed.mapInArrow(run, "node long, text string")
+    return fed.mapInArrow(run, "node long, text string, size long, sketch binary")
 
 
-def star_links(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link; b is a centre that many pairs may have."""
+def near_pairs(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches leave room for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, x, nb, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
+                m = min(len(x), len(y))
+                keep.append(den * min(na, nb) >= num * max(na, nb) and int((_fold(np.frombuffer(x, np.uint8), m) != _fold(np.frombuffer(y, np.uint8), m)).sum()) <= room(na, nb, num, den))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([pc.filter(batch.column(k), mask) for k in (0, 1)], names=["a", "b"])
+
+    left = texts.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("x"))
+    right = texts.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "x", "nb", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def exact_links(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link; many pairs may have one b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, np.ndarray] = {}
         for batch in batches:
             hit = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                centre = known.get(y)
-                if centre is None:
+                other = known.get(y)
+                if other is None:
                     if len(known) >= 64:
                         known.clear()
-                    centre = known[y] = tokens(y, n)
-                hit.append(links(tokens(x, n), centre, num, den))
+                    other = known[y] = tokens(y, n)
+                hit.append(links(tokens(x, n), other, num, den))
             mask = pa.array(hit, pa.bool_())
             yield pa.RecordBatch.from_arrays([pc.filter(batch.column(k), mask) for k in (0, 1)], names=["a", "b"])
 
@@ -174,35 +226,42 @@ def star_links(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def open_groups(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links of queries with members. rows: group, chunk, part, query (whether it is one), node, text; one task's share is a group and a part of its queries."""
+def open_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of a query and a member that leave room for a link. rows: group, chunk, part, query (whether it is one), node, size, sketch.
+
+    A task holds a group and a part of its queries. The matrix is the group's union by bucket: which bytes
+    its members have there. In a bucket where the union lacks the query's byte, the query differs from every
+    member; if there are too many such buckets for any link, the group stays shut.
+    """
 
     def run(got: pa.Table) -> pa.Table:
-        node, is_query, text = got["node"].to_numpy(), got["query"].to_numpy(), got["text"].to_pylist()
-        members = [(v, s) for v, q, t in zip(node, is_query, text) if not q and len(s := tokens(t, n))]
+        node, is_query, size = got["node"].to_numpy(), got["query"].to_numpy(zero_copy_only=False), got["size"].to_numpy()
+        raw = got["sketch"].to_pylist()
+        width = np.array([len(x) for x in raw])
         out_a, out_b = [], []
-        if members:
-            ids = np.array([v for v, _ in members])
-            sizes = np.array([len(s) for _, s in members])
-            flat = np.concatenate([s for _, s in members])
-            order = np.argsort(flat, kind="stable")
-            union, first = np.unique(flat[order], return_index=True)  # the group's tokens
-            owner = np.repeat(np.arange(len(members)), sizes)[order]  # and who has each
-            ends = np.append(first[1:], len(flat))
-            for v, q, t in zip(node, is_query, text):
-                if not q or not len(s := tokens(t, n)):
+        asks = np.flatnonzero(is_query & (size > 0))
+        for m in np.unique(width[asks]).tolist():
+            for w in np.unique(width[~is_query]).tolist():
+                small = min(m, w)
+                members = np.flatnonzero(~is_query & (width == w) & (size > 0))
+                if not len(members):
                     continue
-                at = np.searchsorted(union, s)
-                at[at == len(union)] = 0
-                at = at[union[at] == s]
-                if den * len(at) < num * len(s):
-                    continue  # the union's overlap is too small for any member
-                lo, size = first[at], ends[at] - first[at]
-                spot = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-                inter = np.bincount(owner[spot], minlength=len(members))
-                hit = ids[(den * inter >= num * (sizes + len(s) - inter)) & (ids != v)]
-                out_a += [v] * len(hit)
-                out_b += hit.tolist()
+                matrix = _fold(np.frombuffer(b"".join(raw[k] for k in members), np.uint8).reshape(len(members), w), small)
+                union = np.zeros((small, 256), bool)
+                union[np.arange(small)[None, :], matrix] = True
+                sizes = size[members]
+                for k in asks[width[asks] == m].tolist():
+                    fits = (den * np.minimum(sizes, size[k]) >= num * np.maximum(sizes, size[k])) & (node[members] != node[k])
+                    if not fits.any():
+                        continue
+                    mine = _fold(np.frombuffer(raw[k], np.uint8), small)
+                    if small - int(union[np.arange(small), mine].sum()) > room(int(sizes[fits].max()), int(size[k]), num, den):
+                        continue
+                    at = np.flatnonzero(fits)
+                    differ = (matrix[at] != mine).sum(axis=1)
+                    hit = node[members[at[differ <= room(sizes[at], size[k], num, den)]]]
+                    out_a += [node[k]] * len(hit)
+                    out_b += hit.tolist()
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return rows.groupBy("group", "chunk", "part").applyInArrow(run, "a long, b long")
@@ -224,7 +283,13 @@ def _matrix_links(shared: DataFrame, groups: DataFrame, labels: DataFrame, texts
     parts = meet.groupBy("group", "chunk").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).cast("int").alias("parts"))
     asked = meet.join(parts, ["group", "chunk"]).select("group", "chunk", F.pmod(F.xxhash64("q"), "parts").cast("int").alias("part"), F.lit(True).alias("query"), F.col("q").alias("node"))
     held = groups.join(parts, ["group", "chunk"]).select("group", "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("query"), "node")
-    return open_groups(asked.unionByName(held).join(texts, "node").select("group", "chunk", "part", "query", "node", "text"), n, num, den)
+    rows = asked.unionByName(held).join(texts.select("node", "size", "sketch"), "node")
+    near = open_groups(rows.select("group", "chunk", "part", "query", "node", "size", "sketch"), num, den)
+    # one direction of each pair is enough, and only of what isn't connected
+    side = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
+    near = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(side, "a", "left").join(side.toDF("b", "cb"), "b", "left")
+    near = cut(near.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), "jaccard-near")
+    return exact_links(near, texts, n, num, den)
 
 
 def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,15 +298,16 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str
     sets = cut(scan_sets(fed, n, num, den, common_tokens(fed, n)), "jaccard-sets")
     nodes = cut(sets.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("node"), F.min_by("prefix", "id").alias("prefix")), "jaccard-nodes")
     # rows of one id with different sets are one document
-    index = nodes.select("node", "n", F.explode("prefix").alias("t")).distinct()
+    index = nodes.select("node", "n", F.explode("prefix").alias("t"))
     often = index.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     shared = cut(index.join(often, "t"), "jaccard-index")
     popular = shared.groupBy("node").agg(F.sum("df").alias("pop"), F.max(F.struct("df", "t"))["t"].alias("group"))
     size = popular.groupBy("group").agg(F.count("*").alias("k"), F.max_by("node", F.struct("pop", -F.col("node"))).alias("centre"))
     groups = cut(popular.join(size, "group").select("node", "group", "centre", F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / GROUP)).cast("int").alias("chunk")), "jaccard-groups")
-    texts = cut(candidate_texts(fed, groups), "jaccard-texts")
+    texts = cut(candidate_texts(fed, groups, n), "jaccard-texts")
 
-    stars = cut(star_links(groups.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")), texts, n, num, den), "jaccard-stars")
+    pairs = near_pairs(groups.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")), texts, num, den)
+    stars = cut(exact_links(pairs, texts, n, num, den), "jaccard-stars")
     labels = components(stars, "jaccard-comp")
     more = _matrix_links(shared, groups.select("node", "group", "chunk"), labels, texts, n, num, den)
     if more is not None:

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from artiscope.llm._scratch import cut, table
+from artiscope.llm._worker import claim
 
 CAPACITY = 2048
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 3, 5, 6
@@ -100,6 +101,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
     kind = fed.schema[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing", _ENCODERS.clear)
         enc = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, Encoder(tokenizer_path))
         step = 4 * capacity
         for batch in batches:

@@ -1 +1 @@
-
+"""Plans: whole queries made of operators."""

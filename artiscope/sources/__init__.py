@@ -1 +1 @@
-
+"""Where rows come from: text tables, file trees, archives."""

@@ -1 +1 @@
-
+"""Incremental scans."""
