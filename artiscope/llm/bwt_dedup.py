@@ -36,7 +36,7 @@ from artiscope.llm._scratch import cut, table
 LENGTH, GRAM, SYMBOL = 200, 64, 8
 REACH = LENGTH - GRAM + 1
 #: Bytes of text that are hashed together, bytes of segments that are refined together, segments of an anchor in one task.
-BLOCK, REFINE, GROUP = 1 << 17, 1 << 22, 4096
+BLOCK, REFINE, GROUP = 1 << 17, 1 << 20, 4096
 LONG_TEXT = 1 << 18
 BITS = 24
 
@@ -115,8 +115,8 @@ def scan(docs: DataFrame) -> DataFrame:
                 cols = (u[np.array(owner, np.int64)[of]], (start + np.array(shift, np.int64)[of]).astype(np.int32), strings.astype(np.int32), place.astype(np.int32), h.view(np.int64), g.view(np.int64))
                 return pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["u", "start", "strings", "place", "h", "g"])
 
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                for at, part in _split(text or b""):
+            for k, text in enumerate(batch.column(1)):
+                for at, part in _split(text.as_py() or b""):
                     if len(part) >= LENGTH:
                         texts.append(part)
                         owner.append(k)
@@ -221,14 +221,18 @@ def _segment_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            flush = lambda rows_: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows_)) or [()] * 7, kinds)], names=["h", "g", "parts", "part", "place", "strings", "raw"])
             out: list[tuple] = []
-            for text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in want:
+            for text, want in zip(batch.column(0), batch.column(1)):
+                text = text.as_py()
+                for w in want.as_py():
                     raw = text[w["start"] : w["start"] + w["strings"] + LENGTH - 1]
                     out += [(w["h"], w["g"], w["parts"], p, w["place"], w["strings"], raw) for p in range(w["parts"])]
-            cols = list(zip(*out)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["h", "g", "parts", "part", "place", "strings", "raw"])
+                if len(out) >= 4096:
+                    yield flush(out)
+                    out = []
+            yield flush(out)
 
     return rows.mapInArrow(run, "h long, g long, parts int, part int, place int, strings int, raw binary")
 
@@ -284,7 +288,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             cols: tuple[list, ...] = ([], [], [], [], [])
-            for text, got in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, got in zip(batch.column(1), batch.column(2)):
+                text, got = text.as_py(), got.as_py()
                 kept, spans, gone = text, [], 0
                 if got:
                     mask = covered(len(text), got)
