@@ -17,14 +17,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def cut(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    A lost executor costs a re-read of the table, never of what was computed before it.
+    A lost executor costs a re-read of the table, never of what was computed before it. ``batch_rows``
+    bounds the rows that go to Python at a time meanwhile, for stages whose rows are long.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/artiscope/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_BATCH)
+    if batch_rows:
+        spark.conf.set(_BATCH, min(batch_rows, int(before)) if int(before) > 0 else batch_rows)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._artiscope_path = path
     return out

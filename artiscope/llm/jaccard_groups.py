@@ -38,7 +38,7 @@ from artiscope.llm.components import components
 GROUP, QUERIES_PER_TASK, BITS = 256, 512, 24
 #: A token counts as common if this many of one in so many documents have it. It only orders the tokens.
 COMMON, ONE_IN = 4, 32
-MIN_BUCKETS = 256
+MIN_BUCKETS = 64
 DROP_BROADCAST = 500_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -116,78 +116,90 @@ def common_tokens(docs: DataFrame, n: int) -> np.ndarray:
     return _bit_rows(found.select(F.shiftrightunsigned("t", 64 - BITS).alias("slot")))
 
 
-_SETS = "id long, n long, s1 long, s2 long, prefix array<long>"
+def sketch(s: np.ndarray) -> bytes:
+    """One byte for each bucket of hash values: the sum of its tokens' bytes. Sets differ at least as often as their sketches do.
+
+    The number of buckets is a power of two and grows with the set; adding the halves of a sketch gives the
+    sketch with half as many.
+    """
+    m = MIN_BUCKETS
+    while 4 * m < len(s):
+        m *= 2
+    bucket = (s & np.uint64(m - 1)).astype(np.int64)
+    return np.bincount(bucket, weights=(_mix(s) >> np.uint64(56)).astype(float), minlength=m).astype(np.int64).astype(np.uint8).tobytes()
+
+
+def _fold(sketches: np.ndarray, m: int) -> np.ndarray:
+    while sketches.shape[-1] > m:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] + sketches[..., half:]
+    return sketches
+
+
+def room(a, b, num: int, den: int):
+    """Tokens that linked sets of sizes a and b may differ in at most."""
+    return (den - num) * (a + b) // (den + num)
+
+
+_SETS = "id long, n long, s1 long, s2 long, prefix array<long>, sketch binary"
 
 
 def scan_sets(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray) -> DataFrame:
-    """id, size, two signatures of the set, and the tokens that the index holds, for every row."""
+    """id, size, two signatures of the set, the tokens that the index holds, and the sketch, for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            sizes, one, two, prefix = [], [], [], []
+            sizes, one, two, prefix, own = [], [], [], [], []
             for text in batch.column(1):
                 s = tokens(text.as_py(), n)
                 sizes.append(len(s))
                 one.append(int(_mix(s).sum(dtype=np.uint64)))
                 two.append(int(_mix(s * _M3).sum(dtype=np.uint64)))
+                own.append(sketch(s) if len(s) else b"")
                 often = _has(bits, (s >> np.uint64(64 - BITS)).astype(np.int64))
                 first = np.concatenate([s[~often], s[often]])
                 prefix.append(first[: len(s) - -(-num * len(s) // den) + 1 if len(s) else 0].view(np.int64))
             long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), long(one), long(two), lists], names=["id", "n", "s1", "s2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), long(one), long(two), lists, pa.array(own, pa.binary())], names=["id", "n", "s1", "s2", "prefix", "sketch"])
 
     return docs.mapInArrow(run, _SETS)
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """One byte for each bucket of hash values: the sum of its tokens' bytes. Sets differ at least as often as their sketches do.
-
-    The number of buckets is a power of two and grows with the set; adding the halves of a sketch gives the
-    sketch with half as many.
-    """
-    m = MIN_BUCKETS
-    while 2 * m < len(s):
-        m *= 2
-    bucket = (s & np.uint64(m - 1)).astype(np.int64)
-    return np.bincount(bucket, weights=(_mix(s) >> np.uint64(56)).astype(float), minlength=m).astype(np.int64).astype(np.uint8).tobytes()
-
-
-def _fold(sketches: np.ndarray, m: int) -> np.ndarray:
-    while sketches.shape[-1] > m:
-        half = sketches.shape[-1] // 2
-        sketches = sketches[..., :half] + sketches[..., half:]
-    return sketches
+def short_sketches(sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Sketches folded to what still tells unrelated sets apart: somewhat more buckets than linked sets may differ in."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for size, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                m = MIN_BUCKETS
+                while 10 * m < 13 * room(size, size * den // num, num, den):
+                    m *= 2
+                out.append(_fold(np.frombuffer(own, np.uint8), m).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["node", "size", "sketch"])
 
-def room(a, b, num: int, den: int):
-    """Tokens that linked sets of sizes a and b may differ in at most."""
-    return (den - num) * (a + b) // (den + num)
+    return sketches.select("node", "size", "sketch").mapInArrow(run, "node long, size long, sketch binary")
 
 
-def candidate_texts(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """node, text, set size and sketch of the candidates, and of the few others that the bit table can't tell from them."""
+def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and text of the nodes of pairs (a, b), and of the few others that the bit table can't tell from them."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     bits = docs.sparkSession.sparkContext.broadcast(_bit_rows(nodes.select(F.shiftrightunsigned(F.xxhash64("node"), 64 - BITS).alias("slot"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mask = pa.array(_has(bits.value, batch.column(2).to_numpy(zero_copy_only=False)), pa.bool_())
-            node, text = (pc.filter(batch.column(k), mask) for k in (0, 1))
-            size, own = [], []
-            for t in text:
-                s = tokens(t.as_py(), n)
-                size.append(len(s))
-                own.append(sketch(s))
-            yield pa.RecordBatch.from_arrays([node, text, pa.array(size, pa.int64()), pa.array(own, pa.binary())], names=["node", "text", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([pc.filter(batch.column(k), mask) for k in (0, 1)], names=["node", "text"])
 
     fed = docs.where("id is not null").select("id", "text", F.shiftrightunsigned(F.xxhash64("id"), 64 - BITS).alias("slot"))
-    return fed.mapInArrow(run, "node long, text string, size long, sketch binary")
+    return fed.mapInArrow(run, "node long, text string")
 
 
-def near_pairs(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+def near_pairs(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches leave room for a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,13 +211,14 @@ def near_pairs(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFr
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([pc.filter(batch.column(k), mask) for k in (0, 1)], names=["a", "b"])
 
-    left = texts.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("x"))
-    right = texts.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("y"))
+    left = sketches.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("x"))
+    right = sketches.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "x", "nb", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def exact_links(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link; many pairs may have one b."""
+def exact_links(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link, as a written table; many pairs may have one b."""
+    texts = texts_of(docs, pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, np.ndarray] = {}
@@ -223,7 +236,7 @@ def exact_links(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int)
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-links", 500)
 
 
 def open_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -267,10 +280,10 @@ def open_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.groupBy("group", "chunk", "part").applyInArrow(run, "a long, b long")
 
 
-def _matrix_links(shared: DataFrame, groups: DataFrame, labels: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
+def _matrix_links(shared: DataFrame, groups: DataFrame, labels: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
     """Links between nodes that aren't connected yet."""
-    st = shared.join(groups, "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    st = cut(st.select("t", "node", "n", "comp", "group", "chunk"), "jaccard-open")
+    about = groups.join(labels, "node", "left").join(sketches.select("node", F.col("size").alias("n")), "node")
+    st = cut(shared.select("t", "node").join(about, "node").select("t", "node", "n", F.coalesce("comp", "node").alias("comp"), "group", "chunk"), "jaccard-open")
     per = st.groupBy("t", "comp").agg(F.count("*").alias("k")).groupBy("t").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("big")).where("comps > 1").select("t", "big")
     st = cut(st.join(per, "t"), "jaccard-cross")
     # of two nodes that aren't connected, one at least is outside the token's largest component
@@ -283,42 +296,47 @@ def _matrix_links(shared: DataFrame, groups: DataFrame, labels: DataFrame, texts
     parts = meet.groupBy("group", "chunk").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).cast("int").alias("parts"))
     asked = meet.join(parts, ["group", "chunk"]).select("group", "chunk", F.pmod(F.xxhash64("q"), "parts").cast("int").alias("part"), F.lit(True).alias("query"), F.col("q").alias("node"))
     held = groups.join(parts, ["group", "chunk"]).select("group", "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("query"), "node")
-    rows = asked.unionByName(held).join(texts.select("node", "size", "sketch"), "node")
+    rows = asked.unionByName(held).join(short_sketches(sketches, num, den), "node")
     near = open_groups(rows.select("group", "chunk", "part", "query", "node", "size", "sketch"), num, den)
     # one direction of each pair is enough, and only of what isn't connected
     side = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
     near = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(side, "a", "left").join(side.toDF("b", "cb"), "b", "left")
-    near = cut(near.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), "jaccard-near")
-    return exact_links(near, texts, n, num, den)
+    near = cut(near_pairs(near.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), sketches, num, den), "jaccard-near", 2000)
+    return exact_links(near, docs, n, num, den)
 
 
 def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id of every row; two documents link where den * intersection >= num * union."""
     fed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = cut(scan_sets(fed, n, num, den, common_tokens(fed, n)), "jaccard-sets")
-    nodes = cut(sets.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("node"), F.min_by("prefix", "id").alias("prefix")), "jaccard-nodes")
-    # rows of one id with different sets are one document
-    index = nodes.select("node", "n", F.explode("prefix").alias("t"))
+    sets = cut(scan_sets(fed, n, num, den, common_tokens(fed, n)), "jaccard-sets", 2000)
+    # equal sets: the smallest id stands for all; rows of one id with different sets are one document
+    real = sets.where("n > 0 and id is not null")
+    same = cut(real.groupBy("s1", "s2", "n").agg(F.count("*").alias("k"), F.min("id").alias("node")).where("k > 1").drop("k"), "jaccard-same")
+    folded = cut(real.select("id", "s1", "s2", "n").join(same, ["s1", "s2", "n"]).where("id <> node").select("id", "s1", "s2").distinct(), "jaccard-folded")
+    if folded.count() <= DROP_BROADCAST:
+        folded = F.broadcast(folded)
+    nodes = real.join(folded, ["id", "s1", "s2"], "left_anti").withColumnRenamed("id", "node")
+    index = nodes.select("node", F.explode("prefix").alias("t"))
     often = index.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     shared = cut(index.join(often, "t"), "jaccard-index")
     popular = shared.groupBy("node").agg(F.sum("df").alias("pop"), F.max(F.struct("df", "t"))["t"].alias("group"))
     size = popular.groupBy("group").agg(F.count("*").alias("k"), F.max_by("node", F.struct("pop", -F.col("node"))).alias("centre"))
     groups = cut(popular.join(size, "group").select("node", "group", "centre", F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / GROUP)).cast("int").alias("chunk")), "jaccard-groups")
-    texts = cut(candidate_texts(fed, groups, n), "jaccard-texts")
+    sketches = nodes.select("node", F.col("n").alias("size"), "sketch")
 
-    pairs = near_pairs(groups.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")), texts, num, den)
-    stars = cut(exact_links(pairs, texts, n, num, den), "jaccard-stars")
+    near = cut(near_pairs(groups.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")), sketches, num, den), "jaccard-star", 2000)
+    stars = exact_links(near, fed, n, num, den)
     labels = components(stars, "jaccard-comp")
-    more = _matrix_links(shared, groups.select("node", "group", "chunk"), labels, texts, n, num, den)
+    more = _matrix_links(shared, groups.select("node", "group", "chunk"), labels, sketches, fed, n, num, den)
     if more is not None:
-        labels = components(stars.unionByName(cut(more, "jaccard-links")), "jaccard-comp")
+        labels = components(stars.unionByName(more), "jaccard-comp")
+    of = sets.select("id", "n", "s1", "s2").join(same, ["s1", "s2", "n"], "left").select("id", "n", F.coalesce("node", "id").alias("node"))
     # a document whose rows have different sets joins their nodes
-    same = sets.where("n > 0 and id is not null").join(nodes.select("s1", "s2", "n", "node"), ["s1", "s2", "n"])
-    split = same.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b")
+    split = of.where("n > 0 and id is not null").groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b")
     if not split.isEmpty():
-        every = same.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+        every = of.where("n > 0 and id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
         labels = components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(every), "jaccard-comp")
-    out = sets.drop("prefix").join(nodes.select("s1", "s2", "n", "node"), ["s1", "s2", "n"], "left").join(labels, "node", "left")
+    out = of.join(labels, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), None).when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("comp", "node")).alias("component_id"))
 
 
