@@ -7,9 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from artiscope.functions import constants as C
+from artiscope.functions import paths
 from artiscope.functions import text as X
-from artiscope.operators import config, dlls, grouping, indicators, reputation, rules, services
+from artiscope.operators import binaries, config, dlls, grouping, indicators, platforms, reputation, rules, services
+from artiscope.plans import specimens
 from artiscope.plans import sql as S
+from artiscope.sources import files as FS
 from artiscope.sources.tables import conversation_files, document_files, read
 from artiscope.streaming import incremental
 
@@ -303,3 +306,124 @@ def incremental_rescan(spark: SparkSession, d: str) -> DataFrame:
 
     cached = scan(half).join(half.select("path", "sha256"), "path")
     return incremental.rescan(texts, cached, half, scan).groupBy("fingerprint").agg(F.count("*").alias("n"))
+
+
+# --- files: made from rows of the tables ---
+
+
+@query("file_classes", S.FILE_CLASSES)
+def file_classes(spark: SparkSession, d: str) -> DataFrame:
+    ends = F.array(*map(F.lit, S.FILE_ENDS))
+    folder = F.when(F.col("p_partkey") % 11 == 0, "/a/.git/").when(F.col("p_partkey") % 13 == 0, "/node_modules/x/").otherwise("/a/b/")
+    named = read(spark, d, "part").select(F.concat(folder, F.lit("f"), F.col("p_partkey").cast("string"), F.element_at(ends, (F.col("p_partkey") % len(S.FILE_ENDS) + 1).cast("int"))).alias("path"))
+    return named.select("path", FS.file_class(F.col("path")).alias("kind"), FS.in_skipped_dir(F.col("path")).alias("skipped"))
+
+
+@query("binary_kinds", "SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'elf' WHEN 1 THEN 'macho' WHEN 2 THEN 'macho' WHEN 3 THEN 'class' WHEN 4 THEN 'pe' ELSE 'none' END AS kind FROM supplier")
+def binary_kinds(spark: SparkSession, d: str) -> DataFrame:
+    heads = F.array(*[F.unhex(F.lit(h)) for h in ("7F454C4602", "CFFAEDFE07", "CAFEBABE00000002", "CAFEBABE0000003D", "4D5A" + "00" * 58 + "40000000" + "50450000", "4D5A" + "00" * 58 + "00000000")])
+    made_ = read(spark, d, "supplier").select("s_suppkey", F.element_at(heads, (F.col("s_suppkey") % 6 + 1).cast("int")).alias("content"))
+    return made_.select("s_suppkey", F.coalesce(FS.binary_kind(), F.lit("none")).alias("kind"))
+
+
+@query("binary_strings", "SELECT doc_id, len(x) AS n_strings, coalesce(list_sum(list_transform(x, lambda s: length(s))), 0)::BIGINT AS n_chars FROM (SELECT doc_id, regexp_extract_all(text, '[ -~]{6,}') AS x FROM documents) WHERE len(x) > 0")
+def binary_strings(spark: SparkSession, d: str) -> DataFrame:
+    files = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    rows = binaries.binary_strings(files).where("encoding = 'ascii'")
+    return rows.groupBy(F.col("path").cast("long").alias("doc_id")).agg(F.count("*").alias("n_strings"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query("pe_mitigations", S.MITIGATIONS)
+def pe_mitigations(spark: SparkSession, d: str) -> DataFrame:
+    """Images made of parts: their size gives the mitigation flags, odd keys are 32-bit."""
+    flags = (F.col("p_size") * 1301 + F.col("p_partkey") * 97) % 32768
+    rows = read(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".exe")).alias("path"), flags.cast("int").alias("flags"), (F.col("p_partkey") % 2 == 0).alias("wide"))
+    found = binaries.scan_binaries(specimens.made(rows, lambda flags, wide: specimens.image(flags, ("kernel32.dll",), wide)))
+    return found.where(F.col("rule_id").isin("aslr-disabled", "aslr-high-entropy-va-disabled", "dep-disabled", "cfg-disabled", "safeseh-disabled")).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+
+
+@query("pe_imports", "SELECT DISTINCT 's' || l_suppkey || '.exe' AS path, 'lib' || l_partkey % 40 || '.dll' AS dll FROM lineitem WHERE l_partkey % 40 >= 5")
+def pe_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Images that import what a supplier supplies, parsed, without the known libraries."""
+    rows = read(spark, d, "lineitem").groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit(".exe")).alias("path")).agg(F.sort_array(F.collect_set(F.concat(F.lit("LIB"), (F.col("l_partkey") % 40).cast("string"), F.lit(".dll")))).alias("libs"))
+    imports = binaries.imports_of(specimens.made(rows, lambda libs: specimens.image(0, tuple(libs))))
+    known = spark.createDataFrame([(f"lib{k}.dll",) for k in range(5)], "name string")
+    return dlls.unknown_imports(imports, known, known.limit(0))
+
+
+@query("archive_members", "SELECT 'd' || doc_id || '.zip > t' || doc_id || '.txt' AS path, sha256(text) AS sha256 FROM documents WHERE length(text) > 0")
+def archive_members(spark: SparkSession, d: str) -> DataFrame:
+    """Archives made of documents, unpacked again."""
+    rows = read(spark, d, "documents").where(F.length("text") > 0).select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".zip")).alias("path"), F.concat(F.lit("t"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("body"))
+    members, _ = FS.expand(specimens.made(rows, specimens.archive), max_depth=1, max_archives=None)
+    return members.select("path", F.sha2("content", 256).alias("sha256"))
+
+
+@query("settings_of_files", "SELECT 'e' || event_id || '.ini' AS file_path, 'app.user' AS key, CAST(user_id AS VARCHAR) AS value FROM events WHERE event_id % 10 = 0 UNION ALL SELECT 'e' || event_id || '.ini', 'app.debug', CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'no' END FROM events WHERE event_id % 10 = 0")
+def settings_of_files(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("[app]\nuser = "), F.col("user_id").cast("string"), F.lit("\ndebug = "), F.when(F.col("user_id") % 2 == 0, "true").otherwise("no"), F.lit("\n"))
+    files = read(spark, d, "events").where("event_id % 10 = 0").select(F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit(".ini")).alias("path"), text.cast("binary").alias("content"))
+    return config.settings(files).select("file_path", "key", "value")
+
+
+@query("risky_settings", "SELECT key, value, n, risky FROM (VALUES ('debug', 'true', 1, true), ('debug', 'false', 1, false), ('ssl_verify', 'false', 1, true), ('password', '${X}', 1, false), ('api_key', 'changeme', 1, false), ('db.password', 'P%ssw0rd!Real', 1, true), ('password_min_length', '12', 1, false), ('service_secret', 'Qp8$wLz2!mRt', 1, true)) t(key, value, n, risky)")
+def risky_settings(spark: SparkSession, d: str) -> DataFrame:
+    rows = [("debug", "true"), ("debug", "false"), ("ssl_verify", "false"), ("password", "${X}"), ("api_key", "changeme"), ("db.password", "P%ssw0rd!Real"), ("password_min_length", "12"), ("service_secret", "Qp8$wLz2!mRt")]
+    df = spark.createDataFrame(rows, "key string, value string")
+    return df.select("key", "value", F.lit(1).alias("n"), config.is_risky(F.col("key"), F.col("value"), F.lit("STR")).alias("risky"))
+
+
+@query("registry_services", S.REGISTRY)
+def registry_services(spark: SparkSession, d: str) -> DataFrame:
+    """Registry exports made of suppliers, as escaped text or as UTF-16 bytes, one export a nation."""
+    path = F.concat(F.lit("C:\\Program Files\\Acme "), F.col("s_nationkey").cast("string"), F.lit("\\svc"), F.col("s_suppkey").cast("string"), F.lit(".exe"))
+    escaped = F.concat(F.lit('"ImagePath"="'), F.replace(path, F.lit("\\"), F.lit("\\\\")), F.lit('"'))
+    raw = F.hex(F.encode(F.concat(path, F.lit("\0")), "UTF-16LE"))
+    hexed = F.concat(F.lit('"ImagePath"=hex(2):'), F.regexp_replace(F.regexp_replace(raw, "(..)", "$1,"), ",$", ""))
+    entry = F.concat(F.lit("[HKEY_LOCAL_MACHINE\\SYSTEM\\Services\\S"), F.col("s_suppkey").cast("string"), F.lit("]\r\n"), F.when(F.col("s_suppkey") % 2 == 0, escaped).otherwise(hexed), F.lit("\r\n"))
+    texts = read(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("source")).agg(F.array_join(F.sort_array(F.collect_list(entry)), "").alias("text"))
+    return services.from_registry(texts).select("source", "name", "image_path")
+
+
+@query("permission_bits", "SELECT p_partkey, (p_size * 37 % 4096) & 2 <> 0 AS world, (p_size * 37 % 4096) & 3072 <> 0 AS set_id FROM part ORDER BY 'm' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') LIMIT 500")
+def permission_bits(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.lit("m"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
+    modes = read(spark, d, "part").select(name.alias("path"), (F.col("p_size") * 37 % 4096).cast("int").alias("mode"), F.lit(False).alias("is_symlink"))
+    found = platforms.permission_findings(modes).groupBy("file_path").agg(F.max(F.col("rule_id").endswith("world-writable")).alias("world"), F.max(F.col("rule_id").endswith("suid-sgid")).alias("set_id"))
+    first = modes.orderBy("path").limit(platforms.PERMISSION_FILES)
+    return first.join(found, F.col("path") == F.col("file_path"), "left").select(F.substring("path", 2, 9).cast("long").alias("p_partkey"), F.coalesce("world", F.lit(False)).alias("world"), F.coalesce("set_id", F.lit(False)).alias("set_id"))
+
+
+@query("finding_paths", "SELECT page_id, 'in/' || page_id || CASE WHEN page_id % 2 = 0 THEN ' > sub/a.js' ELSE '' END AS path, 'App_' || page_id || '_' AS app FROM pages")
+def finding_paths(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "pages").select("page_id", F.concat(F.lit("/scan/root/in/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, " > sub/a.js").otherwise("")).alias("path"), F.concat(F.lit("C:\\x\\App<"), F.col("page_id").cast("string"), F.lit(">.exe")).alias("target"))
+    return p.select("page_id", paths.relative(F.col("path"), "/scan/root").alias("path"), paths.application_name(F.col("target")).alias("app"))
+
+
+@query("default_pocs", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'own' WHEN doc_id % 3 = 1 THEN 'dumpbin \"d' || doc_id || '\"' ELSE 'Location: d' || doc_id || '; evidence: ' || lang END AS poc FROM documents")
+def default_pocs(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id") % 3
+    docs = read(spark, d, "documents").select("doc_id", "lang", F.when(k == 0, "own").otherwise(" ").alias("poc"), F.when(k == 1, "graph").otherwise("other").alias("rule"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"))
+    return docs.select("doc_id", paths.default_poc(F.col("rule"), F.col("path"), F.col("lang"), F.col("poc"), {"graph": 'dumpbin "{path}"'}).alias("poc"))
+
+
+@query("vendor_texts", "SELECT user_id, array_to_string(list_transform(range(0, least(10, user_id % 14)), lambda k: 'v' || k), ', ') || CASE WHEN user_id % 14 > 10 THEN ' +' || (user_id % 14 - 10) || ' more' ELSE '' END AS vendors FROM (SELECT DISTINCT user_id FROM events)")
+def vendor_texts(spark: SparkSession, d: str) -> DataFrame:
+    n = (F.col("user_id") % 14).cast("int")
+    users = read(spark, d, "events").select("user_id").distinct()
+    listed = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.concat(F.lit("v"), k.cast("string")))).otherwise(F.array().cast("array<string>"))
+    return users.select("user_id", reputation.vendors_text(listed).alias("vendors"))
+
+
+@query("severity_names", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'Info' WHEN 2 THEN 'Critical' ELSE 'Info' END AS severity, CASE event_id % 4 WHEN 0 THEN 3 WHEN 2 THEN 4 ELSE 0 END AS severity_rank FROM events")
+def severity_names(spark: SparkSession, d: str) -> DataFrame:
+    from artiscope.functions.findings import severity, severity_rank
+
+    name = severity(F.element_at(F.array(F.lit(" HIGH "), F.lit("odd"), F.lit("critical"), F.lit("info")), (F.col("event_id") % 4 + 1).cast("int")))
+    return read(spark, d, "events").select("event_id", name.alias("severity"), severity_rank(name).alias("severity_rank"))
+
+
+@query("network_artifacts", "SELECT CASE WHEN regexp_matches(url, '[./](dev|development|stage|staging|test|testing|internal|corp|local|sandbox|qa|uat)\\.') THEN 'linux-network-artifacts-internal-host' ELSE 'linux-network-artifacts-endpoint' END AS rule_id, count(DISTINCT url) AS n FROM (SELECT regexp_extract(url, 'https?://[^\\s\"''<>]{4,300}') AS url FROM pages) GROUP BY 1")
+def network_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    urls = indicators.url_findings(read(spark, d, "pages").select(F.col("page_id").cast("string").alias("file_path"), F.col("url").alias("text")))
+    return platforms.network_artifacts(urls).groupBy("rule_id").agg(F.count("*").alias("n"))

@@ -179,3 +179,20 @@ VERDICTS = """
 WITH v AS (SELECT text, max(doc_id % 9) AS m FROM documents WHERE doc_id % 5 = 0 GROUP BY text)
 SELECT CASE WHEN m IS NULL THEN 'vt-unknown' WHEN m >= 1 THEN 'vt-flagged' ELSE 'vt-clean' END AS rule_id,
   CASE WHEN m >= 5 THEN 'Critical' WHEN m >= 1 THEN 'High' ELSE 'Info' END AS severity, count(*) AS n FROM documents LEFT JOIN v USING (text) GROUP BY ALL"""
+
+# --- files ---
+FILE_ENDS = (".exe", ".JSON", ".so", ".dylib", ".db", ".md", "", ".tar.gz", ".Dll", ".yaml")
+_END = f"[{listed(FILE_ENDS)}][p_partkey % {len(FILE_ENDS)} + 1]"
+FILE_CLASSES = f"""
+SELECT CASE WHEN p_partkey % 11 = 0 THEN '/a/.git/' WHEN p_partkey % 13 = 0 THEN '/node_modules/x/' ELSE '/a/b/' END || 'f' || p_partkey || {_END} AS path,
+  CASE WHEN lower({_END}) IN ('.json', '.yaml') THEN 'text' WHEN lower({_END}) IN ('.exe', '.dll') THEN 'pe' WHEN {_END} = '.so' THEN 'elf' WHEN {_END} = '.dylib' THEN 'macho' WHEN {_END} = '.db' THEN 'db' ELSE 'unknown' END AS kind,
+  p_partkey % 11 = 0 OR p_partkey % 13 = 0 AS skipped FROM part"""
+MITIGATIONS = """
+WITH p AS (SELECT CAST((p_size * 1301 + p_partkey * 97) % 32768 AS INT) AS f, p_partkey % 2 = 0 AS wide FROM part),
+r AS (
+  SELECT CASE WHEN f & 64 = 0 THEN 'aslr-disabled' WHEN wide AND f & 32 = 0 THEN 'aslr-high-entropy-va-disabled' END AS rule_id FROM p
+  UNION ALL SELECT CASE WHEN f & 256 = 0 THEN 'dep-disabled' END FROM p
+  UNION ALL SELECT CASE WHEN f & 16384 = 0 THEN 'cfg-disabled' END FROM p
+  UNION ALL SELECT CASE WHEN NOT wide AND f & 1024 = 0 THEN 'safeseh-disabled' END FROM p)
+SELECT rule_id, CASE WHEN rule_id IN ('aslr-disabled', 'dep-disabled') THEN 'High' WHEN rule_id = 'cfg-disabled' THEN 'Info' ELSE 'Medium' END AS severity, count(*) AS n FROM r WHERE rule_id IS NOT NULL GROUP BY rule_id"""
+REGISTRY = r"SELECT CAST(s_nationkey AS VARCHAR) AS source, 'S' || s_suppkey AS name, 'C:\Program Files\Acme ' || s_nationkey || '\svc' || s_suppkey || '.exe' AS image_path FROM supplier"
