@@ -127,10 +127,33 @@ def is_token_shaped(s: Column) -> Column:
     return ~few & ~s.rlike("^[0-9]+$") & ~s.rlike(C.GUID_RE) & ~binary
 
 
+WORDS_IN_NAME_RE = "[A-Z][a-z]{2,}|[a-z]{3,}|[A-Z]{3,}"
+
+
+def is_symbol_name(s: Column) -> Column:
+    """Made of words, as identifiers are: three letters of five or more lie in words of three letters or more. Linear in the length."""
+    letters = F.length(F.regexp_replace(s, "[^A-Za-z]", ""))
+    in_words = F.aggregate(F.regexp_extract_all(s, F.lit(WORDS_IN_NAME_RE), F.lit(0)), F.lit(0), lambda a, w: a + F.length(w))
+    return (letters > 0) & (10 * in_words >= 6 * letters) & (2 * letters >= F.length(s))
+
+
+def is_lookup_table(s: Column) -> Column:
+    """A table of characters: most neighbours are successors, or every second character goes up by one at most."""
+    n = F.length(s)
+    code = lambda i: F.ascii(F.substring(s, i, F.lit(1)))
+    steps = lambda gap, low, high: F.size(F.filter(F.sequence(F.lit(1), n - gap), lambda i: (code(i + gap) - code(i)).between(low, high)))
+    return (n > 3) & ((2 * steps(1, 1, 2) >= n - 1) | (5 * steps(2, 0, 1) >= 4 * (n - 2)))
+
+
 def is_high_entropy(s: Column) -> Column:
     fits = F.length(s).between(C.MIN_TOKEN, C.MAX_TOKEN)
     return fits & F.when(s.rlike("^[0-9a-fA-F]+$"), entropy(s) >= C.HEX_THRESHOLD).otherwise(entropy(s) >= C.B64_THRESHOLD)
 
 
 def high_entropy_tokens(text: Column) -> Column:
-    return F.filter(entropy_candidates(text), lambda s: is_token_shaped(s) & is_high_entropy(s))
+    return F.filter(entropy_candidates(text), is_secret_token)
+
+
+def is_secret_token(s: Column) -> Column:
+    """Token-shaped and random, and neither an identifier nor a table of characters."""
+    return is_token_shaped(s) & is_high_entropy(s) & ~is_symbol_name(s) & ~is_lookup_table(s)

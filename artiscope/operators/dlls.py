@@ -50,3 +50,16 @@ def publisher_conflicts(files: DataFrame) -> DataFrame:
     """files (root, publisher, path): roots with more than one publisher, anchored at the smallest group's first path."""
     groups = files.where("publisher is not null").groupBy("root", "publisher").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
     return groups.groupBy("root").agg(F.count("*").alias("n_publishers"), F.min_by("first_path", F.struct("n", "publisher")).alias("anchor"), F.array_join(F.sort_array(F.collect_list("publisher")), ",").alias("publishers")).where("n_publishers > 1")
+
+
+def publisher_findings(files: DataFrame) -> DataFrame:
+    """Roots whose signed files have several publishers; files: root, publisher, path."""
+    rows = publisher_conflicts(files)
+    return findings(rows, module="signature", rule_id="mismatched-publisher", title="Several publishers", severity="Medium", file_path=F.col("anchor"), evidence=F.col("publishers"), tags=["signature"], confidence="Medium")
+
+
+def application_roots(files: DataFrame) -> DataFrame:
+    """Folders of applications: a package.json with a text main, not among the dependencies; files: path, content."""
+    path = F.replace(F.col("path"), F.lit("\\"), F.lit("/"))
+    rows = files.where(path.rlike("(^|/)package\\.json$") & ~path.contains("/node_modules/")).select(F.regexp_replace(path, "/?package\\.json$", "").alias("root"), F.get_json_object(F.col("content").cast("string"), "$.main").alias("main"))
+    return rows.where("main is not null and main not like '{%' and main not like '[%'")

@@ -168,3 +168,36 @@ def labels(tags: Column, by_tag: dict[str, str]) -> Column:
     """Sorted distinct labels of tags."""
     table = F.create_map(*[F.lit(x) for pair in by_tag.items() for x in pair])
     return F.array_sort(F.array_distinct(F.filter(F.transform(tags, lambda t: table[t]), lambda x: x.isNotNull())))
+
+
+# --- fixed values: module labels of reports ---
+MODULE_LABELS = {"secrets": "Secrets & Configuration", "dll_hijack": "DLL Hijacking", "signature": "Code Signing & Integrity", "re_exposure": "Binary Hardening & RE Exposure", "linux": "Linux Thick Client", "macos": "macOS Thick Client", "reputation": "Reputation"}
+
+
+def module_label(module: Column) -> Column:
+    out = F.initcap(F.replace(module, F.lit("_"), F.lit(" ")))
+    for name, label in MODULE_LABELS.items():
+        out = F.when(module == name, F.lit(label)).otherwise(out)
+    return out
+
+
+def report_filter(issues: DataFrame, severity: str | None = None, module: str | None = None, text: str | None = None) -> DataFrame:
+    """Issues of a report by severity, module and a part of their text."""
+    out = issues.where(F.col("severity") == severity) if severity else issues
+    out = out.where(F.col("module") == module) if module else out
+    blob = F.lower(F.concat_ws(" ", "rule_id", "title", "severity", "module", "evidence", F.array_join("locations", " ")))
+    return out.where(blob.contains(text.lower())) if text else out
+
+
+def roll_up(findings: DataFrame, rule: str, keep: int = 20) -> DataFrame:
+    """One finding for each module instead of one for each file: its number of files and the first ``keep`` of them."""
+    rows = findings.where(F.col("rule_id") == rule)
+    ranked_ = rows.withColumn("__n", F.row_number().over(W.partitionBy("module").orderBy("file_path")))
+    few = ranked_.where(F.col("__n") <= keep).groupBy("module").agg(F.sort_array(F.collect_list("file_path")).alias("files"))
+    return rows.groupBy("module", "rule_id", "severity").agg(F.countDistinct("file_path").alias("n_files")).join(few, "module")
+
+
+def hardening_summary(findings: DataFrame) -> DataFrame:
+    """The controls of each application as one text, without repeats."""
+    rows = findings.where("rule_id = 'electron-hardening-summary'")
+    return rows.groupBy(F.regexp_replace("file_path", r"[/\\][^/\\]*$", "").alias("app")).agg(F.array_join(F.sort_array(F.collect_set("evidence")), "; ").alias("controls"))

@@ -102,7 +102,7 @@ def high_entropy(spark: SparkSession, d: str) -> DataFrame:
     texts = document_files(spark, d).unionByName(conversation_files(spark, d)).where(F.col("text").rlike(r"[A-Za-z0-9+/_\-=]{20}"))
     rows = texts.select("file_path", F.posexplode(X.entropy_candidates(F.col("text"))).alias("pos", "candidate"))
     c = F.col("candidate")
-    return rows.select("file_path", "pos", "candidate", F.round(X.entropy(c), 4).alias("entropy"), (X.is_token_shaped(c) & X.is_high_entropy(c)).alias("flagged"))
+    return rows.select("file_path", "pos", "candidate", F.round(X.entropy(c), 4).alias("entropy"), X.is_secret_token(c).alias("flagged"))
 
 
 # --- rules and findings ---

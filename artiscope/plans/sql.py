@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from artiscope.functions import constants as C
+from artiscope.functions.text import WORDS_IN_NAME_RE
 from artiscope.operators.grouping import CWE_BY_TAG, MITRE_BY_TAG
 from artiscope.operators.rules import DEFAULT_RULES
 
@@ -88,11 +89,20 @@ def _high(s: str) -> str:
     return f"(length({s}) BETWEEN {C.MIN_TOKEN} AND {C.MAX_TOKEN} AND CASE WHEN regexp_matches({s}, '^[0-9a-fA-F]+$') THEN {_entropy(s)} >= {C.HEX_THRESHOLD} ELSE {_entropy(s)} >= {C.B64_THRESHOLD} END)"
 
 
+def _secret(s: str) -> str:
+    letters = f"length(regexp_replace({s}, '[^A-Za-z]', '', 'g'))"
+    worded = f"coalesce(list_sum(list_transform(regexp_extract_all({s}, '{WORDS_IN_NAME_RE}'), lambda w: length(w))), 0)"
+    steps = lambda gap, low, high: f"len(list_filter(range(1, length({s}) - {gap} + 1), lambda i: ascii({s}[i + {gap}]) - ascii({s}[i]) BETWEEN {low} AND {high}))"
+    symbol = f"({letters} > 0 AND 10 * {worded} >= 6 * {letters} AND 2 * {letters} >= length({s}))"
+    lookup = f"(length({s}) > 3 AND (2 * {steps(1, 1, 2)} >= length({s}) - 1 OR 5 * {steps(2, 0, 1)} >= 4 * (length({s}) - 2)))"
+    return f"({_shaped(s)} AND {_high(s)} AND NOT {symbol} AND NOT {lookup})"
+
+
 _FILES = "SELECT source || '/' || doc_id AS file_path, text FROM documents"
 _TURNS = "SELECT 'conversations/' || conv_id || '/' || turn AS file_path, text FROM conversations"
 _CANDIDATES = "SELECT {key}, unnest(x) AS candidate, CAST(generate_subscripts(x, 1) - 1 AS INT) AS pos FROM (SELECT {key}, regexp_extract_all(text, {re}) AS x FROM ({source}))"
 ENTROPY_CANDIDATES = f"SELECT doc_id, pos, candidate, {_shaped('candidate')} AS token_shaped FROM ({_CANDIDATES.format(key='doc_id', re=lit(C.ENTROPY_CANDIDATE_RE), source='SELECT doc_id, text FROM documents')})"
-HIGH_ENTROPY = f"SELECT file_path, pos, candidate, round({_entropy('candidate')}, 4) AS entropy, {_shaped('candidate')} AND {_high('candidate')} AS flagged FROM ({_CANDIDATES.format(key='file_path', re=lit(C.ENTROPY_CANDIDATE_RE), source=f'{_FILES} UNION ALL {_TURNS}')})"
+HIGH_ENTROPY = f"SELECT file_path, pos, candidate, round({_entropy('candidate')}, 4) AS entropy, {_secret('candidate')} AS flagged FROM ({_CANDIDATES.format(key='file_path', re=lit(C.ENTROPY_CANDIDATE_RE), source=f'{_FILES} UNION ALL {_TURNS}')})"
 
 # --- rules and findings ---
 _LINES = "SELECT file_path, unnest(x) AS line, CAST(generate_subscripts(x, 1) AS INT) AS line_number FROM (SELECT file_path, string_split(text, chr(10)) AS x FROM ({}))"
@@ -116,7 +126,7 @@ _FINDINGS = _print(
     f"""SELECT * FROM ({_rules(_FILES)})
 UNION ALL SELECT 'secrets', CASE WHEN {_P} THEN 'private-ip' ELSE 'hardcoded-ip' END, CASE WHEN {_P} THEN 'Private address' ELSE 'Hard-coded address' END, CASE WHEN {_P} THEN 'Info' ELSE 'Low' END, 'Medium', file_path, evidence, {_NONE} FROM ({_FIRST_IP} SELECT file_path, evidence FROM r)
 UNION ALL SELECT 'secrets', 'embedded-email', 'Embedded e-mail address', 'Info', 'High', file_path, evidence, {_NONE} FROM ({_FIRST_MAIL} SELECT file_path, evidence FROM r)
-UNION ALL SELECT 'secrets', 'high-entropy-string', 'High-entropy string', 'Medium', 'Low', file_path, candidate, {_NONE} FROM ({_CANDIDATES.format(key='file_path', re=lit(C.ENTROPY_CANDIDATE_RE), source=_FILES)}) WHERE {_shaped('candidate')} AND {_high('candidate')}"""
+UNION ALL SELECT 'secrets', 'high-entropy-string', 'High-entropy string', 'Medium', 'Low', file_path, candidate, {_NONE} FROM ({_CANDIDATES.format(key='file_path', re=lit(C.ENTROPY_CANDIDATE_RE), source=_FILES)}) WHERE {_secret('candidate')}"""
 )
 
 

@@ -123,3 +123,31 @@ def test_paths(spark):
     assert one(spark, r"C:\Apps\Acme Suite", paths.application_name) == "Acme Suite"
     assert one(spark, r"C:\x\bad<name>.dll", paths.application_name) == "bad_name_"
     assert one(spark, "failed in /tmp/x123/y and /scan/z", lambda c: paths.scrub(c, "/scan")) == "failed in <temp>/y and <target>/z"
+
+
+def test_names_and_tables_are_no_secrets(spark):
+    for name in ("OSSL_CMP_CTX_push0_geninfo_ITAV", "PKCS12_SAFEBAG_create0_p8inf", "XSetWindowBackgroundPixmap", "id-tc26-cipher-gostr3412-2015-kuznyechik", "_Conv3DBackpropFilterV2"):
+        assert one(spark, name, X.is_symbol_name), name
+    for token in ("aZ3k_P9xQm2_Lp7R4tN8", "Zr5nB8vKq2Wm7Tx4Lp9Hc3Qd", "ghp_aB3dE5fG7hJ9kL1mN3pQ5rS7"):
+        assert not one(spark, token, X.is_symbol_name) and not one(spark, token, X.is_lookup_table), token
+    for table in ("0123456789abcdefABCDEFxX+-pPiInN", "bcdfghiklmnoprstuvwxyz", "000102030405060708090a0b0c0d0e0f"):
+        assert one(spark, table, X.is_lookup_table), table
+    assert one(spark, "e._Conv3DBackpropFilterV2=function(){};t=a.UNSAFE_componentWillReceiveProps==null;", X.high_entropy_tokens) == []
+
+
+def test_archive_steps(spark):
+    chain = "C:/Dl/Setup.exe > app-64.7z > resources/app.asar > main.js"
+    steps = one(spark, chain, paths.unpack_steps)
+    assert steps == ["7z x 'Setup.exe' -o'unpacked1'", "7z x 'unpacked1/app-64.7z' -o'unpacked2'", "npx --yes @electron/asar extract 'unpacked2/resources/app.asar' 'unpacked3'"]
+    poc = one(spark, chain, lambda c: paths.localize_poc(F.concat(F.lit('dumpbin "'), c, F.lit('"')), c, c))
+    assert poc.endswith('dumpbin "unpacked3/main.js"') and "C:/Dl" not in poc
+    assert [spark.range(1).select(paths.duration(F.lit(x)).alias("r")).first().r for x in (5, 65, 3725)] == ["5s", "1m 5s", "1h 2m 5s"]
+
+
+def test_report_filters(spark):
+    f = some(spark, [("r", "T", "High", "a/x.exe", "e1", 3, None), ("electron-hardening-summary", "h", "Info", "a/x.exe", "k=on", None, None), ("r", "T", "High", "a/y.exe", "e1", 3, None)])
+    issues = grouping.group_issues(f)
+    assert grouping.report_filter(issues, severity="High", module="m", text="Y.EXE").count() == 1
+    assert grouping.roll_up(f, "r", keep=1).first().asDict() == {"module": "m", "rule_id": "r", "severity": "High", "n_files": 2, "files": ["a/x.exe"]}
+    assert [tuple(r) for r in grouping.hardening_summary(f).collect()] == [("a", "k=on")]
+    assert one(spark, "dll_hijack", grouping.module_label) == "DLL Hijacking" and one(spark, "my_mod", grouping.module_label) == "My Mod"
