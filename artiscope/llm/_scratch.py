@@ -58,5 +58,18 @@ def free_name(base: str, taken) -> str:
     return base
 
 
+#: Rows of texts that go to Python at a time.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send texts to Python in small batches: what a worker and its executor hold is bounded by a batch."""
+    now = int(spark.conf.get(_BATCH))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver's; texts of it will go to Python in small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

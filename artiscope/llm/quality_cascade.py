@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from artiscope.llm._scratch import free_name, table
+from artiscope.llm._worker import claim, nothing
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -249,6 +250,7 @@ def keep(docs: DataFrame, text_col: str = "text", rules=BASE_RULES + RULES) -> D
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality", nothing)
         for batch in batches:
             mask = [first_rejection(Document(t), ordered) is None for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pc.filter(c, pa.array(mask, pa.bool_())) for c in batch.columns], schema=batch.schema)
