@@ -10,7 +10,7 @@ connected by that, with a link each. Then the token-group matrix does the rest:
 bounded number of members, each with the union of its members' tokens (by bucket of hash values); a query
 node meets a group only if they share an index token and aren't connected yet, the group is opened only if
 the query's overlap with the union leaves room for a link, and then all its members are compared at once.
-Pairs that the bounds leave are counted exactly. No pair that could link is left out; pairs that are
+Pairs that the bounds leave are counted exactly, each node's likeliest partner first. No pair that could link is left out; pairs that are
 connected already are not looked at.
 
 Results for odd input: null and empty texts have no tokens and link with nothing. Rows with one id are one
@@ -38,7 +38,8 @@ from artiscope.llm.components import components
 GROUP, QUERIES_PER_TASK, BITS = 256, 512, 24
 #: A token counts as common if this many of one in so many documents have it. It only orders the tokens.
 COMMON, ONE_IN = 4, 32
-MIN_BUCKETS = 64
+#: Buckets of a sketch at least, and of the short one that meets groups.
+MIN_BUCKETS, SHORT_BUCKETS = 256, 128
 DROP_BROADCAST = 500_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -176,7 +177,7 @@ def short_sketches(sketches: DataFrame, num: int, den: int) -> DataFrame:
         for batch in batches:
             out = []
             for size, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                m = MIN_BUCKETS
+                m = SHORT_BUCKETS
                 while 10 * m < 13 * room(size, size * den // num, num, den):
                     m *= 2
                 out.append(_fold(np.frombuffer(own, np.uint8), m).tobytes())
@@ -251,7 +252,7 @@ def open_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
         node, is_query, size = got["node"].to_numpy(), got["query"].to_numpy(zero_copy_only=False), got["size"].to_numpy()
         raw = got["sketch"].to_pylist()
         width = np.array([len(x) for x in raw])
-        out_a, out_b = [], []
+        out_a, out_b, out_d = [], [], []
         asks = np.flatnonzero(is_query & (size > 0))
         for m in np.unique(width[asks]).tolist():
             for w in np.unique(width[~is_query]).tolist():
@@ -272,15 +273,17 @@ def open_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
                         continue
                     at = np.flatnonzero(fits)
                     differ = (matrix[at] != mine).sum(axis=1)
-                    hit = node[members[at[differ <= room(sizes[at], size[k], num, den)]]]
+                    few = differ <= room(sizes[at], size[k], num, den)
+                    hit = node[members[at[few]]]
                     out_a += [node[k]] * len(hit)
                     out_b += hit.tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+                    out_d += differ[few].tolist()
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "differ": pa.array(out_d, pa.int64())})
 
-    return rows.groupBy("group", "chunk", "part").applyInArrow(run, "a long, b long")
+    return rows.groupBy("group", "chunk", "part").applyInArrow(run, "a long, b long, differ long")
 
 
-def _matrix_links(shared: DataFrame, groups: DataFrame, labels: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
+def _matrix_links(shared: DataFrame, groups: DataFrame, stars: DataFrame, labels: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
     """Links between nodes that aren't connected yet."""
     about = groups.join(labels, "node", "left").join(sketches.select("node", F.col("size").alias("n")), "node")
     st = cut(shared.select("t", "node").join(about, "node").select("t", "node", "n", F.coalesce("comp", "node").alias("comp"), "group", "chunk"), "jaccard-open")
@@ -298,11 +301,20 @@ def _matrix_links(shared: DataFrame, groups: DataFrame, labels: DataFrame, sketc
     held = groups.join(parts, ["group", "chunk"]).select("group", "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("query"), "node")
     rows = asked.unionByName(held).join(short_sketches(sketches, num, den), "node")
     near = open_groups(rows.select("group", "chunk", "part", "query", "node", "size", "sketch"), num, den)
-    # one direction of each pair is enough, and only of what isn't connected
-    side = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-    near = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(side, "a", "left").join(side.toDF("b", "cb"), "b", "left")
-    near = cut(near_pairs(near.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), sketches, num, den), "jaccard-near", 2000)
-    return exact_links(near, docs, n, num, den)
+    # one direction of each pair is enough
+    near = cut(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "differ").groupBy("a", "b").agg(F.min("differ").alias("differ")), "jaccard-near")
+
+    def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+        side = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
+        return pairs.join(side, "a", "left").join(side.toDF("b", "cb"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "differ")
+
+    # first every node with its likeliest partner, so that near copies of one text connect by few links; then all that is still apart
+    near = apart(near, labels)
+    best = near.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b")).unionByName(near.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")))
+    first = exact_links(cut(near_pairs(best.distinct(), sketches, num, den), "jaccard-best", 2000), docs, n, num, den)
+    labels = components(stars.unionByName(first), "jaccard-comp")
+    rest = exact_links(cut(near_pairs(apart(near, labels).select("a", "b"), sketches, num, den), "jaccard-rest", 2000), docs, n, num, den)
+    return first.unionByName(rest)
 
 
 def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -327,7 +339,7 @@ def join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str
     near = cut(near_pairs(groups.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")), sketches, num, den), "jaccard-star", 2000)
     stars = exact_links(near, fed, n, num, den)
     labels = components(stars, "jaccard-comp")
-    more = _matrix_links(shared, groups.select("node", "group", "chunk"), labels, sketches, fed, n, num, den)
+    more = _matrix_links(shared, groups.select("node", "group", "chunk"), stars, labels, sketches, fed, n, num, den)
     if more is not None:
         labels = components(stars.unionByName(more), "jaccard-comp")
     of = sets.select("id", "n", "s1", "s2").join(same, ["s1", "s2", "n"], "left").select("id", "n", F.coalesce("node", "id").alias("node"))
