@@ -86,8 +86,8 @@ def internal_hosts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("plausible_domains", S.PLAUSIBLE)
 def plausible_domains(spark: SparkSession, d: str) -> DataFrame:
-    words = read(spark, d, "documents").select(F.explode(F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), F.lit(1)), 1, 20)).alias("w"))
-    names = words.select(F.concat("w", F.lit(".com")).alias("name")).distinct()
+    words = read(spark, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), F.lit(1)))).alias("w")).distinct()
+    names = words.select(F.concat("w", F.lit(".com")).alias("name"))
     return names.select("name", X.is_plausible_domain(F.col("name")).alias("plausible"))
 
 
