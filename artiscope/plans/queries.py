@@ -362,7 +362,7 @@ def archive_members(spark: SparkSession, d: str) -> DataFrame:
 @query("settings_of_files", "SELECT 'e' || event_id || '.ini' AS file_path, 'app.user' AS key, CAST(user_id AS VARCHAR) AS value FROM events WHERE event_id % 10 = 0 UNION ALL SELECT 'e' || event_id || '.ini', 'app.debug', CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'no' END FROM events WHERE event_id % 10 = 0")
 def settings_of_files(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("[app]\nuser = "), F.col("user_id").cast("string"), F.lit("\ndebug = "), F.when(F.col("user_id") % 2 == 0, "true").otherwise("no"), F.lit("\n"))
-    files = read(spark, d, "events").where("event_id % 10 = 0").select(F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit(".ini")).alias("path"), text.cast("binary").alias("content"))
+    files = read(spark, d, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit(".ini")).alias("path"), text.cast("binary").alias("content"))
     return config.settings(files).select("file_path", "key", "value")
 
 

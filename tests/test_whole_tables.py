@@ -16,3 +16,11 @@ def test_plausible_domains_judges_every_word(spark, sf_dir):
     want = {f"{w}.com": len(w) >= 3 and 2 * sum(c.isdigit() for c in w) <= len(w) and case(w) for w in words}
     rows = catalog.queries()["plausible_domains"](spark, sf_dir).collect()
     assert len(rows) == len(want) and {r["name"]: r.plausible for r in rows} == want
+
+
+def test_settings_of_files_reads_every_event(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id").collect()
+    want = [(f"e{r.event_id}.ini", "app.user", str(r.user_id)) for r in events]
+    want += [(f"e{r.event_id}.ini", "app.debug", "no" if r.user_id % 2 else "true") for r in events]
+    rows = catalog.queries()["settings_of_files"](spark, sf_dir).select("file_path", "key", "value").collect()
+    assert any(r.event_id % 10 for r in events) and sorted(map(tuple, rows)) == sorted(want)
