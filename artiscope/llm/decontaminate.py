@@ -6,8 +6,10 @@ that any stretch as long as the longest item lies in one whole. A passage asks f
 reaches the threshold. Block-max WAND answers: the sum of the words' largest impacts must reach the
 threshold (tested for all passages at once), then the sum of their largest impacts in some block of items
 (again at once), and only for the few passages left does the search walk the posting lists by pivots.
-What it retrieves is verified by the shares of the item's question and answer that the passage repeats,
-in shingles of five words.
+Questions of ``MIN_QUESTION`` words or more are indexed as well, beside their items, so that a passage with
+the question alone is retrieved however long the answer is. What is retrieved is verified in shingles of five
+words: a passage leaks an item when it repeats enough of the whole item, or enough of such a question.
+The answer's share is reported; an answer alone, or a shorter question alone, is too common a text to decide.
 
 An index holds at most ``SHARD_ITEMS`` items; more items make more indexes and one pass over the corpus
 each, so what is broadcast has a fixed bound.
@@ -37,6 +39,8 @@ from artiscope.llm._worker import claim, nothing
 K1, B = 1.2, 0.75
 #: Share of an item's score against itself that a passage must reach to be looked at, and share of its shingles to be a leak.
 THRESHOLD, OVERLAP, SHINGLE = 0.5, 0.8, 5
+#: Words of a question that is a leak without the answer.
+MIN_QUESTION = 8
 SHARD_ITEMS, BLOCK_ITEMS = 1024, 2
 #: Characters of text that are worked on together.
 CHUNK = 1 << 20
@@ -61,10 +65,32 @@ def shingles(ws: list[str], n: int) -> set[tuple]:
     return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)}
 
 
+def floor(shares: dict[str, float], ws: list[str], overlap: float) -> float:
+    """What the words of a passage score at least that repeats this share of the shingles of ``ws``."""
+    want = shingles(ws, SHINGLE)
+    inside = Counter(w for g in want for w in set(g))
+    # a word is missing only with all its shingles, and a missing shingle has SHINGLE words at most
+    room = SHINGLE * int((1 - overlap) * len(want) + 1e-9)
+    left = sum(shares[w] for w in inside)
+    for w in sorted(inside, key=lambda w: (-shares[w] / inside[w], w)):
+        part = min(1.0, room / inside[w])
+        left -= part * shares[w]
+        room -= part * inside[w]
+        if room <= 0:
+            break
+    return max(left, 1e-6)
+
+
 class Index:
-    """Impacts of a shard of items: posting lists by word, their maxima, and the maxima by block of items."""
+    """Impacts of a shard of items and their questions: posting lists by word, their maxima, and the maxima by block.
+
+    What is retrieved is a unit, an item or its question; ``of`` has the item of each unit. The two stand side by
+    side, so they share blocks. Both take the words' weights and the mean length from the items. A question is no
+    unit where its words alone bring the item to the threshold; else its impacts are scaled so that whatever
+    repeats enough of it reaches the threshold, and little else does.
+    """
 
-    def __init__(self, items: list[tuple], block: int = BLOCK_ITEMS):
+    def __init__(self, items: list[tuple], block: int = BLOCK_ITEMS, threshold: float = THRESHOLD, overlap: float = OVERLAP):
         self.ids = [i for i, _ in items]
         tokens = [words(t) for _, t in items]
         self.block = block
@@ -75,28 +101,46 @@ class Index:
         n = len(items)
         idf = {w: np.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
         self.postings: list[list[tuple[int, float]]] = [[] for _ in self.term]
-        for k, ws in enumerate(tokens):
+        pairs = [question_and_answer(t or "") for _, t in items]
+        self.asks = [len(q) >= MIN_QUESTION for q, _ in pairs]
+        self.of: list[int] = []
+        self.whole: list[bool] = []
+        self.shares: list[dict[int, float]] = []
+
+        def shares_of(ws: list[str]) -> dict[str, float]:
             norm = K1 * (1 - B + B * len(ws) / mean)
             impact = {w: idf[w] * tf * (K1 + 1) / (tf + norm) for w, tf in Counter(ws).items()}
             total = sum(impact[w] for w in sorted(impact))
-            for w in sorted(impact):
-                self.postings[self.term[w]].append((k, impact[w] / total))
+            return {w: impact[w] / total for w in sorted(impact)}
+
+        def add(item: int, shares: dict[str, float], whole: bool) -> None:
+            for w, s in shares.items():
+                self.postings[self.term[w]].append((len(self.of), s))
+            self.of.append(item)
+            self.whole.append(whole)
+
+        for k, ws in enumerate(tokens):
+            own, question = shares_of(ws), pairs[k][0]
+            add(k, own, True)
+            self.shares.append({self.term[w]: s for w, s in own.items()})
+            if self.asks[k] and floor(own, question, overlap) < threshold:
+                asked = shares_of(question)
+                scale = threshold / floor(asked, question, overlap)
+                add(k, {w: s * scale for w, s in asked.items()}, False)
         self.top = np.array([max(s for _, s in p) for p in self.postings])
-        self.block_top = np.zeros((len(self.postings), -(-n // block) if n else 0), np.float32)
+        self.block_top = np.zeros((len(self.postings), -(-len(self.of) // block)), np.float32)
         for t, p in enumerate(self.postings):
             for k, s in p:
                 self.block_top[t, k // block] = max(self.block_top[t, k // block], np.nextafter(np.float32(s), np.float32(2)))
         self.parts = []
-        for _, text in items:
-            q, a = question_and_answer(text or "")
-            both = words(text)
+        for both, (q, a) in zip(tokens, pairs):
             size = min(SHINGLE, len(both))
             own = lambda ws: shingles(ws, min(size, len(ws))) if ws else set()
             self.parts.append((shingles(both, size) if size else set(), own(q), own(a)))
 
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """Items whose score reaches the threshold, with the score: document-at-a-time with pivots and block maxima."""
-        end = len(self.ids)
+        """Units whose score reaches the threshold, with the score: document-at-a-time with pivots and block maxima."""
+        end = len(self.of)
         cursors = [[self.postings[t][0][0], t, 0] for t in terms]
         found = []
         while True:
@@ -135,6 +179,19 @@ class Index:
                 c[2] += 1
             c[0] = p[c[2]][0] if c[2] < len(p) else end
 
+    def retrieve(self, terms: list[int], threshold: float) -> dict[int, float]:
+        """Items that reach the threshold, or whose question does, with the share of the item's own score."""
+        found = self.wand(terms, threshold)
+        out = {self.of[k]: score for k, score in found if self.whole[k]}
+        for item in {self.of[k] for k, _ in found} - out.keys():
+            own = self.shares[item]
+            out[item] = sum(own[t] for t in terms if t in own)
+        return out
+
+    def leaked(self, item: int, shares: tuple[float, float, float], overlap: float) -> bool:
+        """Whether a passage with these shares leaks the item: the whole of it, or a question that tells it."""
+        return shares[0] >= overlap or (self.asks[item] and shares[1] >= overlap)
+
     def verify(self, item: int, passage: list[str]) -> tuple[float, float, float]:
         """Shares of the item's shingles, of its question's and of its answer's that the passage repeats."""
         out = []
@@ -203,9 +260,9 @@ def leaks(index: Index, texts: list[str | None], threshold: float, overlap: floa
             upto += 1
         tokens = [words(t) for t in texts[row:upto]]
         for d, s, e, terms in index.passages(tokens, threshold):
-            for item, score in index.wand(terms, threshold):
+            for item, score in index.retrieve(terms, threshold).items():
                 shares = index.verify(item, tokens[d][s:e])
-                if shares[0] >= overlap:
+                if index.leaked(item, shares, overlap):
                     old = out[row + d].get(item)
                     out[row + d][item] = [max(score, old[0]) if old else score, *(max(a, b) for a, b in zip(shares, old[1:4] if old else shares)), (old[4] if old else 0) + 1]
         row = upto
@@ -232,7 +289,7 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     schema = T.StructType([fed.schema[id_col], T.StructField(item_col, item_kind.dataType), *(T.StructField(n, k) for n, k, _ in _OUT)])
     found = []
     for part in shards(items, item_col, item_text, shard_items):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(part))
+        shared = docs.sparkSession.sparkContext.broadcast(Index(part, threshold=threshold, overlap=overlap))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -249,7 +306,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
     """The rows of ``docs`` that leak no item, with exactly its columns."""
     at = docs.columns.index(text_col)
     for part in shards(items, item_col, item_text, shard_items):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(part))
+        shared = docs.sparkSession.sparkContext.broadcast(Index(part, threshold=threshold, overlap=overlap))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             claim("decontaminate", nothing)

@@ -88,3 +88,29 @@ def test_odd_rows(spark, planted):
     assert got == [(0, 4), (3, 3), (3, 3)]
     assert dc.search(docs.limit(0), bench).count() == 0
     assert dc.search(docs, bench.limit(0)).count() == 0 and dc.clean(docs, bench.limit(0)).count() == 5
+
+
+def test_questions_leak_without_their_answers(spark):
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(900)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    asked = {k: say(rng.randint(8, 25) if k < 20 else 5) for k in range(24)}
+    told = {k: say(rng.randint(15, 40)) for k in asked}
+    items = {k: " ".join(asked[k]) + "? " + " ".join(told[k]) + "." for k in asked}
+    assert all(dc.question_and_answer(items[k]) == (asked[k], told[k]) for k in items)
+    texts = {}
+    for k in items:
+        texts[k] = say(rng.randint(0, 500)) + asked[k] + say(rng.randint(0, 500))
+        texts[100 + k] = say(90) + told[k] + say(70)
+        half = len(asked[k]) // 2
+        texts[200 + k] = say(90) + asked[k][:half] + ["edited"] + asked[k][half + 1 :] + say(90)
+    docs = spark.createDataFrame([(k, " ".join(ws)) for k, ws in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    near = lambda k: len(asked[k]) - 4 - 5 >= dc.OVERLAP * (len(asked[k]) - 4)
+    shares = {k: len(dc.shingles(told[k], 5)) / len(dc.shingles(asked[k] + told[k], 5)) for k in items}
+    want = {(k, k) for k in range(20)} | {(200 + k, k) for k in range(20) if near(k)} | {(100 + k, k) for k in items if shares[k] >= dc.OVERLAP}
+    for size in (1024, 7):
+        rows = dc.search(docs, bench, shard_items=size).collect()
+        assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want)
+        assert all(r.question_overlap == 1 and r.overlap < dc.OVERLAP for r in rows if r.doc_id < 20)
+        assert {r.doc_id for r in dc.clean(docs, bench, shard_items=size).collect()} == set(texts) - {d for d, _ in want}
