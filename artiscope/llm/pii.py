@@ -286,8 +286,9 @@ def discover(scanned: DataFrame, docs: DataFrame, text_col: str, min_support: in
     mentions = scanned.select("text_key", F.explode("mentions").alias("m")).select("text_key", "m.*")
     edges = mentions.select("value", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "value", "kind").agg(F.count("*").alias("n"))
     edges = cut(edges, "pii-edges")
-    # only patterns that could reach the support at any round: enough distinct values in all, one of them a seed at least
-    wanted = edges.groupBy("pattern").agg(F.countDistinct("value").alias("values"), F.max("kind").alias("top")).where(f"values >= {min_support} and top >= 0")
+    # only patterns that could reach the support at any round: enough distinct values in all, seeds or not, as candidates
+    # that a round finds support the patterns of the next
+    wanted = edges.groupBy("pattern").agg(F.countDistinct("value").alias("values")).where(f"values >= {min_support}")
     wanted = cut(wanted, "pii-wanted")
     totals = cut(occurrences(docs, text_col, wanted), "pii-totals")
     patterns, found = score_graph(edges.join(wanted.select("pattern"), "pattern", "left_semi"), totals, rounds, min_support, min_confidence)

@@ -74,6 +74,21 @@ def test_patterns_of_seeds_discover_an_unseen_phone(spark):
     assert all(got[k].n_phone == 1 for k in range(10, 16))
 
 
+def test_discovered_phones_induce_patterns_of_their_own(spark):
+    local = [f"(4{k}2) 555-09{k}" for k in range(20, 24)]
+    rows = cue_rows()[:6]
+    rows += [(100 + k, f"Please ring the office hotline: {x} during the day.") for k, x in enumerate(local)]
+    rows += [(200 + k, f"Their night porter answers {x} until dawn.") for k, x in enumerate(local)]
+    rows += [(300, "Their night porter answers (777) 321-4567 until dawn."), (301, "The serial 555 0934 12 stays as the part number.")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in pii.extract(docs).collect()}
+    for k, text in rows[6:-1]:
+        s = text.index("(")
+        assert got[k].spans == f"phone:{s}:{s + 14 if k == 300 else s + len(local[k % 100])}", k
+    assert got[301].spans == ""
+    assert all("<PHONE>" in r.text for r in pii.redact(docs, chars_col=None).collect() if r.doc_id != 301)
+
+
 def test_redaction_keeps_columns_and_rows(spark):
     rows = [(*r, "en", len(r[1])) for r in cue_rows()] + [(60, None, "en", None), (50, cue_rows()[-2][1], "fr", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, added string, n_chars long")
