@@ -37,15 +37,21 @@ from artiscope.llm._worker import claim
 
 CAPACITY = 2048
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 3, 5, 6
-#: Stretches (of 64 characters or less) whose ids a worker remembers, and characters of text that it works on at a time.
-CACHE_WORDS, BLOCK = 1_500_000, 1 << 21
+#: Stretches (of 64 characters or less) whose ids a worker remembers in either of two generations, stretches that it
+#: encodes in one call, and characters of text that it works on at a time.
+CACHE_WORDS, CALL_WORDS, BLOCK = 120_000, 8192, 1 << 20
 
 #: Text for which splitting here equals the tokenizer's own: no characters that its normalizer would compose or treat unlike str.lower.
+_MARKS = ".,;:!?"
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-įı-ȳ]*")
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes; each distinct stretch between white space is encoded once."""
+    """Ids of texts as little-endian unsigned 32-bit bytes; stretches between white space are encoded once while remembered.
+
+    Stretches that were in use lately are in ``known``; when it is full it becomes ``older``, and what was older and
+    not used again is forgotten. So frequent stretches stay, and memory has a bound.
+    """
 
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
@@ -55,9 +61,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # stretches of plain texts are lower case and composed already, and none of them is an added token
+        self.quick = Tokenizer.from_file(path)
+        self.quick.encode_special_tokens = True
+        self.quick.normalizer = None
         self.split = regex.compile(self.SPLIT).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word of the split
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -67,28 +78,41 @@ class Encoder:
 
     def stretches(self, new: list[str]) -> list[bytes]:
         """Ids of each stretch, from one call for all: every word of the split ends with one id that says so."""
-        raw = self.whole([" ".join(new)])[0]
-        stop = np.concatenate([[0], 4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)])
-        upto = np.concatenate([[0], np.cumsum([len(self.split(t)) for t in new])])
-        if upto[-1] != len(stop) - 1 or stop[-1] != len(raw):
-            return self.whole(new)
-        cuts = stop[upto].tolist()
+        ids = np.array(self.quick.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        stop = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+        upto = np.cumsum([0, *(1 if t.isalpha() else len(self.split(t)) for t in new)])
+        if upto[-1] != len(stop) - 1 or stop[-1] != len(ids):
+            return [np.array(e.ids, "<u4").tobytes() for e in self.quick.encode_batch_fast(new, add_special_tokens=False)]
+        cuts, raw = (4 * stop[upto]).tolist(), ids.tobytes()
         return [raw[x:y] for x, y in zip(cuts, cuts[1:])]
 
+    def learn(self, fresh: list[str]) -> None:
+        """Remember the ids of new stretches; marks at the end of a word are words of their own, so what precedes them is encoded once."""
+        tails = [(w, c) for w in fresh if w[-1] in _MARKS and (c := w.rstrip(_MARKS)) and c[-1].isalnum()]
+        whole = set(fresh).difference(w for w, _ in tails)
+        parts = {p for w, c in tails for p in (c, w[len(c) :])}.difference(self.known)
+        todo = list(whole | parts)
+        for k in range(0, len(todo), CALL_WORDS):
+            some = todo[k : k + CALL_WORDS]
+            self.known.update(zip(some, self.stretches(some)))
+        for w, c in tails:
+            self.known[w] = self.known[c] + self.known[w[len(c) :]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [_PLAIN.fullmatch(t) is not None for t in texts]
+        plain = [_PLAIN.fullmatch(t) is not None and not any(a in t for a in self.added) for t in texts]
         words = [t.lower().split() if ok else () for t, ok in zip(texts, plain)]
-        new = list(set(chain.from_iterable(words)).difference(self.known))
-        if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = list(set(chain.from_iterable(words)))
-            self.known.update(zip(new, self.stretches(new)))
+        new = set(chain.from_iterable(words)).difference(self.known)
+        again = new.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        fresh = list(new - again)
+        self.learn(fresh)
         get = self.known.__getitem__
         out = [b"".join(map(get, w)) if ok else self.whole([t])[0] for t, w, ok in zip(texts, words, plain)]
-        for w in new:
+        for w in fresh:
             if len(w) > 64:
                 del self.known[w]
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
         return out
 
 

@@ -11,12 +11,10 @@ from artiscope.llm import packing as pk
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(pk.tokenizer_file())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(pk.tokenizer_file())
 
 
-ODD = ["", "Don't STOP'S we'LL ''s 's", "naïve İstanbul ΣΑΣ ſ ﬁ é a\u0085b c\x1cd", "1234 x² ½ ¼ _ __ \U0001f600\U0001f600", "<|endoftext|> <|startoftext|>x", "a" * 30_000, "\t\r\n", "Ǆ ß ẞ"]
+ODD = ["", "Don't STOP'S we'LL ''s 's", "naïve İstanbul ΣΑΣ ſ ﬁ é a\u0085b c\x1cd", "1234 x² ½ ¼ _ __ \U0001f600\U0001f600", "<|endoftext|> <|startoftext|>x", "<|EndOfText|> a...b. c?! 'S. 9. x9: «é». ***.", "a" * 30_000, "\t\r\n", "Ǆ ß ẞ"]
 
 
 def test_encoder_equals_the_tokenizer(spark, sf_dir, tokenizer):
