@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,15 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (local tests)."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset a local session gets a temporary folder; a cluster gets an error,
+    as its machines would not see each other's."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="artiscope-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def cut(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataFrame:
@@ -58,15 +63,19 @@ def free_name(base: str, taken) -> str:
     return base
 
 
-#: Rows of texts that go to Python at a time.
-BATCH_ROWS = 1000
+#: Rows, and bytes, that go to Python at a time.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let the session send texts to Python in small batches: what a worker and its executor hold is bounded by a batch."""
-    now = int(spark.conf.get(_BATCH))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(_BATCH, BATCH_ROWS)
+    """Let the session send texts to Python in small batches: what a worker and its executor hold is bounded by a batch.
+
+    The setting stays, as what an operator returns is computed later; a smaller one of the caller's is left alone.
+    """
+    for key, most in ((_BATCH, BATCH_ROWS), (_BYTES, BATCH_BYTES)):
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from artiscope.llm._scratch import cut, table
+from artiscope.llm._worker import worker
 
 #: Bytes of a repeated string and of a gram. Strings with one anchor start within ``LENGTH - GRAM + 1`` bytes.
 LENGTH, GRAM, SYMBOL = 200, 64, 8
@@ -105,6 +106,7 @@ _OCCURRENCES = "u long, start int, strings int, place int, h long, g long"
 def scan(docs: DataFrame) -> DataFrame:
     """The segments of all texts; docs: u (of the row), text."""
 
+    @worker("bytes")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u = batch.column(0).to_numpy(zero_copy_only=False)
@@ -169,6 +171,7 @@ def refine(group: np.ndarray, place: np.ndarray, strings: np.ndarray, raw: list[
 def merge_groups(rows: DataFrame) -> DataFrame:
     """Masks of segments. rows: h, g, parts, part, place, strings, raw; a task works on whole groups, as many as fit ``REFINE``."""
 
+    @worker("bytes")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
@@ -203,6 +206,7 @@ def _among(docs: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
     bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
+    @worker("bytes")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slot = (batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
@@ -219,6 +223,7 @@ def _segment_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = _among(docs.select("u", "text"), lists.select("u")).dropDuplicates(["u"])
     rows = texts.join(lists, "u").select("text", "want")
 
+    @worker("bytes")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
@@ -284,6 +289,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([T.StructField(id_col, fed.schema["id"].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("spans", T.ArrayType(span))])
 
+    @worker("bytes")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from artiscope.llm._scratch import table
-from artiscope.llm._worker import claim, nothing
+from artiscope.llm._worker import worker
 
 K1, B = 1.2, 0.75
 #: Share of an item's score against itself that a passage must reach to be looked at, and share of its shingles to be a leak.
@@ -291,6 +291,7 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     for part in shards(items, item_col, item_text, shard_items):
         shared = docs.sparkSession.sparkContext.broadcast(Index(part, threshold=threshold, overlap=overlap))
 
+        @worker("decontaminate")
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
@@ -308,8 +309,8 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
     for part in shards(items, item_col, item_text, shard_items):
         shared = docs.sparkSession.sparkContext.broadcast(Index(part, threshold=threshold, overlap=overlap))
 
+        @worker("decontaminate")
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            claim("decontaminate", nothing)
             for batch in batches:
                 hit = leaks(shared.value, batch.column(at).to_pylist(), threshold, overlap)
                 mask = pa.array([k not in hit for k in range(batch.num_rows)], pa.bool_())

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from artiscope.llm._scratch import cut, table
-from artiscope.llm._worker import claim
+from artiscope.llm._worker import worker
 from artiscope.llm.components import components
 
 #: Members of a group, queries that meet it in one task, bits of the tables of common tokens and of candidate ids.
@@ -61,6 +61,11 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def forget() -> None:
+    """Of this worker's own table; a function of this module, so that tasks don't bring a copy along."""
+    _HASHES.clear()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M2
     x = (x ^ (x >> np.uint64(27))) * _M3
@@ -69,7 +74,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def tokens(text: str | None, n: int) -> np.ndarray:
     """The set of a text as sorted 64-bit numbers: its n-grams of words, or all words as one where there are fewer."""
-    claim("jaccard", _HASHES.clear)
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -106,6 +110,7 @@ def _has(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
 def common_tokens(docs: DataFrame, n: int) -> np.ndarray:
     """Bit table of tokens that many documents have, by one in ``ONE_IN`` of them."""
 
+    @worker("jaccard", forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [tokens(t, n) for t in batch.column(0).to_pylist()]
@@ -149,6 +154,7 @@ def scan_sets(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray) -
     """id, size, two signatures of the set, the tokens that the index holds, and the sketch, for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
+    @worker("jaccard", forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
@@ -173,6 +179,7 @@ def scan_sets(docs: DataFrame, n: int, num: int, den: int, common: np.ndarray) -
 def short_sketches(sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Sketches folded to what still tells unrelated sets apart: somewhat more buckets than linked sets may differ in."""
 
+    @worker("jaccard", forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -191,6 +198,7 @@ def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     bits = docs.sparkSession.sparkContext.broadcast(_bit_rows(nodes.select(F.shiftrightunsigned(F.xxhash64("node"), 64 - BITS).alias("slot"))))
 
+    @worker("jaccard", forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mask = pa.array(_has(bits.value, batch.column(2).to_numpy(zero_copy_only=False)), pa.bool_())
@@ -203,6 +211,7 @@ def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def near_pairs(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches leave room for a link."""
 
+    @worker("jaccard", forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -221,6 +230,7 @@ def exact_links(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -
     """The pairs (a, b) that link, as a written table; many pairs may have one b."""
     texts = texts_of(docs, pairs)
 
+    @worker("jaccard", forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, np.ndarray] = {}
         for batch in batches:

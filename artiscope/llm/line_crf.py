@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from artiscope.llm._labels import first_rows, held_out, training_labels
 from artiscope.llm._scratch import table
+from artiscope.llm._worker import worker
 
 #: Labelled rows that the field is fitted to, at most, of either quality.
 MAX_ROWS = 2500
@@ -189,6 +190,7 @@ def _sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, max_r
     chosen = first_rows(known.where("label = 1"), max_rows, id_col).unionByName(first_rows(known.where("label = 0"), max_rows, id_col))
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), "label")
 
+    @worker("quality field")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines = [split_lines(t) for t in batch.column(1).to_pylist()]
@@ -216,6 +218,7 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     fed = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     weights = field.weights.astype(np.float64)
 
+    @worker("quality field")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()

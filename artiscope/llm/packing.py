@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from artiscope.llm._scratch import cut, table
-from artiscope.llm._worker import claim
+from artiscope.llm._worker import worker
 
 CAPACITY = 2048
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 3, 5, 6
 #: Stretches (of 64 characters or less) whose ids a worker remembers in either of two generations, stretches that it
 #: encodes in one call, and characters of text that it works on at a time.
-CACHE_WORDS, CALL_WORDS, BLOCK = 120_000, 8192, 1 << 20
+CACHE_WORDS, CALL_WORDS, BLOCK = 200_000, 8192, 1 << 20
 
 #: Text for which splitting here equals the tokenizer's own: no characters that its normalizer would compose or treat unlike str.lower.
 _MARKS = ".,;:!?"
@@ -119,14 +119,23 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def encoder(path: str) -> Encoder:
+    """This worker's encoder; a function of this module, so that tasks don't bring tables of their own along."""
+    return _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+
+
+def forget() -> None:
+    _ENCODERS.clear()
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, piece, start, length and ids_crc32 of each piece: ids, then the end mark 0; only longer documents are cut."""
     fed = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     kind = fed.schema[id_col]
 
+    @worker("packing", forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("packing", _ENCODERS.clear)
-        enc = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, Encoder(tokenizer_path))
+        enc = encoder(tokenizer_path)
         step = 4 * capacity
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -280,6 +289,7 @@ def islands(spark: SparkSession, hist: Counter, capacity: int = CAPACITY, n_isla
         guests = {k: [elites[k], elites[k - 1]] if elites else [] for k in range(n_islands)}
         frozen = pickle.dumps(guests)
 
+        @worker("packing", forget)
         def run(batches, epoch=epoch, frozen=frozen):
             for batch in batches:
                 ids = batch.column(0).to_pylist()
@@ -323,6 +333,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col:
     ranked = ranked.select(id_col, "piece", "start", "length", "ids_crc32", (F.col("__first") + F.col("__row") - 1).alias("sequence_id"))
     out = T.StructType([*ranked.schema, T.StructField("offset", T.LongType())])
 
+    @worker("packing", forget)
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column(3).to_numpy(zero_copy_only=False)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from artiscope.llm._scratch import cut, drop, free_name, table
-from artiscope.llm._worker import claim, nothing
+from artiscope.llm._worker import worker
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -184,8 +184,8 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each document: the base entities, and all mentions with their patterns (kind -1: a candidate)."""
     fed = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
+    @worker("pii")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("pii", nothing)
         mention = pa.struct([("s", pa.int32()), ("e", pa.int32()), ("kind", pa.int32()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))])
         for batch in batches:
             keys, bases, counts, mentions = [], [], [[] for _ in KINDS], []
@@ -221,6 +221,7 @@ def _slots2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def occurrences(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     """How often each pattern of ``wanted`` (column pattern) holds any word at all, over the whole corpus."""
 
+    @worker("pii")
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([int(_slot(p)) for p in batch.column(0).to_pylist()], pa.int64())], names=["slot"])
@@ -232,6 +233,7 @@ def occurrences(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
         bitmap[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
+    @worker("pii")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
         tally: Counter = Counter()
@@ -350,6 +352,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", char
         keyed = docs.withColumn(key, F.pandas_udf(lambda s: s.fillna("").map(text_key), "string")(F.col(text_col).cast("string")))
         rows = _join_added(keyed, added, key, list_name).select(*names, list_name)
 
+    @worker("pii")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lists = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()

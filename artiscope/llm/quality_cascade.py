@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from artiscope.llm._scratch import free_name, table
-from artiscope.llm._worker import claim, nothing
+from artiscope.llm._worker import worker
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -176,6 +176,7 @@ def estimate(docs: DataFrame, text_col: str = "text", rules=BASE_RULES + RULES,
     if total > sample_rows:
         texts = texts.sample(False, min(1.0, 1.3 * sample_rows / total), seed).limit(sample_rows)
 
+    @worker("quality")
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spent, hits, seen = [0] * len(rules), [0] * len(rules), 0
         for batch in batches:
@@ -226,6 +227,7 @@ def annotate(docs: DataFrame, text_col: str = "text", rules=RULES, ordered=None)
     text_in = free_name("__text", rest)
     fed = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").cast("string").alias(text_in))
 
+    @worker("quality")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: dict[str, list] = {f.name: [] for f in new}
@@ -249,8 +251,8 @@ def keep(docs: DataFrame, text_col: str = "text", rules=BASE_RULES + RULES) -> D
     ordered = order_rules(rules, estimate(docs, text_col, rules))
     at = docs.columns.index(text_col)
 
+    @worker("quality")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("quality", nothing)
         for batch in batches:
             mask = [first_rejection(Document(t), ordered) is None for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pc.filter(c, pa.array(mask, pa.bool_())) for c in batch.columns], schema=batch.schema)

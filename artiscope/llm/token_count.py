@@ -9,12 +9,14 @@ block together; words with other characters walk the same links one by one.
 Words are runs of letters, digits and underscores, or single other characters that aren't white space. A
 word that can't be covered counts as one unknown token.
 
-Results for odd input: null and empty texts have no words and no tokens. Rows are counted one by one,
+Results for odd input: null and empty texts have no words and no tokens. Very long texts are counted in
+parts cut at white space, with the same sums; a word however long is one word. Ties don't arise. Rows are counted one by one,
 repeated or not. Extra columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from artiscope.llm._scratch import table
+from artiscope.llm._worker import worker
 
 #: Characters below this number have a column in the dense table if the vocabulary has them.
 DENSE = 0x250
@@ -53,8 +56,10 @@ class Automaton:
     def __init__(self, begin: Iterable[str], more: Iterable[str]):
         self.goto: list[dict[str, int]] = [{}, {}]
         token = [False, False]
+        self.longest = 1
         for root, pieces in ((0, begin), (1, more)):
             for piece in pieces:
+                self.longest = max(self.longest, len(piece))
                 at = root
                 for c in piece:
                     nxt = self.goto[at].get(c)
@@ -109,7 +114,8 @@ class Automaton:
         self.cls[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         at = {c: k + 1 for k, c in enumerate(chars)}
         n, width = len(self.goto), len(chars) + 1
-        self.next, self.popped = np.full((n + 1, width), n, np.int32), np.zeros((n + 1, width), np.uint8)  # row n: dead
+        counter = np.min_scalar_type(self.longest)  # nothing pops more tokens than a piece has characters
+        self.next, self.popped = np.full((n + 1, width), n, np.int32), np.zeros((n + 1, width), counter)  # row n: dead
         for v in self._order:
             f = self.fail[v]
             if f >= 0:
@@ -169,34 +175,65 @@ class Automaton:
 _BUILT: dict[int, Automaton] = {}
 
 
+def automaton(key: int, vocabulary_: tuple[list[str], list[str]]) -> Automaton:
+    """This worker's automaton of a vocabulary, built once; a function of this module, so that tasks don't bring tables along."""
+    auto = _BUILT.get(key)
+    if auto is None:
+        _BUILT.clear()
+        auto = _BUILT[key] = Automaton(*vocabulary_)
+        auto.dense()
+    return auto
+
+
+def forget() -> None:
+    _BUILT.clear()
+
+
+_GAP = re.compile(r"\s")
+
+
+def blocks(texts: list[str | None], size: int | None = None) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts, with their places in the list, in blocks of about ``size`` characters; longer texts are cut at white space, where no word goes on."""
+    size = size or BLOCK
+    owner: list[int] = []
+    part: list[str] = []
+    held = 0
+    for k, text in enumerate(texts):
+        text = text or ""
+        at = 0
+        while at < len(text):
+            end = len(text)
+            if end - at > size:
+                gap = _GAP.search(text, at + size)
+                end = gap.end() if gap else end
+            owner.append(k)
+            part.append(text[at:end])
+            held += end - at + 1
+            at = end
+            if held >= size:
+                yield owner, part
+                owner, part, held = [], [], 0
+    if part:
+        yield owner, part
+
+
 def count_tokens(docs: DataFrame, begin: list[str], more: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_tokens and n_unknown (words that the vocabulary doesn't cover; each is one token) for each row."""
     fed = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast((begin, more))  # a vocabulary: its size doesn't depend on the data
     key = shared.id if hasattr(shared, "id") else id(shared)
 
+    @worker("tokens", forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = _BUILT.get(key)
-        if auto is None:
-            _BUILT.clear()
-            auto = _BUILT[key] = Automaton(*shared.value)
-            auto.dense()
+        auto = automaton(key, shared.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            sums = np.zeros((3, len(texts)), np.int64)
-            row = 0
-            while row < len(texts):
-                upto, size = row, 0
-                while upto < len(texts) and (size < BLOCK or upto == row):
-                    size += len(texts[upto] or "") + 1
-                    upto += 1
-                part = [t or "" for t in texts[row:upto]]
+            sums = np.zeros((3, batch.num_rows), np.int64)
+            for owner, part in blocks(batch.column(1).to_pylist()):
                 starts, counts = auto.block("\n".join(part))
                 edge = np.cumsum([len(t) + 1 for t in part])
-                of = np.searchsorted(edge, starts, side="right")
+                of = np.array(owner)[np.searchsorted(edge, starts, side="right")]
                 for k, x in enumerate((np.ones(len(counts)), np.where(counts < 0, 1, counts), counts < 0)):
-                    sums[k, row:upto] = np.bincount(of, weights=x, minlength=len(part)).astype(np.int64)
-                row = upto
+                    sums[k] += np.bincount(of, weights=x, minlength=batch.num_rows).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sums)], names=[id_col, "n_words", "n_tokens", "n_unknown"])
 
     return fed.mapInArrow(run, T.StructType([fed.schema[id_col], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_tokens", "n_unknown"))]))

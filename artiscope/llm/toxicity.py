@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from artiscope.llm._labels import first_rows, held_out, training_labels
 from artiscope.llm._scratch import table
+from artiscope.llm._worker import worker
 
 PREFIXES = (4, 5, 6, 7, 8, 9)
 #: Rows of the training sample, at most.
@@ -164,6 +165,7 @@ def cut_point(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 
 def _feature_rows(docs: DataFrame, id_col: str, text_col: str) -> list[np.ndarray]:
+    @worker("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [np.array([f for w in sorted(words(t)) for f in features(w)], "<u4").tobytes() for t in batch.column(1).to_pylist()]
@@ -194,6 +196,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fed = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
 
+    @worker("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         m = shared.value

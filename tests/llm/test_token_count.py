@@ -72,3 +72,23 @@ def test_odd_rows(spark, pieces):
     assert [g for g in got if g[0] is not None] == want
     assert next(g for g in got if g[0] is None)[1] == 2
     assert tc.count_tokens(docs.limit(0), *pieces).count() == 0
+
+
+def test_pieces_longer_than_a_byte_counts():
+    begin, more = ["a" * 300 + "b"], ["a"]
+    auto = tc.Automaton(sorted([*begin, *more]), more)
+    auto.dense()
+    for word in ("a" * 300, "a" * 299 + "c", "a" * 300 + "b", "a" * 900):
+        want = -1 if "c" in word else 1 if word.endswith("b") else len(word)
+        assert auto.count(word) == want and auto.block(word)[1].tolist() == [want]
+
+
+def test_long_texts_are_counted_in_parts(spark, monkeypatch):
+    texts = ["ab  cd " * 50, None, "", "x" * 100 + " ab", "\n \u3000ab\u3000" * 9]
+    want = [t for _, t in sorted((k, "".join(p for o, ps in [*tc.blocks(texts, 16)] for i, p in zip(o, ps) if i == k)) for k in range(len(texts)))]
+    assert want == [t or "" for t in texts]
+    auto = tc.Automaton(["ab", "cd", "x"], ["b", "d", "x"])
+    auto.dense()
+    for t in filter(None, texts):
+        parts = [auto.block("\n".join(p))[1].tolist() for _, p in tc.blocks([t], 16)]
+        assert sum(parts, []) == auto.block(t)[1].tolist()
