@@ -1,17 +1,21 @@
 """Personal data by bootstrapped contextual extraction.
 
 Four regular expressions find base entities (email, ip, card, phone). They seed a graph of instances
-and lexical patterns (the one or two words before a mention, the word after it). Patterns score by the
-share of all their occurrences in the corpus that hold known instances, instances by the patterns they
-occur in, in turns; a candidate that no expression matched becomes an identifier of a kind when strong
-patterns of that kind hold it and its shape allows the kind.
+and lexical patterns: the word before a mention (L1), the two before (L2), the word after (R1), the word
+two before whatever is between (G), the word before without its marks, as in "tel:" and "Tel" (N), and a
+name glued to its value, as in "mail:x" (K). A pattern's confidence is the smoothed share of all its
+occurrences in the corpus that hold known instances; occurrences that hold something of the kind's shape
+that isn't known count half. Instances score by the patterns they occur in, in turns; a candidate that no
+expression matched becomes an identifier of a kind when strong patterns of that kind hold it and its shape
+allows the kind. Whole words make patterns, however long they are.
 
 Nothing of the corpus comes to the driver: mentions, patterns and scores are tables. What is broadcast
 is a bit table of fixed size (``BITMAP_BITS``) that says which words need counting at all; its false
 hits fall away in a join.
 
 Results for odd input: a null text is an empty text and has no spans. Repeated rows each get the same
-result. Ties (spans with one start) order by kind as listed in ``KINDS``. Extra columns are ignored by
+result. Very long texts and words are read whole. Ties (spans with one start, kinds with one score) order by
+kind as listed in ``KINDS``. Extra columns are ignored by
 ``extract`` and pass through ``redact``. An empty table gives an empty table.
 """
 
@@ -103,6 +107,11 @@ def shape_allows(kind: int, value: str) -> bool:
     )[kind]
 
 
+def fits(value: str) -> int:
+    """The kinds that a value's shape allows, a bit each."""
+    return sum(1 << k for k in range(len(KINDS)) if shape_allows(k, value))
+
+
 def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Identifier-shaped spans that overlap no base span: tokens with four digits or more, groups of digits, emails in disguise."""
     found: list[tuple[int, int]] = []
@@ -149,26 +158,44 @@ def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
+def _beside(text: str, at: int, step: int) -> list[str]:
+    """Up to four whole words before (step -1) or after ``at``; the nearest may be what is glued to it."""
+    size = 160
+    while True:
+        end = max(0, at - size) if step < 0 else min(len(text), at + size)
+        ws = text[min(at, end) : max(at, end)].split()
+        if end in (0, len(text)):
+            return ws[-4:] if step < 0 else ws[:4]
+        if len(ws) > 4:  # the outermost may be cut
+            return ws[1:][-4:] if step < 0 else ws[:-1][:4]
+        size *= 8
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """Patterns of a mention: L1 the word before, L2 the two words before, R1 the word after; lower case."""
-    before = text[max(0, start - 160) : start].lower().split()
-    after = text[end : end + 80].lower().split()
-    glued = start > 0 and not text[start - 1].isspace()
+    """Patterns of a mention, in lower case."""
     out = []
+    before = [w.lower() for w in _beside(text, start, -1)]
+    if before and not text[start - 1].isspace():
+        name = before.pop()
+        if name[-1] in ":=" and name[:-1].strip(_EDGE):
+            out.append("K " + name[:-1].strip(_EDGE))
+        if name.strip(_EDGE):
+            before = []  # the mention is a part of a word
     if before:
-        if glued and len(before) > 1 and not before[-1].strip(_EDGE):
-            before = before[:-1]
         out.append("L1 " + before[-1])
+        if name := before[-1].strip(_EDGE):
+            out.append("N " + name)
         if len(before) > 1:
-            out.append(f"L2 {before[-2]} {before[-1]}")
-    if after and not after[0].strip(_EDGE):
-        after = after[1:]
+            out += [f"L2 {before[-2]} {before[-1]}", "G " + before[-2]]
+    after = [w.lower() for w in _beside(text, end, 1)]
+    if after and not text[end].isspace():
+        after = [] if after[0].strip(_EDGE) else after[1:]
     if after:
         out.append("R1 " + after[0])
     return out
 
 
-_MENTION = T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("patterns", T.ArrayType(T.StringType()))])
+_MENTION = T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("value", T.StringType()), T.StructField("fits", T.IntegerType()), T.StructField("patterns", T.ArrayType(T.StringType()))])
 _SCAN = T.StructType([T.StructField("text_key", T.StringType()), T.StructField("base", T.StringType()), *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("mentions", T.ArrayType(_MENTION))])
 
 
@@ -186,7 +213,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     @worker("pii")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mention = pa.struct([("s", pa.int32()), ("e", pa.int32()), ("kind", pa.int32()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))])
+        mention = pa.struct([("s", pa.int32()), ("e", pa.int32()), ("kind", pa.int32()), ("value", pa.string()), ("fits", pa.int32()), ("patterns", pa.list_(pa.string()))])
         for batch in batches:
             keys, bases, counts, mentions = [], [], [[] for _ in KINDS], []
             for text in batch.column(1).to_pylist():
@@ -198,24 +225,58 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for k, col in enumerate(counts):
                     col.append(tally[k])
                 seen = [*known, *((s, e, -1) for s, e in candidates(text, known))]
-                mentions.append([{"s": s, "e": e, "kind": k, "value": text[s:e].lower(), "patterns": contexts(text, s, e)} for s, e, k in seen])
+                mentions.append([{"s": s, "e": e, "kind": k, "value": text[s:e].lower(), "fits": fits(text[s:e]), "patterns": contexts(text, s, e)} for s, e, k in seen])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(bases, pa.string()), *(pa.array(c, pa.int64()) for c in counts), pa.array(mentions, pa.list_(mention))], names=["id", *_SCAN.fieldNames()])
 
     return fed.mapInArrow(run, T.StructType([T.StructField("id", fed.schema["id"].dataType), *_SCAN]))
 
 
-def _slot(pattern: str) -> int:
-    kind, _, words = pattern.partition(" ")
-    parts = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words.split(" ")]
-    return _slots1(np.array(parts[:1]))[0] if kind != "L2" else _slots2(np.array(parts[:1]), np.array(parts[1:2]))[0]
+_SALT = {"L1": 1, "R1": 2, "G": 3, "N": 4, "K": 5, "L2": 6}
 
 
-def _slots1(h: np.ndarray) -> np.ndarray:
-    return (h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 22)
+def _crc(words) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64)
 
 
-def _slots2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + b.astype(np.uint64) * np.uint64(0x165667B19E3779F9) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 22)
+def _slots(kind: str, a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
+    x = (a + np.uint64(_SALT[kind] << 33)) * np.uint64(0x9E3779B97F4A7C15)
+    if b is not None:
+        x = (x ^ (x >> np.uint64(31))) + b * np.uint64(0x165667B19E3779F9)
+    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - 22)).astype(np.int64)
+
+
+def _slot(pattern: str) -> int:
+    kind, _, words = pattern.partition(" ")
+    return int(_slots(kind, *(_crc([w]) for w in words.split(" ")))[0])
+
+
+def tally_patterns(text: str, table_: np.ndarray, tally: Counter) -> None:
+    """Add the occurrences of patterns with a bit in the table, at every word of a text that could be a mention."""
+    words = text.lower().split()
+    h = _crc(words)
+    for i, w in enumerate(words):
+        if ":" in w or "=" in w:
+            for m in re.finditer("[:=]", w):
+                name = w[: m.start()].strip(_EDGE)
+                if name and m.end() < len(w) and table_[_slot("K " + name)]:
+                    tally["K " + name] += 1
+    if len(words) < 2:
+        return
+    names = h.copy()
+    odd = [i for i, w in enumerate(words) if not w.isalnum()]
+    bare = {i: words[i].strip(_EDGE) for i in odd}
+    names[odd] = _crc(bare.values())
+    for i in np.flatnonzero(table_[_slots("L1", h[:-1])]).tolist():
+        tally["L1 " + words[i]] += 1
+    for i in np.flatnonzero(table_[_slots("N", names[:-1])]).tolist():
+        if name := bare.get(i, words[i]):
+            tally["N " + name] += 1
+    for i in (np.flatnonzero(table_[_slots("R1", h[1:])]) + 1).tolist():
+        tally["R1 " + words[i]] += 1
+    for i in np.flatnonzero(table_[_slots("G", h[:-2])]).tolist():
+        tally["G " + words[i]] += 1
+    for i in np.flatnonzero(table_[_slots("L2", h[:-2], h[1:-1])]).tolist():
+        tally[f"L2 {words[i]} {words[i + 1]}"] += 1
 
 
 def occurrences(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -224,7 +285,7 @@ def occurrences(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     @worker("pii")
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int(_slot(p)) for p in batch.column(0).to_pylist()], pa.int64())], names=["slot"])
+            yield pa.RecordBatch.from_arrays([pa.array([_slot(p) for p in batch.column(0).to_pylist()], pa.int64())], names=["slot"])
 
     # at most BITMAP_BITS / 64 rows of one word each, however many patterns there are
     words = wanted.select("pattern").mapInArrow(slots, "slot long").groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
@@ -244,17 +305,7 @@ def occurrences(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words = text.lower().split()
-                if len(words) < 2:
-                    continue
-                h = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words))
-                one = table_[_slots1(h).astype(np.int64)]
-                for i in np.flatnonzero(one[:-1]).tolist():
-                    tally["L1 " + words[i]] += 1
-                for i in (np.flatnonzero(one[1:]) + 1).tolist():
-                    tally["R1 " + words[i]] += 1
-                for i in np.flatnonzero(table_[_slots2(h[:-1], h[1:]).astype(np.int64)][: len(words) - 2]).tolist():
-                    tally[f"L2 {words[i]} {words[i + 1]}"] += 1
+                tally_patterns(text, table_, tally)
                 if len(tally) > 100_000:
                     yield from flush()
         yield from flush()
@@ -266,27 +317,43 @@ def occurrences(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
 def score_graph(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
     """Scores of patterns and of candidates, per kind, after ``rounds`` of mutual scoring.
 
-    edges: pattern, value, kind (-1: a candidate), n. totals: pattern, n. Both results have a column for
+    edges: pattern, value, fits, kind (-1: a candidate), n. totals: pattern, n. Both results have a column for
     each kind; patterns below the support or the confidence give nothing to their candidates.
     """
     zero = F.lit(0.0)
     seeds = edges.where("kind >= 0").groupBy("value").agg(*[F.max((F.col("kind") == k).cast("double")).alias(x) for k, x in enumerate(KINDS)])
+    candidates_ = edges.where("kind < 0").select("pattern", "value", "fits").distinct()
     scores = seeds
-    patterns = None
+    patterns = found = None
     for turn in range(rounds):
-        held = edges.select("pattern", "value", "n").join(scores, "value").groupBy("pattern").agg(*[F.sum(F.col("n") * F.col(x)).alias(x) for x in KINDS], *[F.sum(F.when(F.col(x) >= min_confidence, 1).otherwise(0)).alias(f"{x}_support") for x in KINDS])
-        fresh = held.join(totals.withColumnRenamed("n", "total"), "pattern").select("pattern", *[F.when((F.col(f"{x}_support") >= min_support) & (F.col(x) / F.greatest("total", F.lit(1)) >= min_confidence), F.least(F.col(x) / F.greatest("total", F.lit(1)), F.lit(1.0))).otherwise(zero).alias(x) for x in KINDS]).where(" + ".join(KINDS) + " > 0")
+        score = lambda x: F.coalesce(x, zero)
+        open_ = lambda k, x: (F.col("kind") < 0) & (F.col("fits").bitwiseAND(1 << k) != 0) & (score(x) < min_confidence)
+        sums = [
+            y
+            for k, x in enumerate(KINDS)
+            for y in (
+                F.sum(F.col("n") * score(x)).alias(x),
+                F.sum(F.when(score(x) >= min_confidence, 1).otherwise(0)).alias(f"{x}_support"),
+                F.sum(F.when(open_(k, x), F.col("n")).otherwise(0)).alias(f"{x}_open"),
+            )
+        ]
+        held = edges.join(scores, "value", "left").groupBy("pattern").agg(*sums).join(totals.withColumnRenamed("n", "total"), "pattern")
+        share = lambda x: (F.col(x) + 0.5) / (F.greatest("total", x) - 0.5 * F.col(f"{x}_open") + 1)
+        fresh = held.select("pattern", *[F.when((F.col(f"{x}_support") >= min_support) & (share(x) >= min_confidence), F.least(share(x), F.lit(1.0))).otherwise(zero).alias(x) for x in KINDS]).where(" + ".join(KINDS) + " > 0")
         patterns = cut(fresh, f"pii-patterns-{turn}")
-        # a candidate's score: the noisy or of the patterns that hold it
-        found = edges.where("kind < 0").select("pattern", "value").distinct().join(patterns, "pattern").groupBy("value").agg(*[(1 - F.exp(F.sum(F.log(F.greatest(1 - F.col(x), F.lit(1e-9)))))).alias(x) for x in KINDS])
+        # a candidate's score: the noisy or of the patterns that hold it, of the kinds that its shape allows
+        best = [F.when(F.first("fits").bitwiseAND(1 << k) != 0, 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col(x), F.lit(1e-9)))))).otherwise(zero).alias(x) for k, x in enumerate(KINDS)]
+        found = candidates_.join(patterns, "pattern").groupBy("value").agg(*best)
         scores = seeds.unionByName(found).groupBy("value").agg(*[F.max(x).alias(x) for x in KINDS])
     return patterns, found
 
 
-def discover(scanned: DataFrame, docs: DataFrame, text_col: str, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """Spans that the method adds: text_key, s, e, kind; one kind for each, the best by score, then order."""
-    mentions = scanned.select("text_key", F.explode("mentions").alias("m")).select("text_key", "m.*")
-    edges = mentions.select("value", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "value", "kind").agg(F.count("*").alias("n"))
+def discover(mentions: DataFrame, docs: DataFrame, text_col: str, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+    """Spans that the method adds: text_key, s, e, kind; one kind for each, the best by score, then order of ``KINDS``.
+
+    mentions: text_key and the fields of a mention.
+    """
+    edges = mentions.select("value", "fits", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "value", "fits", "kind").agg(F.count("*").alias("n"))
     edges = cut(edges, "pii-edges")
     # only patterns that could reach the support at any round: enough distinct values in all, seeds or not, as candidates
     # that a round finds support the patterns of the next
@@ -294,14 +361,24 @@ def discover(scanned: DataFrame, docs: DataFrame, text_col: str, min_support: in
     wanted = cut(wanted, "pii-wanted")
     totals = cut(occurrences(docs, text_col, wanted), "pii-totals")
     patterns, found = score_graph(edges.join(wanted.select("pattern"), "pattern", "left_semi"), totals, rounds, min_support, min_confidence)
-    allowed = F.udf(lambda v: [shape_allows(k, v) for k in range(len(KINDS))], T.ArrayType(T.BooleanType()))
-    best = F.array(*[F.struct(F.col(x).alias("score"), F.lit(-k).alias("rank")) for k, x in enumerate(KINDS)])
-    fit = found.withColumn("fit", allowed("value")).withColumn("best", F.array_max(F.filter(best, lambda b: (b["score"] >= min_confidence) & F.element_at(F.col("fit"), 1 - b["rank"])))).where("best is not null").select("value", (-F.col("best.rank")).alias("kind"))
-    added = mentions.where("kind < 0").drop("kind", "patterns").join(fit, "value").select("text_key", "s", "e", "kind").distinct()
+    best = F.array_max(F.array(*[F.struct(F.col(x).alias("score"), F.lit(-k).alias("rank")) for k, x in enumerate(KINDS)]))
+    fit = found.select("value", best.alias("best")).where(F.col("best.score") >= min_confidence).select("value", (-F.col("best.rank")).alias("kind"))
+    added = mentions.where("kind < 0").select("text_key", "s", "e", "value").join(fit, "value").select("text_key", "s", "e", "kind").distinct()
     return cut(added, "pii-added")
 
 
-_ONE = T.StructType([T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
+def mentions_of(scanned: DataFrame) -> DataFrame:
+    return scanned.select("text_key", F.explode("mentions").alias("m")).select("text_key", "m.*")
+
+
+def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_in: int = 3, **how) -> DataFrame:
+    """How well discovery finds what it isn't told: for each kind the seeds hidden (a value in ``one_in``, as candidates), how many spans came back, and with another kind."""
+    scanned = cut(scan(docs, id_col, text_col), "pii-scan")
+    told = mentions_of(scanned).withColumn("was", F.col("kind")).withColumn("kind", F.when((F.col("kind") >= 0) & (F.pmod(F.xxhash64("value"), F.lit(one_in)) == 0), -1).otherwise(F.col("kind")))
+    got = discover(told.drop("was"), docs, text_col, **how).withColumnRenamed("kind", "got")
+    hidden = told.where("kind < 0 and was >= 0").select("text_key", "s", "e", "was").distinct()
+    rows = hidden.join(got, ["text_key", "s", "e"], "left").groupBy("was")
+    return rows.agg(F.count("*").alias("hidden"), F.count(F.when(F.col("got") == F.col("was"), 1)).alias("found"), F.count(F.when(F.col("got") != F.col("was"), 1)).alias("mistaken"))
 
 
 def _join_added(rows: DataFrame, added: DataFrame, key: str, out: str = "added") -> DataFrame:
@@ -313,15 +390,15 @@ def _join_added(rows: DataFrame, added: DataFrame, key: str, out: str = "added")
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row for each row of ``docs``: id, counts of base entities, base_sha256, spans (base and added), n_added."""
+    """One row for each row of ``docs``: id, counts of base entities, base_sha256, spans (base and added), n_added, n_spans."""
     scanned = cut(scan(docs, id_col, text_col), "pii-scan")
-    added = discover(scanned, docs, text_col, **how)
+    added = discover(mentions_of(scanned), docs, text_col, **how)
     kind = F.array(*map(F.lit, KINDS))
     parts = F.transform("added", lambda a: F.struct(a["s"].alias("s"), a["kind"].alias("kind"), F.concat_ws(":", F.element_at(kind, a["kind"] + 1), a["s"], a["e"]).alias("t")))
     base = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("s"), (F.array_position(kind, F.split(x, ":")[0]) - 1).cast("int").alias("kind"), x.alias("t")))
     both = F.array_sort(F.concat(base, F.coalesce(parts, F.array().cast("array<struct<s:int,kind:int,t:string>>"))))
     return _join_added(scanned.drop("mentions"), added, "text_key").select(
-        F.col("id").alias(id_col), *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), F.array_join(F.transform(both, lambda x: x["t"]), ",").alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_added")
+        F.col("id").alias(id_col), *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), F.array_join(F.transform(both, lambda x: x["t"]), ",").alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_added"), F.size(both).cast("long").alias("n_spans")
     )
 
 
@@ -339,7 +416,7 @@ def redact_text(text: str, added) -> str:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **how) -> DataFrame:
     """``docs`` with every identifier replaced by <EMAIL>, <IP>, <CARD> or <PHONE>; the same columns, the length brought up to date."""
     scanned = cut(scan(docs, id_col, text_col).where(F.size("mentions") > 0).select("text_key", "mentions"), "pii-scan")
-    added = discover(scanned, docs, text_col, **how)
+    added = discover(mentions_of(scanned), docs, text_col, **how)
     names = docs.columns
     key = free_name("text_key", names)
     at = names.index(text_col)

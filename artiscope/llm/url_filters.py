@@ -10,7 +10,8 @@ Keys that hold many captures are salted: a key is hot if it holds more than one
 are broadcast.
 
 Results for odd input: equal captures (id, url, time) give one row with their number in n_rows; a null
-url or time matches nothing; of list events at one instant a removal counts after an addition; repeated
+url or time matches nothing, at no time; a very long URL has keys for as many path segments as the deepest
+list entry has; of list events at one instant a removal counts after an addition; repeated
 events count once; unknown actions are ignored. Extra columns are ignored. Empty lists match nothing.
 """
 
@@ -35,13 +36,13 @@ def intervals(events: DataFrame) -> DataFrame:
     return spans.select("list_name", "kind", "entry", F.col("at").alias("valid_from"), "valid_to").where("valid_to is null or valid_to > valid_from")
 
 
-def url_keys(url: str) -> F.Column:
-    """Array of (kind, key) that could name the URL in a list."""
+def url_keys(url: str, depth: int) -> F.Column:
+    """Array of (kind, key) that could name the URL in a list whose path prefixes have up to ``depth`` segments."""
     host = F.lower(F.regexp_extract(url, HOST, 1))
     labels = F.split(host, r"\.")
     segments = F.filter(F.split(F.lower(F.regexp_extract(url, PATH, 1)), "/"), lambda x: x != "")
     domains = F.when(F.size(labels) > 1, F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key"))))
-    prefixes = F.when(F.size(segments) > 0, F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat_ws("/", host, F.array_join(F.slice(segments, F.lit(1), i), "/")).alias("key"))))
+    prefixes = F.when(F.size(segments) > 0, F.transform(F.sequence(F.lit(1), F.least(F.size(segments), F.lit(max(1, depth)))), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat_ws("/", host, F.array_join(F.slice(segments, F.lit(1), i), "/")).alias("key"))))
     none = F.array().cast("array<struct<kind:string,key:string>>")
     hosts = F.array(F.struct(F.lit("host").alias("kind"), host.alias("key")))
     return F.when(F.length(host) > 0, F.concat(hosts, F.coalesce(domains, none), F.coalesce(prefixes, none))).otherwise(none)
@@ -63,7 +64,8 @@ def evaluate(captures: DataFrame, events: DataFrame, id_col: str = "page_id", ur
     then host, then domain) than every active allow entry.
     """
     one = captures.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(time_col).alias("at")).groupBy("id", "url", "at").agg(F.count("*").alias("n_rows"))
-    keys = one.select("id", "url", "at", F.inline(url_keys("url")))
+    deepest = events.where("kind = 'prefix'").agg(F.max(F.size(F.split("entry", "/")) - 1)).first()[0] or 1
+    keys = one.where("at is not null").select("id", "url", "at", F.inline(url_keys("url", deepest)))
     salts = F.broadcast(_salts(keys))
     dealt = keys.join(salts, ["kind", "key"], "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", "url", "at"), F.col("salts"))).cast("int"))
     valid = intervals(events).withColumnRenamed("entry", "key").join(salts, ["kind", "key"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))

@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +110,113 @@ def test_empty_and_repeated_rows(spark):
     got = sorted((r.doc_id or -1, r.spans) for r in pii.extract(docs).collect())
     assert got == [(-1, ""), (1, ""), (1, "email:0:6"), (1, "email:0:6")]
     assert pii.redact(docs.withColumn("text_key", F.lit("k"))).columns == ["doc_id", "text", "text_key"]
+
+
+def cue_corpus(n=240, seed=9):
+    """Letters with every kind behind cues of its own, hidden ones in a form that no expression takes, and numbers that are none."""
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    filler = ["the garden was quiet", "rain fell on the old road", "nobody came by after noon", "we counted seven boats"]
+    rows, want = [], {}
+    for k in range(n):
+        kind = k % 3
+        hide = k % 5 == 0
+        if kind == 0:
+            value = f"({rng.randint(200, 999)}) {digits(3)}-{digits(4)}" if hide else f"+1 ({rng.randint(200, 999)}) {digits(3)}-{digits(4)}"
+            text = rng.choice([f"Tel: {value} until five.", f"Please ring tel. {value} today."])
+        elif kind == 1:
+            value = f"user{digits(3)} (at) mail{k % 7} (dot) org" if hide else f"user{digits(3)}@mail{k % 7}.org"
+            text = f"Write to {value} for the rest."
+        else:
+            value = f"10.{rng.randint(1, 99)}.x{digits(2)}.{rng.randint(1, 99)}".replace("x", "1") if not hide else f"fe80:{digits(4)}:{digits(4)}:1"
+            text = f"Seen from host {value} last night."
+        text = f"{rng.choice(filler)} {text} {rng.choice(filler)} part no. {digits(8)} stays"
+        rows.append((k, text))
+        if hide:
+            want[k] = (("phone", "email", "ip")[kind], text.index(value), text.index(value) + len(value))
+    return rows, want
+
+
+def plain_scores(rows, rounds=3, support=3, least=0.6):
+    """The same graph in plain Python: patterns and candidates by kind."""
+    edges, totals = Counter(), Counter()
+    for _, text in rows:
+        known = pii.base_spans(text)
+        for s, e, k in [*known, *((s, e, -1) for s, e in pii.candidates(text, known))]:
+            for p in pii.contexts(text, s, e):
+                edges[p, text[s:e].lower(), k] += 1
+        ws = text.lower().split()
+        bare = [w.strip(pii._EDGE) for w in ws]
+        for i, w in enumerate(ws):
+            last = len(ws) - 1
+            for hit, p in ((i < last, "L1 " + w), (i < last and bare[i], "N " + bare[i]), (i > 0, "R1 " + w), (i < last - 1, "G " + w), (i < last - 1, f"L2 {w} {ws[min(i + 1, last)]}")):
+                totals[p] += bool(hit)
+            for m in re.finditer("[:=]", w):
+                totals["K " + w[: m.start()].strip(pii._EDGE)] += m.end() < len(w)
+    values = defaultdict(set)
+    for p, v, _ in edges:
+        values[p].add(v)
+    scores = defaultdict(lambda: [0.0] * 4)
+    for _, v, k in edges:
+        if k >= 0:
+            scores[v][k] = 1.0
+    seeds = {v: list(x) for v, x in scores.items()}
+    for _ in range(rounds):
+        patterns = {}
+        for p in values:
+            if len(values[p]) < support:
+                continue
+            row = [0.0] * 4
+            for k in range(4):
+                mine = [(v, kind, n) for (q, v, kind), n in edges.items() if q == p]
+                held = sum(n * scores[v][k] for v, _, n in mine if v in scores)
+                number = sum(1 for v, _, n in mine if v in scores and scores[v][k] >= least)
+                unknown = sum(n for v, kind, n in mine if kind < 0 and pii.fits(v) >> k & 1 and not (v in scores and scores[v][k] >= least))
+                share = (held + 0.5) / (max(totals[p], held) - 0.5 * unknown + 1)
+                if number >= support and share >= least:
+                    row[k] = min(share, 1.0)
+            if any(row):
+                patterns[p] = row
+        found = {}
+        for v in {v for _, v, k in edges if k < 0}:
+            ps = [patterns[p] for p, w, k in edges if w == v and k < 0 and p in patterns]
+            if ps:
+                found[v] = [(1 - math.prod(1 - x[k] for x in ps)) if pii.fits(v) >> k & 1 else 0.0 for k in range(4)]
+        scores = defaultdict(lambda: [0.0] * 4, {v: list(x) for v, x in seeds.items()})
+        for v, x in found.items():
+            scores[v] = [max(a, b) for a, b in zip(scores[v], x)]
+    return patterns, found
+
+
+def test_discovery_equals_the_graph_in_plain_python(spark):
+    rows, want = cue_corpus()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in pii.extract(docs).collect()}
+    _, found = plain_scores(rows)
+    for k, text in rows:
+        known = pii.base_spans(text)
+        spans = [(s, e, kind) for s, e, kind in known]
+        for s, e in pii.candidates(text, known):
+            x = found.get(text[s:e].lower(), [0.0] * 4)
+            if max(x) >= 0.6 - 1e-12:
+                spans.append((s, e, x.index(max(x))))
+        assert got[k].spans == pii.write_spans(sorted(spans, key=lambda a: (a[0], a[2]))), k
+        assert got[k].n_spans == len(spans)
+    # what was hidden is found, what is no identifier is left alone
+    hits = sum(f"{kind}:{s}:{e}" in got[k].spans for k, (kind, s, e) in want.items())
+    added = sum(r.n_added for r in got.values())
+    assert hits >= 0.9 * len(want) and hits >= 0.95 * added > 0
+
+
+def test_masked_seeds_come_back(spark):
+    rows, _ = cue_corpus(400, 12)
+    for r in pii.masked(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert r.hidden > 10 and r.found >= 0.9 * r.hidden and not r.mistaken
+
+
+def test_contexts_are_whole_words():
+    long = "w" * 5000
+    text = f"one {long} two: (a@b.co), {long}s next"
+    assert pii.contexts(text, text.index("a@"), text.index("a@") + 6) == ["L1 two:", "N two", f"L2 {long} two:", f"G {long}", f"R1 {long}s"]
+    assert pii.contexts("see mail:a@b.co", 9, 15) == ["K mail"]
+    assert pii.contexts("xa@b.co", 1, 7) == [] and pii.contexts("a@b.co", 0, 6) == []

@@ -23,7 +23,7 @@ def test_captures_are_judged_as_of_their_fetch(spark):
     assert len(got) == 10
     assert [k for k, r in got.items() if r.blocked and k] == [k for k in got if k in (2, 6)] and got[None].blocked
     assert got[4].n_active == 2 and got[4].matched == "allow/prefix/www.bad.com/ok block/domain/bad.com" and not got[4].blocked
-    assert got[1].n_ever == 1 and got[1].n_active == 0 and got[6].n_rows == 2 and got[8].n_active == 0
+    assert got[1].n_ever == 1 and got[1].n_active == 0 and got[6].n_rows == 2 and got[8].n_active == 0 and got[8].n_ever == 0 and got[7].n_ever == 0
 
 
 def test_hot_key_is_salted_and_loses_nothing(spark):
@@ -32,3 +32,9 @@ def test_hot_key_is_salted_and_loses_nothing(spark):
     assert uf.evaluate(caps, events).where("blocked").count() == 1334 + 1
     assert uf.evaluate(caps, events.limit(0)).where("n_ever > 0").count() == 0
     assert uf.evaluate(caps.limit(0), events).count() == 0
+
+
+def test_deep_paths_meet_entries_of_any_depth(spark):
+    events = spark.createDataFrame([("block", "prefix", "a.com/x", "add", day(1)), ("block", "prefix", "a.com/x/y/z", "add", day(1)), ("block", "prefix", None, "add", day(1))], EVENTS)
+    caps = spark.createDataFrame([(1, "http://a.com/x/y/z" + "/w" * 3000, day(2)), (2, "http://a.com/x/y", day(2)), (3, "http://a.com/xy", day(2))], CAPS)
+    assert {r.page_id: r.n_active for r in uf.evaluate(caps, events).collect()} == {1: 2, 2: 1, 3: 0}
