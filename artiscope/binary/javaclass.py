@@ -65,7 +65,7 @@ def _parse(data: bytes) -> Class | None:
         for _ in range(members):
             _, name, descriptor, attributes = struct.unpack_from(">HHHH", data, at)
             at += 8
-            code = b""
+            code = None  # abstract and native methods have no body
             for _ in range(attributes):
                 kind, size = struct.unpack_from(">HI", data, at)
                 if is_method and text(kind) == "Code":
@@ -83,7 +83,7 @@ def returns_true(code: bytes) -> bool:
 
 
 def is_empty_body(code: bytes) -> bool:
-    return code.replace(b"\0", b"") == b"\xb1"
+    return code.strip(b"\0") in (b"", b"\xb1")
 
 
 def classes(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:

@@ -41,25 +41,43 @@ def occurrences(findings: DataFrame, order=ORDER) -> DataFrame:
     return rows.groupBy(*place).agg(F.min_by(row, F.struct(*order)).alias("__row")).select("__row.*")
 
 
-def group_issues(findings: DataFrame, order=ORDER, keep: int | None = None) -> DataFrame:
-    """One row for each issue: header fields of its first occurrence, affected_count, and its occurrences in order.
+#: Occurrences that an issue carries along, and parts that a hot issue's occurrences are dealt out to.
+KEEP, SALTS = 50, 64
+ISSUE = ("module", "rule_id", "issue_title", "severity", "severity_rank")
 
-    An issue's list can be as long as the corpus: ``keep`` bounds how many occurrences a report carries
-    along (affected_count counts all); None carries every one.
+
+def group_issues(findings: DataFrame, order=ORDER, keep: int = KEEP, any_of: dict[str, Column] | None = None) -> DataFrame:
+    """One row for each issue: header fields of its first occurrence, affected_count, and its first ``keep`` occurrences in order.
+
+    An issue can have as many occurrences as the corpus: they are dealt out by a salt, each part keeps its first
+    ``keep`` and counts the rest, and an issue is put together from ``SALTS`` such parts. locations_sum is a checksum
+    over all locations in any order. any_of: more columns, true where any occurrence at all meets the condition.
     """
-    occ = occurrences(findings, order)
+    any_of = any_of or {}
+    occ = occurrences(findings, order).withColumn("__salt", F.pmod(F.xxhash64("location", "evidence"), F.lit(SALTS)))
+    digest = F.conv(F.left(F.md5("location"), F.lit(8)), 16, 10).cast("long")
+    part = W.partitionBy(*ISSUE, "__salt")
+    dealt = occ.select(
+        "*",
+        F.row_number().over(part.orderBy(*order)).alias("__n"),
+        F.count("*").over(part).alias("__all"),
+        F.sum(digest).over(part).alias("__sum"),
+        *[F.coalesce(F.bool_or(c).over(part), F.lit(False)).alias(name) for name, c in any_of.items()],
+    ).where(F.col("__n") <= keep)
     item = F.struct(*[F.col(c) for c in order], "location", "confidence", "poc", "extra", "fingerprint")
-    key = ["module", "rule_id", "issue_title", "severity", "severity_rank"]
-    if keep is not None:
-        occ_ranked = occ.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(*order)))
-        listed = occ_ranked.where(F.col("__n") <= keep)
-    else:
-        listed = occ
-    head = occ.groupBy(*key).agg(F.count("*").alias("affected_count"), F.min_by(F.struct("title", "description", "remediation", "tags"), F.struct(*order)).alias("first"))
-    body = listed.groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("occurrences"))
+    once = lambda c: F.sum(F.when(F.col("__n") == 1, F.col(c)))
+    issues = dealt.groupBy(*ISSUE).agg(
+        once("__all").alias("affected_count"),
+        once("__sum").alias("locations_sum"),
+        F.min_by(F.struct("title", "description", "remediation", "tags"), F.struct(*order)).alias("first"),
+        F.slice(F.sort_array(F.collect_list(item)), 1, keep).alias("occurrences"),
+        *[F.bool_or(name).alias(name) for name in any_of],
+    )
     one = F.col("occurrences")[0]
-    return head.join(body, key).select(
-        "module", "rule_id", "issue_title", "first.*", "severity", "severity_rank", "affected_count", one["file_path"].alias("file_path"), one["evidence"].alias("evidence"), one["confidence"].alias("confidence"), one["poc"].alias("poc"), one["extra"].alias("extra"), "occurrences", F.transform("occurrences", lambda o: o["location"]).alias("locations")
+    return issues.select(
+        "module", "rule_id", "issue_title", "first.*", "severity", "severity_rank", "affected_count",
+        *[one[c].alias(c) for c in ("file_path", "evidence", "confidence", "poc", "extra")],
+        "occurrences", F.transform("occurrences", lambda o: o["location"]).alias("locations"), "locations_sum", *any_of,
     )
 
 
@@ -119,18 +137,14 @@ def files_scanned(findings: DataFrame, extracted_column: str = "extra") -> DataF
     return findings.agg(F.countDistinct(path).alias("files"), F.countDistinct(F.when(inside, path)).alias("extracted")).withColumn("input", F.col("files") - F.col("extracted"))
 
 
-def ui_filter(issues: DataFrame, severity: str | None = None, confidence: str | None = None, text: str | None = None) -> DataFrame:
-    """Issues by severity, by confidence of any occurrence, and by text in title, location, rule or evidence."""
-    out = issues
-    if severity:
-        out = out.where(F.col("severity") == severity)
-    if confidence:
-        out = out.where(F.exists("occurrences", lambda o: o["confidence"] == confidence))
-    if text:
-        low = text.lower()
-        inside = lambda c: F.lower(F.coalesce(c, F.lit(""))).contains(low)
-        out = out.where(inside(F.col("title")) | inside(F.col("rule_id")) | F.exists("occurrences", lambda o: inside(o["location"]) | inside(o["evidence"])))
-    return out
+def ui_filter(findings: DataFrame, severity: str | None = None, confidence: str | None = None, text: str | None = None, keep: int = KEEP) -> DataFrame:
+    """Issues by severity, by confidence of any occurrence, and by text in title, location, rule or evidence of any."""
+    low = (text or "").lower()
+    inside = lambda c: F.lower(F.coalesce(c, F.lit(""))).contains(low)
+    shown = inside(F.col("title")) | inside(F.col("rule_id")) | inside(F.col("location")) | inside(F.col("evidence"))
+    rows = findings.where(F.col("severity") == severity) if severity else findings
+    issues = group_issues(rows, keep=keep, any_of={"__sure": F.col("confidence") == confidence if confidence else F.lit(True), "__shown": shown})
+    return issues.where("__sure and __shown").drop("__sure", "__shown")
 
 
 # --- fixed values: tags to weakness and technique labels ---
@@ -171,7 +185,15 @@ def labels(tags: Column, by_tag: dict[str, str]) -> Column:
 
 
 # --- fixed values: module labels of reports ---
-MODULE_LABELS = {"secrets": "Secrets & Configuration", "dll_hijack": "DLL Hijacking", "signature": "Code Signing & Integrity", "re_exposure": "Binary Hardening & RE Exposure", "linux": "Linux Thick Client", "macos": "macOS Thick Client", "reputation": "Reputation"}
+MODULE_LABELS = {
+    "secrets": "Secrets & Configuration",
+    "dll_hijack": "DLL Hijacking",
+    "signature": "Code Signing & Integrity",
+    "re_exposure": "Binary Hardening & RE Exposure",
+    "linux": "Linux Thick Client",
+    "macos": "macOS Thick Client",
+    "reputation": "Reputation (VirusTotal)",
+}
 
 
 def module_label(module: Column) -> Column:
@@ -191,10 +213,10 @@ def report_filter(issues: DataFrame, severity: str | None = None, module: str |
 
 def roll_up(findings: DataFrame, rule: str, keep: int = 20) -> DataFrame:
     """One finding for each module instead of one for each file: its number of files and the first ``keep`` of them."""
-    rows = findings.where(F.col("rule_id") == rule)
-    ranked_ = rows.withColumn("__n", F.row_number().over(W.partitionBy("module").orderBy("file_path")))
-    few = ranked_.where(F.col("__n") <= keep).groupBy("module").agg(F.sort_array(F.collect_list("file_path")).alias("files"))
-    return rows.groupBy("module", "rule_id", "severity").agg(F.countDistinct("file_path").alias("n_files")).join(few, "module")
+    rows = findings.where(F.col("rule_id") == rule).select("module", "rule_id", "severity", "file_path").distinct()
+    part = W.partitionBy("module", F.pmod(F.xxhash64("file_path"), F.lit(SALTS)))
+    dealt = rows.select("*", F.row_number().over(part.orderBy("file_path")).alias("__n"), F.count("*").over(part).alias("__all")).where(F.col("__n") <= keep)
+    return dealt.groupBy("module", "rule_id", "severity").agg(F.sum(F.when(F.col("__n") == 1, F.col("__all"))).alias("n_files"), F.slice(F.sort_array(F.collect_list("file_path")), 1, keep).alias("files"))
 
 
 def hardening_summary(findings: DataFrame) -> DataFrame:

@@ -2,47 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from artiscope.functions import text as X
 from artiscope.functions.findings import findings
 
 
-def _each(texts: DataFrame, gate: str, values) -> DataFrame:
-    """One row a value; a cheap test keeps texts without any from the extraction."""
-    return texts.where(F.col("text").rlike(gate)).select("file_path", F.posexplode(values).alias("pos", "evidence"))
+HIT = "array<struct<rule_id:string,title:string,severity:string,evidence:string,line_number:int,column_number:int,tags:array<string>,confidence:string,poc:string>>"
+
+
+def hit(rule_id, title, severity, evidence, tags=(), confidence="Medium", line_number=None, column_number=None, poc=None) -> Column:
+    """One match as a struct; what isn't a column is a literal."""
+    values = {"rule_id": rule_id, "title": title, "severity": severity, "evidence": evidence, "line_number": line_number, "column_number": column_number, "tags": tags, "confidence": confidence, "poc": poc}
+    made = lambda v: v if isinstance(v, Column) else F.array(*map(F.lit, v)) if isinstance(v, (list, tuple)) else F.lit(v)
+    return F.struct(*[made(v).alias(k) for k, v in values.items()])
+
+
+def gated(text: Column, gate: str, hits: Column) -> Column:
+    """Matches of a text that passes a cheap test; others never meet the dear expressions."""
+    return F.when(text.rlike(gate), hits.cast(HIT)).otherwise(F.array().cast(HIT))
+
+
+def text_findings(texts: DataFrame, hits: list[Column], module: str = "secrets") -> DataFrame:
+    """Findings of all ``hits`` from one pass over texts (file_path, text)."""
+    rows = texts.select("file_path", F.inline(F.flatten(F.array(*hits))))
+    return findings(rows, module=module, file_path=F.col("file_path"), **{c: F.col(c) for c in ("rule_id", "title", "severity", "evidence", "line_number", "column_number", "tags", "confidence", "poc")})
+
+
+def address_hits(text: Column) -> Column:
+    private = lambda v: X.is_private_ip(v)
+    return gated(text, r"[0-9]\.[0-9]", F.transform(X.addresses(text), lambda v: hit(F.when(private(v), "private-ip").otherwise("hardcoded-ip"), F.when(private(v), "Private address").otherwise("Hard-coded address"), F.when(private(v), "Info").otherwise("Low"), v, ["network"])))
+
+
+def email_hits(text: Column) -> Column:
+    return gated(text, "@", F.transform(X.emails(text), lambda v: hit("embedded-email", "Embedded e-mail address", "Info", v, ["contact"], "High")))
+
+
+def url_hits(text: Column) -> Column:
+    internal = lambda v: X.is_internal_host(X.host_of(v))
+    tag = lambda v: F.array(F.when(v.startswith("http://"), "transport").otherwise("network"))
+    return gated(text, "https?://", F.transform(X.urls(text), lambda v: hit(F.when(internal(v), "internal-host").otherwise("extracted-urls"), F.when(internal(v), "Internal host").otherwise("URL"), F.when(internal(v), "Low").otherwise("Info"), v, tag(v))))
+
+
+def api_hits(text: Column) -> Column:
+    return gated(text, "/(?:api|v[0-9]+|rest)/", F.transform(X.api_endpoints(text), lambda v: hit("api-endpoint", "API endpoint", "Info", v, ["network"])))
+
+
+def entropy_hits(text: Column) -> Column:
+    return gated(text, r"[A-Za-z0-9+/_\-=]{20}", F.transform(X.high_entropy_tokens(text), lambda v: hit("high-entropy-string", "High-entropy string", "Medium", v, ["credential"], "Low")))
 
 
 def address_findings(texts: DataFrame) -> DataFrame:
-    rows = _each(texts, r"[0-9]\.[0-9]", X.addresses(F.col("text")))
-    private = X.is_private_ip(F.col("evidence"))
-    return findings(rows, module="secrets", rule_id=F.when(private, "private-ip").otherwise("hardcoded-ip"), title=F.when(private, "Private address").otherwise("Hard-coded address"), severity=F.when(private, "Info").otherwise("Low"), file_path=F.col("file_path"), evidence=F.col("evidence"), tags=["network"], confidence="Medium")
+    return text_findings(texts, [address_hits(F.col("text"))])
 
 
 def email_findings(texts: DataFrame) -> DataFrame:
-    rows = _each(texts, "@", X.emails(F.col("text")))
-    return findings(rows, module="secrets", rule_id="embedded-email", title="Embedded e-mail address", severity="Info", file_path=F.col("file_path"), evidence=F.col("evidence"), tags=["contact"], confidence="High")
+    return text_findings(texts, [email_hits(F.col("text"))])
 
 
 def url_findings(texts: DataFrame) -> DataFrame:
-    rows = _each(texts, "https?://", X.urls(F.col("text")))
-    internal = X.is_internal_host(X.host_of(F.col("evidence")))
-    plain = F.col("evidence").startswith("http://")
-    return findings(rows, module="secrets", rule_id=F.when(internal, "internal-host").otherwise("extracted-urls"), title=F.when(internal, "Internal host").otherwise("URL"), severity=F.when(internal, "Low").otherwise("Info"), file_path=F.col("file_path"), evidence=F.col("evidence"), tags=F.when(plain, F.array(F.lit("transport"))).otherwise(F.array(F.lit("network"))), confidence="Medium")
+    return text_findings(texts, [url_hits(F.col("text"))])
 
 
 def api_findings(texts: DataFrame) -> DataFrame:
-    rows = _each(texts, "/(?:api|v[0-9]+|rest)/", X.api_endpoints(F.col("text")))
-    return findings(rows, module="secrets", rule_id="api-endpoint", title="API endpoint", severity="Info", file_path=F.col("file_path"), evidence=F.col("evidence"), tags=["network"], confidence="Medium")
+    return text_findings(texts, [api_hits(F.col("text"))])
 
 
 def entropy_findings(texts: DataFrame) -> DataFrame:
-    rows = _each(texts, r"[A-Za-z0-9+/_\-=]{20}", X.high_entropy_tokens(F.col("text")))
-    return findings(rows, module="secrets", rule_id="high-entropy-string", title="High-entropy string", severity="Medium", file_path=F.col("file_path"), evidence=F.col("evidence"), tags=["credential"], confidence="Low")
+    return text_findings(texts, [entropy_hits(F.col("text"))])
 
 
 def scan_text(texts: DataFrame, entropy: bool = True) -> DataFrame:
-    """All indicator findings."""
-    out = address_findings(texts).unionByName(email_findings(texts)).unionByName(url_findings(texts)).unionByName(api_findings(texts))
-    return out.unionByName(entropy_findings(texts)) if entropy else out
+    """All indicator findings, from one pass."""
+    text = F.col("text")
+    hits = [address_hits(text), email_hits(text), url_hits(text), api_hits(text)]
+    return text_findings(texts, [*hits, entropy_hits(text)] if entropy else hits)

@@ -8,10 +8,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from artiscope.functions.findings import findings
+from artiscope.operators.indicators import HIT, hit, text_findings
 
 log = logging.getLogger(__name__)
 
@@ -74,26 +75,31 @@ def rules_frame(spark: SparkSession, rules) -> DataFrame:
     return spark.createDataFrame(rows, "id string, description string, regex string, severity string, confidence string, group int, tags array<string>")
 
 
-def lines_of(texts: DataFrame, path: str, text: str, any_of: list[str]) -> DataFrame:
-    """file_path, line_number and line of the lines that match any pattern; texts without one are never split."""
-    hit = lambda c: reduce(lambda a, b: a | b, [F.col(c).rlike(p) for p in any_of])
-    rows = texts.select(F.col(path).alias("file_path"), F.col(text).alias("__text")).where(hit("__text"))
-    lines = rows.select("file_path", F.posexplode(F.split("__text", "\n")).alias("__i", "line"))
-    return lines.where(hit("line")).select("file_path", (F.col("__i") + 1).alias("line_number"), "line")
+def line_hits(text: Column, path: Column | None = None, rules=DEFAULT_RULES) -> Column:
+    """Matches of single-line rules in a text. A value that repeats on a line is one match at its first column.
 
+    Only texts with a match of some rule are split, and only lines with one are looked at rule by rule.
+    """
+    path = F.col("file_path") if path is None else path
+    any_of = lambda c: reduce(lambda a, b: a | b, [c.rlike(r.regex) for r in rules])
+    numbered = F.transform(F.split(text, "\n"), lambda line, i: F.struct((i + 1).alias("n"), line.alias("line")))
 
-def _as_hit(r: Rule):
-    tags = F.array(*map(F.lit, r.tags)).cast("array<string>")
-    return lambda m: F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.description).alias("title"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), tags.alias("tags"), m.alias("evidence"))
+    def of_line(x: Column) -> Column:
+        def of_rule(r: Rule) -> Column:
+            values = F.array_distinct(F.regexp_extract_all(x["line"], F.lit(r.regex), F.lit(r.group)))
+            poc = lambda v: F.concat(F.lit("Select-String -SimpleMatch -Path '"), path, F.lit("' -Pattern '"), v, F.lit("'"))
+            return F.transform(values, lambda v: hit(r.id, r.description, r.severity, v, F.array(*map(F.lit, r.tags)).cast("array<string>"), r.confidence, x["n"], F.instr(x["line"], v), poc(v)))
+
+        return F.flatten(F.array(*[of_rule(r).cast(HIT) for r in rules]))
+
+    found = F.flatten(F.transform(F.filter(numbered, lambda x: any_of(x["line"])), of_line))
+    return F.when(any_of(text), found).otherwise(F.array().cast(HIT))
 
 
 def scan(texts: DataFrame, rules=DEFAULT_RULES, path: str = "file_path", text: str = "text", module: str = "secrets") -> DataFrame:
-    """Findings of single-line rules. A value that repeats on a line is one finding at its first column."""
-    lines = lines_of(texts, path, text, [r.regex for r in rules])
-    per_rule = [F.transform(F.array_distinct(F.regexp_extract_all("line", F.lit(r.regex), F.lit(r.group))), _as_hit(r)) for r in rules]
-    hits = lines.select("file_path", "line_number", "line", F.inline(F.flatten(F.array(*per_rule))))
-    c = F.col
-    return findings(hits, module=module, rule_id=c("rule_id"), title=c("title"), severity=c("severity"), file_path=c("file_path"), evidence=c("evidence"), line_number=c("line_number"), column_number=F.instr(c("line"), c("evidence")), tags=c("tags"), confidence=c("confidence"), poc=F.concat(F.lit("Select-String -SimpleMatch -Path '"), c("file_path"), F.lit("' -Pattern '"), c("evidence"), F.lit("'")))
+    """Findings of single-line rules."""
+    rows = texts.select(F.col(path).alias("file_path"), F.col(text).alias("text"))
+    return text_findings(rows, [line_hits(F.col("text"), rules=rules)], module)
 
 
 def scan_keys(texts: DataFrame, path: str = "file_path", text: str = "text", module: str = "secrets") -> DataFrame:

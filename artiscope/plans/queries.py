@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +18,9 @@ from artiscope.sources import files as FS
 from artiscope.sources.tables import conversation_files, document_files, read
 from artiscope.streaming import incremental
 
+#: Queries judge certificates as of this moment.
+AS_OF = datetime(2025, 1, 1, tzinfo=timezone.utc)
+
 QUERIES: dict = {}
 SQL: dict = {}
 
@@ -110,7 +115,7 @@ def high_entropy(spark: SparkSession, d: str) -> DataFrame:
 
 def document_findings(spark: SparkSession, d: str) -> DataFrame:
     texts = document_files(spark, d)
-    return rules.scan(texts).unionByName(indicators.address_findings(texts)).unionByName(indicators.email_findings(texts)).unionByName(indicators.entropy_findings(texts))
+    return indicators.text_findings(texts, [rules.line_hits(F.col("text")), indicators.address_hits(F.col("text")), indicators.email_hits(F.col("text")), indicators.entropy_hits(F.col("text"))])
 
 
 _SHOWN = ("module", "rule_id", "severity", "file_path", "evidence", "line_number", "column_number", "fingerprint")
@@ -136,7 +141,7 @@ def fingerprint_dedup(spark: SparkSession, d: str) -> DataFrame:
 def finding_groups(spark: SparkSession, d: str) -> DataFrame:
     """Issues with their first occurrence, number of occurrences and a checksum over all locations."""
     issues = grouping.group_issues(document_findings(spark, d))
-    return issues.select("module", "rule_id", "issue_title", "severity", "affected_count", "file_path", "evidence", F.md5(F.array_join(F.array_sort("locations"), ";")).alias("locations_md5"))
+    return issues.select("module", "rule_id", "issue_title", "severity", "affected_count", "file_path", "evidence", "locations_sum")
 
 
 def document_issues(spark: SparkSession, d: str) -> DataFrame:
@@ -190,8 +195,7 @@ def files_scanned(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ui_filter", S.UI_FILTER)
 def ui_filter(spark: SparkSession, d: str) -> DataFrame:
-    issues = grouping.group_issues(document_findings(spark, d))
-    return grouping.ui_filter(issues, confidence="Medium", text="src1").select("rule_id", "severity", "affected_count")
+    return grouping.ui_filter(document_findings(spark, d), confidence="Medium", text="src1").select("rule_id", "severity", "affected_count")
 
 
 @query("tag_labels", S.TAGS)
@@ -338,7 +342,7 @@ def pe_mitigations(spark: SparkSession, d: str) -> DataFrame:
     """Images made of parts: their size gives the mitigation flags, odd keys are 32-bit."""
     flags = (F.col("p_size") * 1301 + F.col("p_partkey") * 97) % 32768
     rows = read(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".exe")).alias("path"), flags.cast("int").alias("flags"), (F.col("p_partkey") % 2 == 0).alias("wide"))
-    found = binaries.scan_binaries(specimens.made(rows, lambda flags, wide: specimens.image(flags, ("kernel32.dll",), wide)))
+    found = binaries.scan_binaries(specimens.made(rows, lambda flags, wide: specimens.image(flags, ("kernel32.dll",), wide)), AS_OF)
     return found.where(F.col("rule_id").isin("aslr-disabled", "aslr-high-entropy-va-disabled", "dep-disabled", "cfg-disabled", "safeseh-disabled")).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
 
 
@@ -351,6 +355,37 @@ def pe_imports(spark: SparkSession, d: str) -> DataFrame:
     return dlls.unknown_imports(imports, known, known.limit(0))
 
 
+@query("class_rules", S.CLASS_RULES)
+def class_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Class files made of documents: a cipher and a digest by source and language, a connection with the document's number."""
+    names = F.array(*map(F.lit, S.CIPHERS))
+    rows = read(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".class")).alias("path"), F.element_at(names, (F.col("doc_id") % len(S.CIPHERS) + 1).cast("int")).alias("cipher"), F.upper("lang").alias("lang"), F.concat(F.when(F.col("doc_id") % 4 == 0, "jdbc:db://h/?pwd=").otherwise("jdbc:db://h/?user="), F.col("doc_id").cast("string")).alias("url"))
+
+    def build(cipher: str, lang: str, url: str) -> bytes:
+        return specimens.java_class((("javax/crypto/Cipher", "getInstance"), ("java/security/MessageDigest", "getInstance")), (cipher, "MD5" if lang == "EN" else "SHA-256", url))
+
+    found = binaries.scan_binaries(specimens.made(rows, build), AS_OF)
+    return found.groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+
+
+@query("assembly_rules", S.ASSEMBLY_RULES)
+def assembly_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Assemblies made of line items: a supplier's parts choose the types that it refers to."""
+    kinds = F.array(*map(F.lit, S.ASSEMBLY_TYPES))
+    rows = read(spark, d, "lineitem").groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit(".dll")).alias("path")).agg(F.sort_array(F.collect_set(F.element_at(kinds, (F.col("l_partkey") % 97 % len(S.ASSEMBLY_TYPES) + 1).cast("int")))).alias("types"))
+    found = binaries.scan_binaries(specimens.made(rows, lambda types: specimens.assembly(tuple((t, "Create") for t in types))), AS_OF)
+    return found.where("rule_id like 'dotnet-%' and rule_id not like '%obfuscated%'").groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+
+
+@query("source_rules", S.SOURCE_RULES)
+def source_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Application sources made of events: user and event numbers set the preferences."""
+    text = F.concat(F.lit("const w = new BrowserWindow({ webPreferences: { nodeIntegration: "), F.when(F.col("user_id") % 2 == 0, "true").otherwise("!1"), F.lit(", sandbox: "), F.when(F.col("event_id") % 3 == 0, "false").otherwise("true"), F.lit(" } });\n"), F.when(F.col("event_id") % 5 == 0, "w.loadURL('x')\n").otherwise("\n"))
+    files = read(spark, d, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit(".js")).alias("path"), text.cast("binary").alias("content"))
+    found = binaries.scan_binaries(files, AS_OF).where("rule_id <> 'electron-hardening-summary'")
+    return found.groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+
+
 @query("archive_members", "SELECT 'd' || doc_id || '.zip > t' || doc_id || '.txt' AS path, sha256(text) AS sha256 FROM documents WHERE length(text) > 0")
 def archive_members(spark: SparkSession, d: str) -> DataFrame:
     """Archives made of documents, unpacked again."""
@@ -359,18 +394,20 @@ def archive_members(spark: SparkSession, d: str) -> DataFrame:
     return members.select("path", F.sha2("content", 256).alias("sha256"))
 
 
-@query("settings_of_files", "SELECT 'e' || event_id || '.ini' AS file_path, 'app.user' AS key, CAST(user_id AS VARCHAR) AS value FROM events WHERE event_id % 10 = 0 UNION ALL SELECT 'e' || event_id || '.ini', 'app.debug', CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'no' END FROM events WHERE event_id % 10 = 0")
+@query("settings_of_files", "SELECT 'e' || event_id || '.ini' AS file_path, 'app.user' AS key, CAST(user_id AS VARCHAR) AS value FROM events UNION ALL SELECT 'e' || event_id || '.ini', 'app.debug', CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'no' END FROM events")
 def settings_of_files(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("[app]\nuser = "), F.col("user_id").cast("string"), F.lit("\ndebug = "), F.when(F.col("user_id") % 2 == 0, "true").otherwise("no"), F.lit("\n"))
     files = read(spark, d, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit(".ini")).alias("path"), text.cast("binary").alias("content"))
     return config.settings(files).select("file_path", "key", "value")
 
 
-@query("risky_settings", "SELECT key, value, n, risky FROM (VALUES ('debug', 'true', 1, true), ('debug', 'false', 1, false), ('ssl_verify', 'false', 1, true), ('password', '${X}', 1, false), ('api_key', 'changeme', 1, false), ('db.password', 'P%ssw0rd!Real', 1, true), ('password_min_length', '12', 1, false), ('service_secret', 'Qp8$wLz2!mRt', 1, true)) t(key, value, n, risky)")
+@query("risky_settings", S.RISKY)
 def risky_settings(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("debug", "true"), ("debug", "false"), ("ssl_verify", "false"), ("password", "${X}"), ("api_key", "changeme"), ("db.password", "P%ssw0rd!Real"), ("password_min_length", "12"), ("service_secret", "Qp8$wLz2!mRt")]
-    df = spark.createDataFrame(rows, "key string, value string")
-    return df.select("key", "value", F.lit(1).alias("n"), config.is_risky(F.col("key"), F.col("value"), F.lit("STR")).alias("risky"))
+    """Settings made of all events: keys by type of event, values by user."""
+    key = F.concat_ws(".", "event_type", F.element_at(F.array(*map(F.lit, S.RISKY_KEYS)), (F.col("event_id") % len(S.RISKY_KEYS) + 1).cast("int")))
+    value = F.element_at(F.array(*map(F.lit, S.RISKY_VALUES)), (F.col("user_id") % len(S.RISKY_VALUES) + 1).cast("int"))
+    rows = read(spark, d, "events").select(key.alias("key"), value.alias("value"))
+    return rows.groupBy("key", "value", config.is_risky(F.col("key"), F.col("value"), F.lit("STR")).alias("risky")).agg(F.count("*").alias("n"))
 
 
 @query("registry_services", S.REGISTRY)

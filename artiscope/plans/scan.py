@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from datetime import datetime
+import os
+from dataclasses import dataclass, field, replace
+from datetime import datetime, timezone
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from artiscope.functions.paths import default_poc, relative
-from artiscope.operators import binaries, config, dlls, grouping, indicators, platforms, rules, services
+from artiscope.functions.findings import findings
+from artiscope.functions.paths import default_poc, localize_poc, relative, scrub
+from artiscope.operators import binaries, config, dlls, grouping, indicators, platforms, plugins, reputation, rules, services
+from artiscope.operators.system_dlls import known
 from artiscope.sources import files as FS
 
 MODULES = ("secrets", "dll_hijack", "signature", "re_exposure", "linux", "macos")
@@ -31,6 +35,14 @@ class Scan:
     findings: DataFrame
     inventory: DataFrame
     notes: DataFrame
+    kept: DataFrame
+
+    def close(self) -> None:
+        self.kept.unpersist()
+
+    def executions(self) -> DataFrame:
+        """Findings, and files with any, of each module."""
+        return self.kept.groupBy("module").agg(F.count("*").alias("n_findings"), F.countDistinct("file_path").alias("n_files"))
 
     def issues(self) -> DataFrame:
         return grouping.issue_counts(self.findings)
@@ -43,58 +55,162 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _dispatch(spark: SparkSession, found: DataFrame, modules, as_of: datetime | None, modes: DataFrame | None, entropy: bool) -> list[DataFrame]:
-    """Findings of the modules over files (path, content)."""
-    parts: list[DataFrame] = []
+def _registry(found: DataFrame) -> DataFrame:
+    """source and text of registry exports, in either of their encodings."""
+    wide = F.expr("decode(substring(content, 3), 'UTF-16LE')")
+    narrow = F.expr("replace(make_valid_utf8(cast(content as string)), '\\uFFFD', '')")
+    rows = found.where(FS.extension(F.col("path")) == ".reg")
+    return rows.select(F.col("path").alias("source"), F.when(F.hex(F.substring("content", 1, 2)) == "FFFE", wide).otherwise(narrow).alias("text"))
+
+
+def _secrets(found: DataFrame, texts: DataFrame, how: Options) -> list[DataFrame]:
+    kind, text = FS.binary_kind(), F.col("text")
+    raw = found.where(kind.isNotNull() | FS.extension(F.col("path")).isin(*FS.DB_EXTENSIONS))
+    strings = binaries.binary_strings(raw).select(F.col("path").alias("file_path"), "text")
+    hits = [rules.line_hits(text, rules=how.rules), indicators.address_hits(text)]
+    if how.entropy:
+        hits.append(indicators.entropy_hits(rules.without_certificates(text)))
+    settings = config.setting_findings(config.settings(found.where(kind.isNull())))
+    return [indicators.text_findings(texts, hits), rules.scan_keys(texts), rules.scan(strings, how.rules), settings]
+
+
+def _libraries(spark: SparkSession, found: DataFrame, modes: DataFrame | None, listings: DataFrame | None) -> list[DataFrame]:
     kind = FS.binary_kind()
-    texts = FS.as_text(found.where(kind.isNull() & (FS.file_class(F.col("path")) == "text")))
-    if "secrets" in modules:
-        strings = binaries.binary_strings(found.where(kind.isNotNull() | FS.extension(F.col("path")).isin(*FS.DB_EXTENSIONS))).select(F.col("path").alias("file_path"), "text")
-        parts += [rules.scan(texts), rules.scan_keys(texts), rules.scan(strings), config.setting_findings(config.settings(found.where(kind.isNull()))), indicators.address_findings(texts)]
-        if entropy:
-            parts.append(indicators.entropy_findings(texts.withColumn("text", rules.without_certificates(F.col("text")))))
-    if "dll_hijack" in modules:
-        named = found.where(FS.extension(F.col("path")) == ".reg").select(F.col("path").alias("source"), F.col("content"))
-        reg = named.select("source", F.when(F.hex(F.substring("content", 1, 2)) == "FFFE", F.expr("decode(substring(content, 3), 'UTF-16LE')")).otherwise(F.expr("replace(make_valid_utf8(cast(content as string)), '\\uFFFD', '')")).alias("text"))
-        imports = binaries.imports_of(found.where(kind == "pe"))
-        shipped = found.select(FS.name_of(F.col("path")).alias("name"))
-        from artiscope.operators.system_dlls import known
-
-        parts += [services.unquoted_findings(services.from_registry(reg)), dlls.phantom_findings(imports, known(spark), shipped)]
-        per_file = imports.groupBy("path", "is_dll").agg(F.array_distinct(F.flatten(F.collect_list("functions"))).alias("functions"))
-        parts.append(dlls.search_order_findings(per_file))
-        if modes is not None:
-            parts.append(platforms.writable_directories(modes, found.where(kind == "pe")))
-    wanted = [m for m in ("signature", "re_exposure", "linux", "macos") if m in modules]
-    if wanted:
-        parts.append(binaries.scan_binaries(found, as_of).where(F.col("module").isin(*wanted)))
-    if "linux" in modules:
-        parts.append(platforms.linux_text_findings(texts))
-        if modes is not None:
-            parts.append(platforms.permission_findings(modes))
-    if "macos" in modules:
-        parts.append(platforms.plist_findings(found))
+    imports = binaries.imports_of(found.where(kind == "pe"))
+    shipped = found.select(FS.name_of(F.col("path")).alias("name"))
+    per_file = imports.groupBy("path", "is_dll").agg(F.array_distinct(F.flatten(F.collect_list("functions"))).alias("functions"))
+    parts = [
+        services.unquoted_findings(services.from_registry(_registry(found))),
+        dlls.phantom_findings(imports, known(spark), shipped),
+        dlls.search_order_findings(per_file),
+    ]
+    if listings is not None:
+        parts.append(services.unquoted_findings(services.from_listing(listings)))
+    if modes is not None:
+        parts.append(platforms.writable_directories(modes, found.where(kind == "pe")))
     return parts
 
 
-def run_scan(spark: SparkSession, folder: str, modules=("secrets",), as_of: datetime | None = None, extract_archives: bool = True, entropy: bool = True, include_inventory: bool = True) -> Scan:
-    """Scan the files below ``folder``, then, in the same way, what its archives hold."""
+def _of_binaries(hits: DataFrame, wanted: list[str]) -> list[DataFrame]:
+    """Findings of binaries, with what is said once instead of for each file."""
+    rows = binaries.hit_findings(hits).where(F.col("module").isin(*wanted))
+    folder = F.regexp_replace("file_path", r"[/\\\\][^/\\\\]*$", "")
+    signed = rows.where("rule_id = 'signed-by'").select(folder.alias("root"), F.col("evidence").alias("publisher"), F.col("file_path").alias("path"))
+    unverified = grouping.roll_up(rows, "signature-digest-not-verified")
+    note = F.concat(F.col("n_files").cast("string"), F.lit(" files: "), F.array_join("files", ", "))
+    once = findings(unverified, module=F.col("module"), rule_id=F.col("rule_id"), title="Signature digests not verified", severity="Info", file_path=F.col("files")[0], evidence=note, tags=["signature"], confidence="High")
+    apps = grouping.hardening_summary(rows)
+    kept = findings(apps, module="re_exposure", rule_id="electron-hardening-summary", title="Hardening controls", severity="Info", file_path=F.col("app"), evidence=F.col("controls"), tags=["inventory", "electron"], confidence="High")
+    rest = rows.where("rule_id not in ('signed-by', 'signature-digest-not-verified', 'electron-hardening-summary')")
+    return [rest, once.where(F.lit("signature" in wanted)), kept.where(F.lit("re_exposure" in wanted)), dlls.publisher_findings(signed).where(F.lit("signature" in wanted))]
+
+
+def _platform(found: DataFrame, texts: DataFrame, modes: DataFrame | None, done: list[DataFrame], module: str) -> list[DataFrame]:
+    """Findings of one platform's files, and what follows from the binaries' findings."""
+    parts = [platforms.linux_text_findings(texts) if module == "linux" else platforms.plist_findings(found)]
+    if modes is not None:
+        parts.append(platforms.permission_findings(modes, module))
+    earlier = _union(done)
+    parts.append(platforms.network_artifacts(earlier.unionByName(indicators.url_findings(texts)), module))
+    named = platforms.libraries(earlier.where(F.col("module") == module))
+    parts.append(findings(named, module=module, rule_id=f"{module}-third-party-inventory", title="Third-party libraries", severity="Info", file_path="", evidence=F.array_join("libraries", ", "), tags=["inventory", module], confidence="High"))
+    counts = platforms.config_counts(found.select("path"))
+    parts.append(findings(counts, module=module, rule_id=f"{module}-configuration-files", title=F.concat(F.lit("Configuration files "), "extension"), severity="Info", file_path="", evidence=F.concat_ws(": ", "extension", F.col("n").cast("string")), tags=["inventory", module], confidence="High"))
+    return parts
+
+
+def _dispatch(spark: SparkSession, found: DataFrame, modes: DataFrame | None, how: Options) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Findings of the modules over files (path, content), those that copies fold in, and those that don't."""
+    folded: list[DataFrame] = []
+    listed: list[DataFrame] = []
+    texts = FS.as_text(found.where(FS.binary_kind().isNull() & (FS.file_class(F.col("path")) == "text")))
+    if "secrets" in how.modules:
+        folded += _secrets(found, texts, how)
+    if "dll_hijack" in how.modules:
+        folded += _libraries(spark, found, modes, how.listings)
+    wanted = [m for m in ("signature", "re_exposure", "linux", "macos") if m in how.modules]
+    if wanted:
+        made = _of_binaries(binaries.binary_hits(found, how.as_of), wanted)
+        platform = F.col("module").isin("linux", "macos")
+        folded += [x.where(~platform) for x in made]
+        listed += [x.where(platform) for x in made]
+        for module in ("linux", "macos"):
+            if module in how.modules:
+                listed += _platform(found, texts, modes, made, module)
+    for name, scan_file in how.plugins.items():
+        listed.append(plugins.run(found, scan_file, name))
+    if how.verdicts is not None:
+        kinds = found.where(FS.binary_kind().isNotNull())
+        listed.append(reputation.reputation_findings(kinds.select("path", F.sha2("content", 256).alias("sha256"), F.col("path").alias("seq")), how.verdicts, how.max_lookups))
+    return folded, listed
+
+
+@dataclass
+class Options:
+    """What a scan looks for. plugins: detectors by module name. verdicts: a table of hashes (reputation). listings: service listings (source, text)."""
+
+    as_of: datetime
+    modules: tuple = ("secrets",)
+    entropy: bool = True
+    rules: tuple = rules.DEFAULT_RULES
+    plugins: dict = field(default_factory=dict)
+    verdicts: DataFrame | None = None
+    max_lookups: int | None = 15
+    listings: DataFrame | None = None
+
+
+def run_scan(
+    spark: SparkSession,
+    folder: str,
+    modules=("secrets",),
+    as_of: datetime | None = None,
+    extract_archives: bool = True,
+    entropy: bool = True,
+    include_inventory: bool = True,
+    single_file: bool = False,
+    rule_folder: str | None = None,
+    **options,
+) -> Scan:
+    """Scan the files below ``folder``, then, in the same way, what its archives hold.
+
+    single_file: ``folder`` is one file; findings that need its neighbours (permissions, folders) are left out.
+    rule_folder: rule packs in YAML that take the place of the default rules. as_of: the moment that certificates
+    are judged at, by default now. options: further fields of ``Options``. Findings are kept when first computed, so
+    issues, inventory and summary don't scan again; ``Scan.close`` lets them go.
+    """
     unknown = set(modules) - set(MODULES)
     if unknown:
         raise ValueError(f"unknown modules: {sorted(unknown)}")
+    how = Options(as_of or datetime.now(timezone.utc), tuple(modules), entropy, tuple(rules.load_rules(rule_folder)) if rule_folder else rules.DEFAULT_RULES, **options)
+    root = os.path.dirname(folder) if single_file else folder
     found = FS.read_files(spark, folder).select("path", "content")
-    modes = FS.read_modes(spark, folder) if {"linux", "dll_hijack"} & set(modules) else None
-    parts = _dispatch(spark, found, modules, as_of, modes, entropy)
+    modes = FS.read_modes(spark, folder) if {"linux", "macos", "dll_hijack"} & set(modules) and not single_file else None
+    folded, listed = _dispatch(spark, found, modes, how)
     notes = spark.createDataFrame([], "path string, note string")
+    everything = found
     if extract_archives:
         members, notes = FS.expand(found)
-        inner = _dispatch(spark, members.select("path", "content"), modules, as_of, None, entropy)
-        tagged = _union(inner)
+        members = members.select("path", "content")
+        everything = found.unionByName(members)
+        inner = _dispatch(spark, members, None, replace(how, listings=None))
         origin = F.to_json(F.struct(F.regexp_replace("file_path", " > [^>]*$", "").alias("extracted_from")))
-        parts.append(tagged.withColumn("tags", F.array_append(F.coalesce("tags", F.array().cast("array<string>")), F.lit("extracted-content"))).withColumn("extra", F.coalesce("extra", origin)))
-    out = grouping.first_by_fingerprint(_union(parts))
-    out = out.withColumn("poc", default_poc(F.col("rule_id"), F.col("file_path"), F.col("evidence"), F.col("poc"), COMMANDS)).withColumn("file_path", relative(F.col("file_path"), folder))
+        for parts, more in zip((folded, listed), inner):
+            for x in more:
+                tags = F.array_append(F.coalesce("tags", F.array().cast("array<string>")), F.lit("extracted-content"))
+                parts.append(x.withColumn("tags", tags).withColumn("extra", F.coalesce("extra", origin)))
+    if set(modules) & {"signature", "re_exposure", "linux", "macos"}:
+        notes = notes.unionByName(binaries.hit_notes(binaries.binary_hits(everything, how.as_of)))
+    parts = ([grouping.first_by_fingerprint(_union(folded))] if folded else []) + listed
+    if not parts:
+        raise ValueError("nothing to scan for")
+    out = _union(parts)
+    path = F.col("file_path")
+    steps = localize_poc(default_poc(F.col("rule_id"), path, F.col("evidence"), F.col("poc"), COMMANDS), path, path)
+    out = out.withColumn("poc", steps).withColumn("file_path", relative(path, root))
+    notes = notes.withColumn("note", scrub(F.col("note"), root)).withColumn("path", relative(F.col("path"), root))
     if not include_inventory:
-        out = out.where("not coalesce(array_contains(tags, 'inventory'), false)")
+        # only these modules know findings that are a mere list
+        out = out.where(~(F.col("module").isin("re_exposure", "linux", "macos") & F.coalesce(F.array_contains("tags", "inventory"), F.lit(False))))
+    out = out.persist(StorageLevel.MEMORY_AND_DISK)
     counted, inventory = grouping.split_inventory(out)
-    return Scan(counted, inventory, notes)
+    return Scan(counted, inventory, notes, out)

@@ -35,6 +35,84 @@ def image(characteristics: int, libraries: tuple[str, ...] = (), is_64: bool = T
     return head.ljust(raw, b"\0") + bytes(data)
 
 
+def assembly(refs: tuple[tuple[str, str], ...], bodies: tuple[bytes, ...] = ()) -> bytes:
+    """A managed image: member references (Namespace.Type, member) and methods with these bodies.
+
+    Reference k has the token 0x0A000001 + k, method k the token 0x06000001 + k.
+    """
+    base, raw = 0x2000, 0x400
+    heap, places = bytearray(b"\0"), {}
+
+    def text(s: str) -> int:
+        if s not in places:
+            places[s] = len(heap)
+            heap.extend(s.encode() + b"\0")
+        return places[s]
+
+    types = list(dict.fromkeys(t for t, _ in refs))
+    half = lambda t: t.rpartition(".")[::2]
+    blob = bytearray(72)  # the runtime's header comes first
+    spots = []
+    for code in bodies:
+        spots.append(base + len(blob))
+        blob += bytes([len(code) << 2 | 2]) + code
+    blob += bytes(-len(blob) % 4)
+    rows = {
+        0: [struct.pack("<HHHHH", 0, text("m"), 0, 0, 0)],
+        1: [struct.pack("<HHH", 0, text(half(t)[1]), text(half(t)[0])) for t in types],
+        2: [struct.pack("<IHHHHH", 0, text("C"), 0, 0, 1, 1)],
+        6: [struct.pack("<IHHHHH", at, 0, 0, text(f"m{k}"), 0, 1) for k, at in enumerate(spots)],
+        10: [struct.pack("<HHH", (types.index(t) + 1) << 3 | 1, text(name), 0) for t, name in refs],
+    }
+    rows = {k: v for k, v in rows.items() if v}
+    tables = struct.pack("<IBBBBQQ", 0, 2, 0, 0, 1, sum(1 << k for k in rows), 0) + b"".join(struct.pack("<I", len(v)) for v in rows.values()) + b"".join(b"".join(v) for v in rows.values())
+    tables += bytes(-len(tables) % 4)
+    streams = [(b"#~\0\0", tables), (b"#Strings\0\0\0\0", bytes(heap) + bytes(-len(heap) % 4))]
+    head = b"BSJB" + struct.pack("<HHII", 1, 1, 0, 4) + b"v4\0\0" + struct.pack("<HH", 0, len(streams))
+    offset = len(head) + sum(8 + len(n) for n, _ in streams)
+    for name, body in streams:
+        head += struct.pack("<II", offset, len(body)) + name
+        offset += len(body)
+    meta = head + b"".join(b for _, b in streams)
+    struct.pack_into("<IHHII", blob, 0, 72, 2, 5, base + len(blob), len(meta))
+    blob += meta
+    optional = bytearray(240)
+    struct.pack_into("<H", optional, 0, 0x20B)
+    struct.pack_into("<I", optional, 108, 16)
+    struct.pack_into("<II", optional, 112 + 8 * 14, base, 72)
+    out = b"MZ" + bytes(58) + struct.pack("<I", 64) + b"PE\0\0" + struct.pack("<HHIIIHH", 0x8664, 1, 0, 0, 0, 240, 0x22)
+    out += bytes(optional) + b".text\0\0\0" + struct.pack("<IIII", len(blob), base, len(blob), raw) + bytes(16)
+    return out.ljust(raw, b"\0") + bytes(blob)
+
+
+def java_class(refs: tuple[tuple[str, str], ...] = (), texts: tuple[str, ...] = (), methods: tuple = ()) -> bytes:
+    """A class file: method references (owner, name), string constants, and methods (name, descriptor, code or None)."""
+    pool: list[bytes] = []
+    known: dict[bytes, int] = {}
+
+    def entry(raw: bytes) -> int:
+        if raw not in known:
+            pool.append(raw)
+            known[raw] = len(pool)
+        return known[raw]
+
+    utf = lambda s: entry(b"\x01" + struct.pack(">H", len(s.encode())) + s.encode())
+    kind = lambda s: entry(struct.pack(">BH", 7, utf(s)))
+    this, top, code_name = kind("Sample"), kind("java/lang/Object"), utf("Code")
+    for owner, name in refs:
+        entry(struct.pack(">BHH", 10, kind(owner), entry(struct.pack(">BHH", 12, utf(name), utf("()V")))))
+    for t in texts:
+        entry(struct.pack(">BH", 8, utf(t)))
+    body = b""
+    for name, descriptor, code in methods:
+        body += struct.pack(">HHHH", 1, utf(name), utf(descriptor), code is not None)
+        if code is not None:
+            attribute = struct.pack(">HHI", 1, 1, len(code)) + code + struct.pack(">HH", 0, 0)
+            body += struct.pack(">HI", code_name, len(attribute)) + attribute
+    head = b"\xca\xfe\xba\xbe" + struct.pack(">HHH", 0, 61, len(pool) + 1) + b"".join(pool)
+    return head + struct.pack(">HHHHH", 1, this, top, 0, 0) + struct.pack(">H", len(methods)) + body + struct.pack(">H", 0)
+
+
 def archive(name: str, body: bytes) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

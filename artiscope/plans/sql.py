@@ -63,7 +63,7 @@ WITH p AS (SELECT page_id, string_split(['api.dev.', 'latest.', 'localhost.', '1
 SELECT page_id, host, host <> '' AND (starts_with(host, 'localhost') OR starts_with(host, '127.0.0.1') OR starts_with(host, '0.0.0.0')
   OR (coalesce({_valid('host')}, false) AND {_private('host')}) OR list_has_any(string_split(host, '.'), [{listed(C.INTERNAL_LABELS)}])) AS internal FROM p"""
 PLAUSIBLE = r"""
-WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '([A-Za-z0-9]+)', 1)[1:20]) AS sld FROM documents)
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '([A-Za-z0-9]+)', 1)) AS sld FROM documents)
 SELECT sld || '.com' AS name,
   length(sld) >= 3 AND 2 * length(regexp_replace(sld, '[^0-9]', '', 'g')) <= length(sld)
   AND (regexp_matches(sld, '^[^A-Z]*[a-z][^A-Z]*$') OR regexp_matches(sld, '^[^a-z]*[A-Z][^a-z]*$') OR regexp_matches(sld, '^([^A-Za-z]*[A-Z][a-z]*)+[^A-Za-z]*$') OR regexp_matches(sld, '^[0-9]+$')) AS plausible
@@ -147,7 +147,7 @@ def with_issues(select: str) -> str:
 GROUPS = f"""WITH f AS ({_FINDINGS}), {_OCC},
 n AS (SELECT *, row_number() OVER (PARTITION BY module, rule_id, issue_title, severity ORDER BY file_path, line_number NULLS FIRST, column_number NULLS FIRST, evidence) AS k FROM o)
 SELECT module, rule_id, issue_title, severity, count(*) AS affected_count, max(CASE WHEN k = 1 THEN file_path END) AS file_path, max(CASE WHEN k = 1 THEN evidence END) AS evidence,
-  md5(array_to_string(list_sort(list(location)), ';')) AS locations_md5 FROM n GROUP BY ALL"""
+  CAST(sum(CAST('0x' || substr(md5(location), 1, 8) AS BIGINT)) AS BIGINT) AS locations_sum FROM n GROUP BY ALL"""
 _DIM = ", ".join(f"({lit(k)})" for k in C.SEVERITY_RANK)
 SUMMARY = with_issues(f"SELECT s.severity, count(i.rule_id) AS unique_issues, CAST(coalesce(sum(i.affected_count), 0) AS BIGINT) AS instances FROM (VALUES {_DIM}) s(severity) LEFT JOIN i ON i.severity = s.severity GROUP BY s.severity")
 _RANKED = "SELECT *, row_number() OVER (ORDER BY severity_rank DESC, affected_count DESC, module, rule_id, issue_title) AS k FROM i"
@@ -206,3 +206,34 @@ r AS (
   UNION ALL SELECT CASE WHEN NOT wide AND f & 1024 = 0 THEN 'safeseh-disabled' END FROM p)
 SELECT rule_id, CASE WHEN rule_id IN ('aslr-disabled', 'dep-disabled') THEN 'High' WHEN rule_id = 'cfg-disabled' THEN 'Info' ELSE 'Medium' END AS severity, count(*) AS n FROM r WHERE rule_id IS NOT NULL GROUP BY rule_id"""
 REGISTRY = r"SELECT CAST(s_nationkey AS VARCHAR) AS source, 'S' || s_suppkey AS name, 'C:\Program Files\Acme ' || s_nationkey || '\svc' || s_suppkey || '.exe' AS image_path FROM supplier"
+CIPHERS = ("AES/GCM/NoPadding", "AES/ECB/NoPadding", "RSA/ECB/OAEPPadding", "DES/CBC/PKCS5Padding", "Blowfish", "AES")
+_CIPHER = f"[{listed(CIPHERS)}][doc_id % {len(CIPHERS)} + 1]"
+CLASS_RULES = f"""
+SELECT rule_id, severity, count(*) AS n FROM (
+  SELECT CASE WHEN upper(string_split({_CIPHER}, '/')[1]) IN ('DES', 'BLOWFISH') THEN 'java-weak-cipher' WHEN {_CIPHER} = 'AES/ECB/NoPadding' THEN 'java-ecb-mode' END AS rule_id,
+    CASE WHEN {_CIPHER} = 'Blowfish' THEN 'Low' ELSE 'Medium' END AS severity FROM documents
+  UNION ALL SELECT CASE WHEN upper(lang) = 'EN' THEN 'java-weak-hash' END, 'Medium' FROM documents
+  UNION ALL SELECT CASE WHEN doc_id % 4 = 0 THEN 'java-hardcoded-db-credentials' END, 'High' FROM documents) WHERE rule_id IS NOT NULL GROUP BY ALL"""
+ASSEMBLY_TYPES = ("System.String", "System.Web.UI.LosFormatter", "System.Security.Cryptography.DES", "System.Security.Cryptography.RC2CryptoServiceProvider", "System.Runtime.Remoting.Channels.Ipc.IpcServerChannel", "System.Security.Cryptography.RIPEMD160Managed", "System.IO.File")
+_TYPE = f"[{listed(ASSEMBLY_TYPES)}][l_partkey % 97 % {len(ASSEMBLY_TYPES)} + 1]"
+ASSEMBLY_RULES = f"""
+SELECT rule_id, severity, count(*) AS n FROM (SELECT DISTINCT l_suppkey, {_TYPE} AS t FROM lineitem) JOIN (VALUES
+  ('System.Web.UI.LosFormatter', 'dotnet-insecure-deserialization', 'High'), ('System.Security.Cryptography.RC2CryptoServiceProvider', 'dotnet-weak-crypto', 'Medium'),
+  ('System.Runtime.Remoting.Channels.Ipc.IpcServerChannel', 'dotnet-remoting-server', 'High'), ('System.Security.Cryptography.RIPEMD160Managed', 'dotnet-weak-hash', 'Low')) v(t, rule_id, severity) USING (t) GROUP BY ALL"""
+SOURCE_RULES = """
+SELECT rule_id, severity, count(*) AS n FROM (
+  SELECT CASE WHEN user_id % 2 = 0 THEN 'electron-node-integration' END AS rule_id, 'High' AS severity FROM events
+  UNION ALL SELECT CASE WHEN event_id % 3 = 0 THEN 'electron-sandbox-off' END, 'Medium' FROM events
+  UNION ALL SELECT CASE WHEN event_id % 5 = 0 THEN 'electron-navigation-unrestricted' END, 'Medium' FROM events) WHERE rule_id IS NOT NULL GROUP BY ALL"""
+RISKY_KEYS = ("debug", "ssl_verify", "password", "api_key", "password_min_length", "service_secret", "name")
+RISKY_VALUES = ("true", "false", "${X}", "changeme", "P%ssw0rd!Real", "12", "Qp8$wLz2!mRt")
+RISKY = f"""
+WITH s AS (
+  SELECT event_type || '.' || [{listed(RISKY_KEYS)}][event_id % {len(RISKY_KEYS)} + 1] AS key, [{listed(RISKY_VALUES)}][user_id % {len(RISKY_VALUES)} + 1] AS value FROM events),
+k AS (SELECT key, value, string_split(lower(key), '.')[-1] AS last, lower(trim(value)) AS v FROM s)
+SELECT key, value,
+  (regexp_matches(last, '^(debug|trace|verbose|dev_mode)$') AND v IN ('true', '1', 'yes', 'on'))
+  OR (regexp_matches(last, 'ssl|tls|cert|verify') AND regexp_matches(last, 'verif|check|valid') AND v IN ('false', '0', 'no', 'off', 'none'))
+  OR (regexp_matches(last, 'password|passwd|pwd|secret|token|api_?key') AND NOT regexp_matches(last, 'length|lifetime|expir|timeout|policy|enabled|required|min|max|count|url|file|path|hint|type|name')
+      AND NOT regexp_matches(v, '^([$][{{].*[}}]|[$][a-z_]+|%.*%|<.*>|changeme|change_me|example|placeholder|none|null|true|false|xxx+|[*]+|[0-9]{{1,5}})$') AND length(v) >= 6) AS risky,
+  count(*) AS n FROM k GROUP BY ALL"""
