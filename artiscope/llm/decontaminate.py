@@ -11,11 +11,12 @@ the question alone is retrieved however long the answer is. What is retrieved is
 words: a passage leaks an item when it repeats enough of the whole item, or enough of such a question.
 The answer's share is reported; an answer alone, or a shorter question alone, is too common a text to decide.
 
-An index holds at most ``SHARD_ITEMS`` items; more items make more indexes and one pass over the corpus
-each, so what is broadcast has a fixed bound.
+An index holds at most ``SHARD_ITEMS`` items; more items make more indexes, and one pass over the corpus serves
+``PASS_INDEXES`` of them, so what is broadcast at a time is bounded by that many items.
 
 Results for odd input: null and empty texts, of items or documents, match nothing. Repeated rows of
-documents or items give repeated results. Items below five words use shingles of their own length. Extra
+documents or items give repeated results. Very long texts are read whole, as many passages. Items tied in
+score are all retrieved. Items below five words use shingles of their own length. Extra
 columns are ignored by ``search`` and pass through ``clean``. Empty tables give an empty result.
 """
 
@@ -41,7 +42,7 @@ K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.5, 0.8, 5
 #: Words of a question that is a leak without the answer.
 MIN_QUESTION = 8
-SHARD_ITEMS, BLOCK_ITEMS = 1024, 2
+SHARD_ITEMS, BLOCK_ITEMS, PASS_INDEXES = 1024, 2, 4
 #: Characters of text that are worked on together.
 CHUNK = 1 << 20
 _WORDS = re.compile(r"[^\W_]+").findall
@@ -249,9 +250,9 @@ class Index:
 _OUT = (("score", T.DoubleType(), pa.float64()), ("overlap", T.DoubleType(), pa.float64()), ("question_overlap", T.DoubleType(), pa.float64()), ("answer_overlap", T.DoubleType(), pa.float64()), ("n_passages", T.LongType(), pa.int64()))
 
 
-def leaks(index: Index, texts: list[str | None], threshold: float, overlap: float) -> dict[int, dict[int, list]]:
-    """By document, by item: best score, overlaps, number of passages that hold the leak."""
-    out: dict[int, dict[int, list]] = defaultdict(dict)
+def leaks(indexes: list[Index], texts: list[str | None], threshold: float, overlap: float) -> dict[int, dict[tuple[int, int], list]]:
+    """By document, by index and item: best score, overlaps, number of passages that hold the leak."""
+    out: dict[int, dict[tuple[int, int], list]] = defaultdict(dict)
     row = 0
     while row < len(texts):
         upto, size = row, 0
@@ -259,12 +260,14 @@ def leaks(index: Index, texts: list[str | None], threshold: float, overlap: floa
             size += len(texts[upto] or "")
             upto += 1
         tokens = [words(t) for t in texts[row:upto]]
-        for d, s, e, terms in index.passages(tokens, threshold):
-            for item, score in index.retrieve(terms, threshold).items():
-                shares = index.verify(item, tokens[d][s:e])
-                if index.leaked(item, shares, overlap):
-                    old = out[row + d].get(item)
-                    out[row + d][item] = [max(score, old[0]) if old else score, *(max(a, b) for a, b in zip(shares, old[1:4] if old else shares)), (old[4] if old else 0) + 1]
+        for n, index in enumerate(indexes):
+            for d, s, e, terms in index.passages(tokens, threshold):
+                for item, score in index.retrieve(terms, threshold).items():
+                    shares = index.verify(item, tokens[d][s:e])
+                    if not index.leaked(item, shares, overlap):
+                        continue
+                    old = out[row + d].get((n, item))
+                    out[row + d][n, item] = [max(score, old[0]) if old else score, *(max(a, b) for a, b in zip(shares, old[1:4] if old else shares)), (old[4] if old else 0) + 1]
         row = upto
     return out
 
@@ -282,21 +285,34 @@ def shards(items: DataFrame, id_col: str, text_col: str, size: int) -> Iterator[
         yield part
 
 
+def passes(items: DataFrame, id_col: str, text_col: str, size: int, threshold: float, overlap: float) -> Iterator[list[Index]]:
+    """The indexes of all items, as many at a time as one pass over the corpus serves."""
+    held: list[Index] = []
+    for part in shards(items, id_col, text_col, size):
+        held.append(Index(part, threshold=threshold, overlap=overlap))
+        if len(held) == PASS_INDEXES:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """Leaks: id, item, the score as a share of the item's own, the overlaps and the number of passages that hold it."""
     fed = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     item_kind = items.schema[item_col]
     schema = T.StructType([fed.schema[id_col], T.StructField(item_col, item_kind.dataType), *(T.StructField(n, k) for n, k, _ in _OUT)])
+    id_kind = pa.int64() if isinstance(item_kind.dataType, T.LongType) else None
     found = []
-    for part in shards(items, item_col, item_text, shard_items):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(part, threshold=threshold, overlap=overlap))
+    for indexes in passes(items, item_col, item_text, shard_items, threshold, overlap):
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
         @worker("decontaminate")
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in batches:
-                got = [(d, item, row) for d, by in sorted(leaks(index, batch.column(1).to_pylist(), threshold, overlap).items()) for item, row in sorted(by.items())]
-                cols = [batch.column(0).take(pa.array([g[0] for g in got], pa.int64())), pa.array([index.ids[g[1]] for g in got], pa.int64() if isinstance(item_kind.dataType, T.LongType) else None)]
+                by_document = leaks(shared.value, batch.column(1).to_pylist(), threshold, overlap)
+                got = [(d, shared.value[n].ids[k], row) for d, by in sorted(by_document.items()) for (n, k), row in sorted(by.items())]
+                cols = [batch.column(0).take(pa.array([g[0] for g in got], pa.int64())), pa.array([g[1] for g in got], id_kind)]
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.array([g[2][k] for g in got], kind) for k, (_, _, kind) in enumerate(_OUT))], names=schema.fieldNames())
 
         found.append(fed.mapInArrow(run, schema))
@@ -306,8 +322,8 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """The rows of ``docs`` that leak no item, with exactly its columns."""
     at = docs.columns.index(text_col)
-    for part in shards(items, item_col, item_text, shard_items):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(part, threshold=threshold, overlap=overlap))
+    for indexes in passes(items, item_col, item_text, shard_items, threshold, overlap):
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
         @worker("decontaminate")
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,9 @@ score.
 Fitting uses a bounded sample of labelled rows (``MAX_ROWS``); every document is scored, over all lines of
 its whole text.
 
-Results for odd input: a null or empty text is one empty line. Repeated rows score alike. Without labelled
+Results for odd input: a null or empty text is one empty line. Repeated rows score alike; of a repeated id
+one text is learnt from, and of repeated labels the larger one. Texts of ``MAX_LINES`` lines or more are scored
+whole but not learnt from. A score of exactly ``THRESHOLD`` counts as good. Without labelled
 rows every score is 0.5. Extra columns are ignored. An empty table gives an empty table.
 """
 
@@ -29,9 +31,9 @@ from artiscope.llm._labels import first_rows, held_out, training_labels
 from artiscope.llm._scratch import table
 from artiscope.llm._worker import worker
 
-#: Labelled rows that the field is fitted to, at most, of either quality.
-MAX_ROWS = 2500
-ROUNDS, STEPS, RATE, DECAY = 3, 120, 0.1, 1e-3
+#: Labelled rows that the field is fitted to, at most, of either quality, and lines of a text among them; longer texts are scored, not learnt from.
+MAX_ROWS, MAX_LINES = 2500, 500
+ROUNDS, STEPS, RATE, DECAY = 3, 120, 0.1, 1e-4
 THRESHOLD = 0.5
 
 NAMES = (
@@ -100,12 +102,13 @@ class Field:
     offset: float
 
 
-def marginals(score: np.ndarray, sizes: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(good) of every line, and pair marginals summed (2 x 2), of documents whose lines lie one after another.
+def marginals(score: np.ndarray, sizes: np.ndarray, transition: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """P(good) of every line, and pair marginals summed (2 x 2), by the documents' weights, of documents whose lines lie one after another.
 
     score: emission of good against bad. All documents advance together, longest first.
     """
     order = np.argsort(-sizes, kind="stable")
+    share = np.ones(len(sizes)) if weight is None else weight[order]
     sizes_, start = sizes[order], (np.cumsum(sizes) - sizes)[order]
     depth = int(sizes.max()) if len(sizes) else 0
     e = np.stack([np.zeros(len(score)), np.clip(score, -60, 60)], axis=1)
@@ -124,11 +127,24 @@ def marginals(score: np.ndarray, sizes: np.ndarray, transition: np.ndarray) -> t
         b = ahead @ t.T
         bwd[at] = b / b.sum(axis=1, keepdims=True)
         joint = fwd[at][:, :, None] * t[None] * ahead[:, None, :]
-        pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        pairs += (joint * (share[: live[k + 1]] / joint.sum(axis=(1, 2)))[:, None, None]).sum(axis=0)
     p = fwd * bwd
     return p[:, 1] / p.sum(axis=1), pairs
 
 
+def gradient(theta: np.ndarray, x: np.ndarray, y: np.ndarray, sizes: np.ndarray, weight: np.ndarray, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the weighted negative log likelihood of the documents' labels, with a penalty decay / 2 * theta^2, and P(good) of the lines.
+
+    Emissions and transitions belong to one likelihood: a document counts with one weight in both.
+    """
+    p, pairs = marginals(x @ theta[:WIDTH], sizes, theta[WIDTH:].reshape(2, 2), weight)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    seen = np.zeros((2, 2))
+    inner = np.flatnonzero(of[1:] == of[:-1]) + 1
+    np.add.at(seen, (y[inner - 1].astype(int), y[inner].astype(int)), weight[of[inner]])
+    return np.concatenate([x.T @ ((p - y) * weight[of]), (pairs - seen).reshape(-1)]) + decay * theta, p
+
+
 def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = ROUNDS, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> Field:
     """docs: features of the lines, their lengths, quality 0 or 1."""
     if not docs:
@@ -141,21 +157,15 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = ROUNDS, st
     bad_doc = np.repeat(quality == 0, sizes)
     of = np.repeat(np.arange(len(docs)), sizes)
     y = (~bad_doc).astype(float)
-    first = np.zeros(len(y), bool)
-    first[starts] = True
-    # both qualities weigh alike
+    # both qualities weigh alike, and within them every document, however many lines it has
     share = np.where(quality == 1, 0.5 / max(1, (quality == 1).sum()), 0.5 / max(1, (quality == 0).sum()))
-    weight = np.repeat(share / sizes, sizes)
+    weight = share / sizes
     theta = np.zeros(WIDTH + 4)
     p = y
     for turn in range(rounds):
         m, v = np.zeros_like(theta), np.zeros_like(theta)
-        inner = np.flatnonzero(~first)
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (y[inner - 1].astype(int), y[inner].astype(int)), 1)
         for step in range(1, steps + 1):
-            p, pairs = marginals(x @ theta[:WIDTH], sizes, theta[WIDTH:].reshape(2, 2))
-            grad = np.concatenate([x.T @ ((p - y) * weight), ((pairs - seen) / max(1, len(inner))).reshape(-1)]) + decay * theta * 0.1
+            grad, p = gradient(theta, x, y, sizes, weight, decay)
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -188,7 +198,9 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, flo
 
 def _sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, max_rows: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
     chosen = first_rows(known.where("label = 1"), max_rows, id_col).unionByName(first_rows(known.where("label = 0"), max_rows, id_col))
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), "label")
+    texts = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) < MAX_LINES)
+    # of repeated ids one text counts
+    rows = texts.join(F.broadcast(chosen), id_col).groupBy(F.col(id_col).cast("string").alias("id"), "label").agg(F.min("text").alias("text")).select("id", "text", "label")
 
     @worker("quality field")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,13 +211,11 @@ def _sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, max_r
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(feats, pa.binary()), pa.array(sizes, pa.binary())], names=["id", "label", "feats", "sizes"])
 
     got = rows.mapInArrow(run, "id string, label int, feats binary, sizes binary").collect()  # a few bytes a line
-    out, taken = [], {0: 0, 1: 0}
-    for r in sorted(got, key=lambda r: (r["id"], bytes(r["sizes"]), bytes(r["feats"]))):
-        if taken[r["label"]] < 2 * max_rows:
-            taken[r["label"]] += 1
-            sizes = np.frombuffer(bytes(r["sizes"]), "<u4")
-            n = len(sizes) * len(NAMES)
-            out.append((np.unpackbits(np.frombuffer(bytes(r["feats"]), np.uint8))[:n].reshape(-1, len(NAMES)), sizes, r["label"]))
+    out = []
+    for r in sorted(got, key=lambda r: r["id"]):
+        sizes = np.frombuffer(bytes(r["sizes"]), "<u4")
+        n = len(sizes) * len(NAMES)
+        out.append((np.unpackbits(np.frombuffer(bytes(r["feats"]), np.uint8))[:n].reshape(-1, len(NAMES)), sizes, r["label"]))
     return out
 
 

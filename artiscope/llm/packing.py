@@ -10,7 +10,8 @@ its slot by its rank among the pieces of its length; ranks are counted in parts,
 of all pieces have is no single task's work.
 
 Results for odd input: a null text is an empty text, a document of its end mark only. Repeated rows are
-packed once each. Extra columns are ignored. An empty table gives an empty table.
+packed once each. Very long texts are encoded whole and cut into pieces. Ties between pieces of a length go by
+id, piece and checksum. Extra columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations

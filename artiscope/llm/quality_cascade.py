@@ -5,7 +5,8 @@ mean cost and rejection rate; rules then run in the order of rejections per unit
 document leaves the cascade at its first rejection, so dear rules see few documents. The order
 changes the cost and which rule is named, never the verdict.
 
-Results for odd input: a null text is an empty text (no words; rejected for its length). Repeated
+Results for odd input: very long texts are judged whole; rules tied in rejections per cost go by cost, then
+name; a null id changes nothing. A null text is an empty text (no words; rejected for its length). Repeated
 rows and repeated ids are judged row by row. Extra columns pass through; an input column with the
 name of an output column is replaced. An empty table gives an empty table.
 """

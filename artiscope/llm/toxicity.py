@@ -10,7 +10,8 @@ document is scored, over its whole text. A word's weight is computed once and re
 sum over a document's distinct words.
 
 Results for odd input: a null text is an empty text; it scores by the bias alone, like every text without
-words. Repeated rows score alike. Without confirmed toxic rows every score is 0. Extra columns are
+words. Repeated rows score alike; of a repeated id one text is learnt from, and of repeated labels the larger
+one. Texts beyond ``MAX_CHARS`` characters are scored whole but not learnt from. Ties at the cut count as toxic. Without confirmed toxic rows every score is 0. Extra columns are
 ignored. An empty table gives an empty table.
 """
 
@@ -32,11 +33,11 @@ from artiscope.llm._scratch import table
 from artiscope.llm._worker import worker
 
 PREFIXES = (4, 5, 6, 7, 8, 9)
-#: Rows of the training sample, at most.
-MAX_POSITIVE, MAX_UNLABELLED = 2500, 6000
+#: Rows of the training sample, at most, and characters of a text in it; longer texts are scored, not learnt from.
+MAX_POSITIVE, MAX_UNLABELLED, MAX_CHARS = 2500, 6000, 1 << 20
 #: A feature is kept if positives hold it so much oftener than the unlabelled that chance is below this.
-CHANCE, MAX_FEATURES = 1e-7, 20_000
-EPOCHS, BATCH, RATE, DECAY = 60, 400, 0.05, 1e-4
+CHANCE, MAX_FEATURES = 1e-5, 20_000
+EPOCHS, BATCH, RATE, DECAY = 60, 400, 0.05, 3e-3
 THRESHOLD = 0.3
 CACHE_WORDS = 400_000
 _WORD = re.compile(r"[^\W\d_]+").findall
@@ -99,7 +100,24 @@ def select(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarr
     return np.sort(in_p[good])
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, decay: float = DECAY, seed: int = 11) -> Model:
+def risk(z: np.ndarray, n_p: int, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of scores, positives first, and what to step along.
+
+    With logistic losses: prior * mean of log(1 + e^-z) of the positives, plus what the unlabelled lose as negatives,
+    mean of log(1 + e^z), less prior times what the positives would lose so, but not below zero. While that
+    difference is negative the step raises it instead: the positives' losses wait.
+    """
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    n_u = max(1, len(z) - n_p)
+    gain = prior * np.logaddexp(0, -z[:n_p]).mean()
+    negative = np.logaddexp(0, z[n_p:]).sum() / n_u - prior * np.logaddexp(0, z[:n_p]).mean()
+    down = np.concatenate([-prior * s[:n_p] / n_p, s[n_p:] / n_u])  # of the difference
+    if negative < 0:
+        return gain, -down
+    return gain + negative, down + np.concatenate([prior * (s[:n_p] - 1) / n_p, np.zeros(len(z) - n_p)])
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, decay: float = DECAY, seed: int = 11, recut: bool = True) -> Model:
     """Minimize the non-negative risk by Adam; documents are arrays of features (with repeats: each word adds its own)."""
     positive, unlabelled = distinct_documents(positive), distinct_documents(unlabelled)
     if not positive:
@@ -130,17 +148,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             parts = [docs[r] for r in rows]
             feats, of = np.concatenate(parts), np.repeat(np.arange(len(rows)), [len(x) for x in parts])
             z = np.bincount(of, weights=w[feats], minlength=len(rows)) + w[size]
-            s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            a, b = len(rows_p), max(1, len(rows_u))
-            # logistic losses: l+ = log(1 + e^-z), l- = log(1 + e^z); derivatives s - 1 and s
-            negative = np.logaddexp(0, z[a:]).sum() / b - prior * np.logaddexp(0, z[:a]).sum() / a
-            g = np.zeros(len(rows))
-            if negative >= 0:
-                g[:a] = prior * (s[:a] - 1) / a - prior * s[:a] / a
-                g[a:] = s[a:] / b
-            else:  # step back: raise the negative part only
-                g[:a] = prior * s[:a] / a
-                g[a:] = -s[a:] / b
+            _, g = risk(z, len(rows_p), prior)
             grad = np.bincount(feats, weights=g[of], minlength=size + 1) + decay * w
             grad[size] = g.sum()
             step += 1
@@ -148,7 +156,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             v += 0.001 * (grad * grad - v)
             w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
     z = np.array([w[d].sum() for d in docs])
-    shift = np.log(THRESHOLD / (1 - THRESHOLD)) - cut_point(z[:n_p], z[n_p:]) if n_u and size else float(w[size])
+    shift = np.log(THRESHOLD / (1 - THRESHOLD)) - cut_point(z[:n_p], z[n_p:]) if recut and n_u and size else float(w[size])
     return Model(dict(zip(chosen.tolist(), w[:size].tolist())), float(shift), prior)
 
 
@@ -183,12 +191,14 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, id_
         return fit([], [], 0.5)
     prior = min(0.9, max(0.005, counts["toxic"] / counts["n"]))
     toxic = first_rows(known.where("label = 1").select(id_col), max_positive, id_col)
-    texts = docs.select(id_col, text_col)
-    positive = _feature_rows(texts.join(F.broadcast(toxic), id_col), id_col, text_col)
+    # of repeated ids one text counts
+    texts = docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).where(F.length(text_col) <= MAX_CHARS)
+    one = lambda ids: texts.join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min(text_col).alias(text_col))
+    positive = _feature_rows(one(toxic), id_col, text_col)
     # text of any document that isn't held out, confirmed or not: the unlabelled part must have the prior's share of toxic text
     others = first_rows(docs.where(~held_out(id_col, parts, part)).where(f"{id_col} is not null").select(id_col).distinct(), max_unlabelled, id_col)
-    unlabelled = _feature_rows(texts.join(F.broadcast(others), id_col), id_col, text_col)
-    return fit(positive[: 4 * max_positive], unlabelled[: 4 * max_unlabelled], prior)
+    unlabelled = _feature_rows(one(others), id_col, text_col)
+    return fit(positive, unlabelled, prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import numpy as np
@@ -46,10 +47,66 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.train(d, flipped) == model
 
 
-def test_negative_risk_is_corrected():
-    a, b = np.array([1, 2], np.uint32), np.array([3, 4], np.uint32)
-    model = toxicity.fit([a + np.uint32(k * 10) for k in range(3)], [b + np.uint32(k * 10) for k in range(30)], 0.2)
-    assert np.isfinite(model.bias)
+def plain_risk(z, n_p, prior):
+    """Prior-corrected risk in plain Python, clipped at zero."""
+    lose = lambda t: math.log1p(math.exp(t))
+    negative = sum(map(lose, z[n_p:])) / (len(z) - n_p) - prior * sum(map(lose, z[:n_p])) / n_p
+    return prior * sum(lose(-t) for t in z[:n_p]) / n_p + max(0.0, negative), negative
+
+
+def test_risk_and_its_step_against_plain_sums():
+    rng = np.random.default_rng(3)
+    for shift in (0.0, -3.0, 2.0):
+        z = rng.normal(shift, 1.0, 30)
+        z[:10] += 4 if shift < 0 else 0  # positives that look positive make the difference negative
+        value, step = toxicity.risk(z, 10, 0.6)
+        want, negative = plain_risk(z.tolist(), 10, 0.6)
+        assert math.isclose(value, want)
+
+        def target(y):
+            v, n = plain_risk(y.tolist(), 10, 0.6)
+            return v if negative >= 0 else -n
+
+        for k in range(30):
+            up, down = z.copy(), z.copy()
+            up[k] += 1e-5
+            down[k] -= 1e-5
+            assert abs((target(up) - target(down)) / 2e-5 - step[k]) < 1e-6
+    assert plain_risk(np.array([4.0] * 10 + [-4.0] * 20), 10, 0.6)[1] < 0
+
+
+def test_field_gradient_against_enumeration():
+    rng = np.random.default_rng(5)
+    sizes, weight = np.array([3, 1, 4]), np.array([0.5, 0.2, 0.3])
+    x = rng.integers(0, 2, (8, line_crf.WIDTH)).astype(float)
+    y = np.array([1, 0, 1, 0, 0, 0, 1, 1.0])
+    theta = rng.normal(scale=0.3, size=line_crf.WIDTH + 4)
+
+    def loss(th):
+        e, t, at, out = x @ th[: line_crf.WIDTH], th[line_crf.WIDTH :].reshape(2, 2), 0, 0.0
+        for n, w in zip(sizes, weight):
+            value = lambda ys: sum(e[at + i] * b for i, b in enumerate(ys)) + sum(t[a, b] for a, b in zip(ys, ys[1:]))  # noqa: B023, E731
+            every = [value(ys) for ys in itertools.product((0, 1), repeat=int(n))]
+            out -= w * (value([int(b) for b in y[at : at + n]]) - math.log(sum(map(math.exp, every))))
+            at += n
+        return out + 0.01 / 2 * (th**2).sum()
+
+    got, _ = line_crf.gradient(theta, x, y, sizes, weight, 0.01)
+    for k in [*range(0, line_crf.WIDTH, 7), *range(line_crf.WIDTH, line_crf.WIDTH + 4)]:
+        up, down = theta.copy(), theta.copy()
+        up[k] += 1e-5
+        down[k] -= 1e-5
+        assert abs((loss(up) - loss(down)) / 2e-5 - got[k]) < 1e-6
+
+
+def test_repeated_ids_and_long_texts_are_learnt_from_once_or_not(spark, monkeypatch):
+    monkeypatch.setattr(line_crf, "MAX_LINES", 40)
+    docs, labels = make(120)
+    d, lab = frames(spark, docs, labels)
+    more, more_labels = frames(spark, [*docs, *docs[:7], (900, "spam *** " * 9000), (901, "x\n" * 200)], [*labels, *labels[:5], (900, 2, 1), (901, 1, 0)])
+    a, b = line_crf.train(d, lab), line_crf.train(more, more_labels)
+    assert np.allclose(a.weights, b.weights) and a.slope == b.slope
+    assert len(line_crf._sample(more, more_labels.selectExpr("doc_id", "quality as label").distinct(), "doc_id", "text", 1000)) == 120
 
 
 def test_toxicity_of_odd_rows(spark):

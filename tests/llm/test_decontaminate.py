@@ -114,3 +114,31 @@ def test_questions_leak_without_their_answers(spark):
         assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want)
         assert all(r.question_overlap == 1 and r.overlap < dc.OVERLAP for r in rows if r.doc_id < 20)
         assert {r.doc_id for r in dc.clean(docs, bench, shard_items=size).collect()} == set(texts) - {d for d, _ in want}
+
+
+def test_recall_of_the_gate_on_the_larger_table(spark):
+    """Items that repeat in a document anywhere, by shingles of whole texts, against what retrieval and verification find."""
+    sf = "/root/testdata/sf0.01"
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = {r.item_id: dc.shingles(dc.words(r.text), dc.SHINGLE) for r in bench.collect()}
+    holders = {}
+    for i, want in items.items():
+        for g in want:
+            holders.setdefault(g, []).append(i)
+    want = set()
+    for r in docs.select("doc_id", "text").collect():
+        seen = {}
+        for g in dc.shingles(dc.words(r.text), dc.SHINGLE):
+            for i in holders.get(g, ()):
+                seen[i] = seen.get(i, 0) + 1
+        want |= {(r.doc_id, i) for i, n in seen.items() if n >= dc.OVERLAP * len(items[i])}
+    found = {(r.doc_id, r.item_id) for r in dc.search(docs, bench).collect()}
+    assert len(want) > 10 and len(found & want) >= 0.9 * len(want)
+
+
+def test_passes_of_several_indexes_equal_one(spark, sf_dir, monkeypatch):
+    docs, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    pairs = lambda df: {(r.doc_id, r.item_id) for r in df.collect()}
+    want = pairs(dc.search(docs, bench, shard_items=30))
+    monkeypatch.setattr(dc, "PASS_INDEXES", 1)
+    assert pairs(dc.search(docs, bench, shard_items=30)) == want

@@ -47,9 +47,29 @@ def test_individuals_pack_everything_once():
         assert pk.n_bins(best) <= pk.n_bins(a)
 
 
-def test_evolution_beats_greedy_where_greedy_is_wrong():
-    hist = Counter({60: 30, 50: 40, 45: 20, 40: 20, 35: 20, 30: 30, 25: 20, 20: 5})
-    assert pk.n_bins(pk.evolve(hist, 100, 3, [], 30, 12)) <= pk.n_bins(pk.fill(hist, 100))
+@pytest.mark.parametrize(
+    "hist",
+    [
+        {28: 24, 45: 17, 48: 5, 47: 28, 30: 24, 59: 16, 44: 23, 39: 18},
+        {29: 14, 35: 14, 40: 23, 31: 25, 54: 12, 34: 25},
+        {50: 14, 30: 26, 53: 8, 47: 17, 31: 23, 20: 19, 40: 10, 39: 25},
+    ],
+)
+def test_evolution_beats_greedy_and_as_many_random_starts(hist):
+    """Fewer bins than the greedy filling, and than as many random fillings as the evolution makes children: crossover does it."""
+    hist = Counter(hist)
+    rng = random.Random(3)
+    starts = [pk.fill(hist, 100), *(pk.fill(hist, 100, rng) for _ in range(66))]
+    best = pk.evolve(hist, 100, 3, [], 20, 6)
+    check_plan(best, hist, 100)
+    assert pk.n_bins(best) < min(map(pk.n_bins, starts))
+
+
+def test_islands_beat_greedy_and_migrate(spark):
+    hist = Counter({28: 24, 45: 17, 48: 5, 47: 28, 30: 24, 59: 16, 44: 23, 39: 18})
+    best = pk.islands(spark, hist, 100)
+    check_plan(best, hist, 100)
+    assert pk.n_bins(best) < pk.n_bins(pk.fill(hist, 100))
 
 
 def valid(rows, texts, tokenizer, capacity):
