@@ -7,11 +7,13 @@ import json
 import plistlib
 import sqlite3
 from collections.abc import Iterator
+from decimal import Decimal
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from artiscope.functions import constants as C
 from artiscope.functions.findings import findings
@@ -19,24 +21,38 @@ from artiscope.functions.findings import findings
 SETTINGS = "file_path string, format string, key string, value string, type string"
 
 
-def flatten_json(df: DataFrame, column: str, keep: list[str], depth: int = 8) -> DataFrame:
-    """Leaves of JSON documents as (keep..., key, value, type), by VARIANT explosion in the JVM, a level a step.
-
-    ``depth`` bounds the nesting that is opened; what lies deeper stays as JSON text.
-    """
-    level = df.select(*keep, F.lit("").alias("key"), F.expr(f"try_parse_json({column})").alias("__v"))
-    done = None
-    for _ in range(depth):
-        kind = F.schema_of_variant("__v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        leaves = level.where(~nested).select(*keep, "key", F.expr("variant_get(__v, '$', 'string')").alias("value"), kind.alias("type"))
-        done = leaves if done is None else done.unionByName(leaves)
-        level.where(nested)
-        inner = level.where(nested).lateralJoin(level.sparkSession.tvf.variant_explode(F.col("__v").outer()).toDF("__pos", "__key", "__value")) if hasattr(level, "lateralJoin") else None
-        dotted = F.when(F.col("__key").isNull(), F.concat("key", F.lit("["), F.col("__pos"), F.lit("]"))).when(F.col("key") == "", F.col("__key")).otherwise(F.concat_ws(".", "key", "__key"))
-        level = inner.select(*keep, dotted.alias("key"), F.col("__value").alias("__v"))
-    rest = level.select(*keep, "key", F.expr("to_json(__v)").alias("value"), F.schema_of_variant("__v").alias("type"))
-    return done.unionByName(rest)
+def _leaves(document: str | None) -> Iterator[tuple[str, str | None, str]]:
+    """key, value and type of the leaves of a JSON text; none of a text that isn't JSON."""
+    try:
+        root = json.loads(document or "", parse_float=lambda x: float(x) if "e" in x.lower() else Decimal(x))
+    except (ValueError, RecursionError):
+        return
+    for key, v in _flat(root):
+        if v is None:
+            yield key, None, "VOID"
+        elif isinstance(v, bool):
+            yield key, "true" if v else "false", "BOOLEAN"
+        elif isinstance(v, int):
+            yield key, str(v), "BIGINT"
+        elif isinstance(v, Decimal):
+            yield key, format(v.normalize(), "f"), "DECIMAL"
+        else:
+            yield key, str(v), "DOUBLE" if isinstance(v, float) else "STRING"
+
+
+def flatten_json(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    """Leaves of JSON documents as (keep..., key, value, type): one walk of each document, however deep."""
+    fed = df.select(*keep, F.col(column).cast("string").alias("__doc"))
+    out = T.StructType([*(fed.schema[k] for k in keep), *(T.StructField(c, T.StringType()) for c in ("key", "value", "type"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, *leaf) for i, doc in enumerate(batch.column(len(keep)).to_pylist()) for leaf in _leaves(doc)]
+            of, *cols = zip(*rows) if rows else ((),) * 4
+            at = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(keep))), *(pa.array(c, pa.string()) for c in cols)], names=out.fieldNames())
+
+    return fed.mapInArrow(run, out)
 
 
 def classify_key(key: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from artiscope.functions.findings import findings
@@ -13,6 +14,10 @@ SAFE_LOADING_APIS = ("setdlldirectorya", "setdlldirectoryw", "setdefaultdlldirec
 LOAD_LIBRARY_APIS = ("loadlibrarya", "loadlibraryw", "loadlibraryexa", "loadlibraryexw")
 
 
+#: Parts that what belongs to one source is dealt out to.
+SALTS = 16
+
+
 def unknown_imports(imports: DataFrame, known: DataFrame, shipped: DataFrame) -> DataFrame:
     """imports (path, dll) without those in ``known`` (name; a trailing * stands for any rest), in ``shipped`` (name), or ignored by name."""
     low = imports.withColumn("dll", F.lower("dll"))
@@ -42,8 +47,13 @@ def search_order_findings(binaries: DataFrame) -> DataFrame:
 
 
 def dependency_graph(edges: DataFrame, limit: int = 20) -> DataFrame:
-    """edges (src, dst) to one row a source: number of targets, the first ``limit`` by name."""
-    return edges.distinct().groupBy("src").agg(F.count("*").alias("n_targets"), F.array_join(F.slice(F.sort_array(F.collect_list("dst")), 1, limit), ",").alias("targets"))
+    """edges (src, dst) to one row a source: number of targets, the first ``limit`` by name.
+
+    A source can have any number of targets: they are dealt out by a salt, and each part keeps its first ``limit``.
+    """
+    part = W.partitionBy("src", F.pmod(F.xxhash64("dst"), F.lit(SALTS)))
+    dealt = edges.select("src", "dst").distinct().select("*", F.row_number().over(part.orderBy("dst")).alias("n"), F.count("*").over(part).alias("all")).where(F.col("n") <= limit)
+    return dealt.groupBy("src").agg(F.sum(F.when(F.col("n") == 1, F.col("all"))).alias("n_targets"), F.array_join(F.slice(F.sort_array(F.collect_list("dst")), 1, limit), ",").alias("targets"))
 
 
 def publisher_conflicts(files: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from artiscope.functions.findings import findings
@@ -24,7 +23,7 @@ def reputation_findings(binaries: DataFrame, verdicts: DataFrame, max_lookups: i
     """binaries: path, sha256, seq. verdicts: sha256, malicious, suspicious, engines, vendors. The first ``max_lookups`` by seq are looked up."""
     work = binaries
     if max_lookups is not None:
-        work = work.withColumn("__n", F.row_number().over(W.orderBy("seq", "path"))).where(F.col("__n") <= max_lookups).drop("__n")
+        work = work.orderBy("seq", "path").limit(max_lookups)
     rows = work.join(verdicts, "sha256", "left").withColumn("sev", severity_of(F.col("malicious"), F.col("suspicious"), F.col("engines")))
     rule = F.when(F.col("engines").isNull(), "vt-unknown").when(F.col("sev").isNull(), "vt-clean").otherwise("vt-flagged")
     rows = rows.withColumn("rule", rule)

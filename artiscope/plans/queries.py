@@ -464,3 +464,61 @@ def severity_names(spark: SparkSession, d: str) -> DataFrame:
 def network_artifacts(spark: SparkSession, d: str) -> DataFrame:
     urls = indicators.url_findings(read(spark, d, "pages").select(F.col("page_id").cast("string").alias("file_path"), F.col("url").alias("text")))
     return platforms.network_artifacts(urls).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+# --- operators of a scan's end ---
+
+
+@query("roll_up", S.ROLL_UP)
+def roll_up(spark: SparkSession, d: str) -> DataFrame:
+    """All findings of one rule as one, with the number of files and the first twenty."""
+    rows = grouping.roll_up(document_findings(spark, d), "private-ip")
+    return rows.select("module", "rule_id", "severity", "n_files", F.array_join("files", ",").alias("files"))
+
+
+@query("report_filter", S.REPORT_FILTER)
+def report_filter(spark: SparkSession, d: str) -> DataFrame:
+    issues = grouping.group_issues(document_findings(spark, d))
+    kept = grouping.report_filter(issues, module="secrets", text="ADDRESS")
+    return kept.select("rule_id", "severity", "affected_count", grouping.module_label(F.col("module")).alias("label"))
+
+
+@query("libraries", S.LIBRARIES)
+def libraries(spark: SparkSession, d: str) -> DataFrame:
+    """Libraries of suppliers' binaries, the first thirty by name for each module."""
+    part = F.concat(F.lit("lib"), F.lpad(F.col("l_partkey").cast("string"), 8, "0"))
+    module = F.when(F.col("l_suppkey") % 2 == 0, "linux").otherwise("macos")
+    found = read(spark, d, "lineitem").groupBy(module.alias("module"), "l_suppkey").agg(F.array_join(F.sort_array(F.collect_set(part)), ", ").alias("evidence"))
+    found = found.withColumn("rule_id", F.concat("module", F.lit("-third-party-libraries")))
+    return platforms.libraries(found).select("module", F.array_join("libraries", ",").alias("libraries"))
+
+
+@query("config_counts", S.CONFIG_COUNTS)
+def config_counts(spark: SparkSession, d: str) -> DataFrame:
+    ends = F.array(*map(F.lit, S.FILE_ENDS))
+    files = read(spark, d, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.element_at(ends, (F.col("p_partkey") % len(S.FILE_ENDS) + 1).cast("int"))).alias("path"))
+    return platforms.config_counts(files)
+
+
+@query("application_roots", S.APP_ROOTS)
+def application_roots(spark: SparkSession, d: str) -> DataFrame:
+    """Manifests made of customers: some among dependencies, some without a main file."""
+    k = F.col("c_custkey")
+    folder = F.concat(F.lit("/apps/"), k.cast("string"), F.when(k % 5 == 0, "/node_modules/x").otherwise(""))
+    main = F.when(k % 3 == 0, '{"name": "x"}').otherwise(F.concat(F.lit('{"main": "m'), k.cast("string"), F.lit('.js"}')))
+    files = read(spark, d, "customer").select(F.concat(folder, F.lit("/package.json")).alias("path"), main.cast("binary").alias("content"))
+    return dlls.application_roots(files)
+
+
+@query("unpack_steps", S.UNPACK_STEPS)
+def unpack_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Commands that unpack what holds a page's file, one archive or two deep."""
+    k = F.col("page_id")
+    chain = F.concat(F.lit("in/a"), k.cast("string"), F.lit(".zip"), F.when(k % 2 == 0, " > b.asar").otherwise(""), F.lit(" > c.js"))
+    return read(spark, d, "pages").select("page_id", F.array_join(paths.unpack_steps(chain), " && ").alias("steps"))
+
+
+@query("scrubbed_notes", "SELECT conv_id, turn, 'at <target>/' || conv_id || ' via <temp>/x' AS note FROM conversations")
+def scrubbed_notes(spark: SparkSession, d: str) -> DataFrame:
+    note = F.concat(F.lit("at /scan/root/"), F.col("conv_id").cast("string"), F.lit(" via /tmp/run"), F.col("turn").cast("string"), F.lit("/x"))
+    return read(spark, d, "conversations").select("conv_id", "turn", paths.scrub(note, "/scan/root").alias("note"))

@@ -237,3 +237,12 @@ SELECT key, value,
   OR (regexp_matches(last, 'password|passwd|pwd|secret|token|api_?key') AND NOT regexp_matches(last, 'length|lifetime|expir|timeout|policy|enabled|required|min|max|count|url|file|path|hint|type|name')
       AND NOT regexp_matches(v, '^([$][{{].*[}}]|[$][a-z_]+|%.*%|<.*>|changeme|change_me|example|placeholder|none|null|true|false|xxx+|[*]+|[0-9]{{1,5}})$') AND length(v) >= 6) AS risky,
   count(*) AS n FROM k GROUP BY ALL"""
+ROLL_UP = with_findings("SELECT module, rule_id, severity, count(DISTINCT file_path) AS n_files, array_to_string(list_sort(list(DISTINCT file_path))[1:20], ',') AS files FROM f WHERE rule_id = 'private-ip' GROUP BY ALL")
+REPORT_FILTER = with_issues("SELECT rule_id, severity, affected_count, 'Secrets & Configuration' AS label FROM i WHERE module = 'secrets' AND contains(issue_title, 'address')")
+LIBRARIES = """
+SELECT module, array_to_string(list_sort(list(name))[1:30], ',') AS libraries FROM (
+  SELECT DISTINCT CASE WHEN l_suppkey % 2 = 0 THEN 'linux' ELSE 'macos' END AS module, 'lib' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS name FROM lineitem) GROUP BY module"""
+CONFIG_COUNTS = f"SELECT lower({_END}) AS extension, count(*) AS n FROM part WHERE lower({_END}) IN ('.json', '.yaml') GROUP BY ALL"
+APP_ROOTS = "SELECT '/apps/' || c_custkey AS root, 'm' || c_custkey || '.js' AS main FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 3 <> 0"
+UNPACK_STEPS = """
+SELECT page_id, '7z x ''a' || page_id || '.zip'' -o''unpacked1''' || CASE WHEN page_id % 2 = 0 THEN ' && npx --yes @electron/asar extract ''unpacked1/b.asar'' ''unpacked2''' ELSE '' END AS steps FROM pages"""
