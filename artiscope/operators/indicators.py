@@ -26,7 +26,8 @@ def gated(text: Column, gate: str, hits: Column) -> Column:
 
 def text_findings(texts: DataFrame, hits: list[Column], module: str = "secrets") -> DataFrame:
     """Findings of all ``hits`` from one pass over texts (file_path, text)."""
-    rows = texts.select("file_path", F.inline(F.flatten(F.array(*hits))))
+    # outer: for inner generators the optimizer adds a filter on the size of their input, which would extract everything twice
+    rows = texts.select("file_path", F.inline_outer(F.flatten(F.array(*hits)))).where("rule_id is not null")
     return findings(rows, module=module, file_path=F.col("file_path"), **{c: F.col(c) for c in ("rule_id", "title", "severity", "evidence", "line_number", "column_number", "tags", "confidence", "poc")})
 
 
