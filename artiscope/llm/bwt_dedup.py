@@ -25,12 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from artiscope.llm._scratch import cut, table
+from artiscope.llm._scratch import cut, free_name, table
 from artiscope.llm._worker import worker
 
 #: Bytes of a repeated string and of a gram. Strings with one anchor start within ``LENGTH - GRAM + 1`` bytes.
@@ -40,6 +39,8 @@ REACH = LENGTH - GRAM + 1
 BLOCK, REFINE, GROUP = 1 << 17, 1 << 20, 4096
 LONG_TEXT = 1 << 18
 BITS = 24
+#: A kind of segment with more than one in HOT of the rows is joined by broadcast.
+HOT = 256
 
 _TABLE = np.frombuffer(b"".join(hashlib.blake2b(bytes([k]), digest_size=8).digest() for k in range(256)), "<u8").copy()
 _BASE = 0x9E3779B97F4A7C15
@@ -200,21 +201,17 @@ def merge_groups(rows: DataFrame) -> DataFrame:
 
 
 def _among(docs: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
-    """Rows of docs (u first) that may be among ``ids``, by a bit table of fixed size, or those that surely aren't."""
-    rows = ids.select(F.shiftrightunsigned("u", 64 - BITS).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toPandas()
-    bits = np.zeros(1 << (BITS - 6), np.uint64)
-    bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    """Rows of docs that may be among ``ids`` (column u of both), by a bit table of fixed size, or those that surely aren't.
 
-    @worker("bytes")
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = (batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
-            has = (shared.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
-            mask = pa.array(has == inside, pa.bool_())
-            yield pa.RecordBatch.from_arrays([pc.filter(c, mask) for c in batch.columns], schema=batch.schema)
-
-    return docs.mapInArrow(run, docs.schema)
+    The table has at most 2 ** (BITS - 6) rows of 64 bits, however many ids there are; so it is broadcast, and the texts stay where they are.
+    """
+    slot = F.shiftrightunsigned("u", 64 - BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(u, {64 - BITS}) & 63 as int))")
+    word, bits = free_name("word", docs.columns), free_name("bits", docs.columns)
+    rows = ids.groupBy(F.shiftright(slot, 6).alias(word)).agg(F.bit_or(bit).alias(bits))
+    fed = docs.withColumn(word, F.shiftright(slot, 6)).join(F.broadcast(rows), word, "inner" if inside else "left")
+    has = F.coalesce(F.col(bits).bitwiseAND(bit), F.lit(0)) != 0
+    return fed.where(has if inside else ~has).select(*docs.columns)
 
 
 def _segment_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -252,9 +249,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     parts = kinds.groupBy("h").agg(F.least(F.ceil(F.count("*") / GROUP), F.lit(REACH)).cast("int").alias("parts"))
     merged = merge_groups(_segment_bytes(docs, kinds.join(parts, "h").select("h", "g", "parts", "one.*")))
     full = F.lit(-1).cast("long")
-    masks = kinds.select("h", "g", "n").join(merged, ["h", "g"], "left").select("h", "g", *[F.when(F.col("n") > 1, full).otherwise(F.coalesce(m, F.lit(0).cast("long"))).alias(m) for m in ("m0", "m1", "m2")])
+    masks = kinds.join(merged, ["h", "g"], "left").select("h", "g", "n", *[F.when(F.col("n") > 1, full).otherwise(F.coalesce(m, F.lit(0).cast("long"))).alias(m) for m in ("m0", "m1", "m2")])
     one = again.where("not several").select("u", "start", "strings", *[full.alias(m) for m in ("m0", "m1", "m2")])
-    more = again.where("several").join(masks.where("m0 <> 0 or m1 <> 0 or m2 <> 0"), ["h", "g"]).select("u", "start", "strings", "m0", "m1", "m2")
+    masks = cut(masks.where("m0 <> 0 or m1 <> 0 or m2 <> 0"), "bytes-masks")
+    # a kind of segment that holds more than one row in HOT: there are fewer than HOT of them, so their masks are broadcast
+    # and their rows don't meet in one task
+    rows, cols = again.where("several"), ("u", "start", "strings", "m0", "m1", "m2")
+    hot = F.broadcast(masks.where(F.col("n") * HOT > again.count()))
+    few = rows.join(hot, ["h", "g"]).select(*cols)
+    more = few.unionByName(rows.join(hot, ["h", "g"], "left_anti").join(masks, ["h", "g"]).select(*cols))
     # rows with one u are copies of each other with the same segments
     return one.unionByName(more).groupBy("u").agg(F.collect_set(F.struct("start", "strings", "m0", "m1", "m2")).alias("found"))
 
