@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +64,25 @@ def free_name(base: str, taken) -> str:
     return base
 
 
+#: Bits of a table that tells which keys are surely not among others.
+KEY_BITS = 24
+
+
+def among(rows: DataFrame, others: DataFrame, key: str, inside: bool = True) -> DataFrame:
+    """Rows whose ``key`` may be one of those of ``others``, by a bit table of fixed size, or the rows whose key surely isn't.
+
+    The table has at most 2 ** (KEY_BITS - 6) rows of 64 bits, however many keys there are; so it is broadcast,
+    and long rows neither move nor go to Python. A null key is a key like any other.
+    """
+    word, bits = free_name("word", rows.columns), free_name("bits", rows.columns)
+    slot = F.shiftrightunsigned(F.xxhash64(key), 64 - KEY_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+    held = others.groupBy(F.shiftright(slot, 6).alias(word)).agg(F.bit_or(bit).alias(bits))
+    fed = rows.withColumn(word, F.shiftright(slot, 6)).join(F.broadcast(held), word, "inner" if inside else "left")
+    has = F.coalesce(F.col(bits).bitwiseAND(bit), F.lit(0)) != 0
+    return fed.where(has if inside else ~has).select(*rows.columns)
+
+
 #: Rows, and bytes, that go to Python at a time.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 

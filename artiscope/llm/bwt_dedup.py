@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from artiscope.llm._scratch import cut, free_name, table
+from artiscope.llm._scratch import among, cut, table
 from artiscope.llm._worker import worker
 
 #: Bytes of a repeated string and of a gram. Strings with one anchor start within ``LENGTH - GRAM + 1`` bytes.
@@ -38,7 +38,6 @@ REACH = LENGTH - GRAM + 1
 #: Bytes of text that are hashed together, bytes of segments that are refined together, segments of an anchor in one task.
 BLOCK, REFINE, GROUP = 1 << 17, 1 << 20, 4096
 LONG_TEXT = 1 << 18
-BITS = 24
 #: A kind of segment with more than one in HOT of the rows is joined by broadcast.
 HOT = 256
 
@@ -200,24 +199,10 @@ def merge_groups(rows: DataFrame) -> DataFrame:
     return near.mapInArrow(run, "h long, g long, m0 long, m1 long, m2 long").groupBy("h", "g").agg(*[F.bit_or(m).alias(m) for m in ("m0", "m1", "m2")])
 
 
-def _among(docs: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
-    """Rows of docs that may be among ``ids`` (column u of both), by a bit table of fixed size, or those that surely aren't.
-
-    The table has at most 2 ** (BITS - 6) rows of 64 bits, however many ids there are; so it is broadcast, and the texts stay where they are.
-    """
-    slot = F.shiftrightunsigned("u", 64 - BITS)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(u, {64 - BITS}) & 63 as int))")
-    word, bits = free_name("word", docs.columns), free_name("bits", docs.columns)
-    rows = ids.groupBy(F.shiftright(slot, 6).alias(word)).agg(F.bit_or(bit).alias(bits))
-    fed = docs.withColumn(word, F.shiftright(slot, 6)).join(F.broadcast(rows), word, "inner" if inside else "left")
-    has = F.coalesce(F.col(bits).bitwiseAND(bit), F.lit(0)) != 0
-    return fed.where(has if inside else ~has).select(*docs.columns)
-
-
 def _segment_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (h, g, parts, u, start, strings, place) with the bytes of each segment, once for each part."""
     lists = wanted.groupBy("u").agg(F.collect_list(F.struct("h", "g", "parts", "start", "strings", "place")).alias("want"))
-    texts = _among(docs.select("u", "text"), lists.select("u")).dropDuplicates(["u"])
+    texts = among(docs.select("u", "text"), lists, "u").dropDuplicates(["u"])
     rows = texts.join(lists, "u").select("text", "want")
 
     @worker("bytes")
@@ -287,8 +272,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     fed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     fed = fed.select(F.xxhash64(F.col("id").cast("string"), "t").alias("u"), F.col("t").cast("binary").alias("text"), "id")
     found = cut(repeated_spans(fed.select("u", "text")), "bytes-found")
-    touched = _among(fed, found.select("u")).join(found, "u", "left").select("id", "text", "found")
-    untouched = _among(fed, found.select("u"), inside=False).select("id", "text", F.lit(None).cast(found.schema["found"].dataType).alias("found"))
+    touched = among(fed, found, "u").join(found, "u", "left").select("id", "text", "found")
+    untouched = among(fed, found, "u", inside=False).select("id", "text", F.lit(None).cast(found.schema["found"].dataType).alias("found"))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([T.StructField(id_col, fed.schema["id"].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("spans", T.ArrayType(span))])
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from artiscope.llm._scratch import cut, table
+from artiscope.llm._scratch import among, cut, table
 from artiscope.llm._worker import worker
 from artiscope.llm.components import components
 
@@ -196,16 +196,7 @@ def short_sketches(sketches: DataFrame, num: int, den: int) -> DataFrame:
 def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """node and text of the nodes of pairs (a, b), and of the few others that the bit table can't tell from them."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    bits = docs.sparkSession.sparkContext.broadcast(_bit_rows(nodes.select(F.shiftrightunsigned(F.xxhash64("node"), 64 - BITS).alias("slot"))))
-
-    @worker("jaccard", forget)
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mask = pa.array(_has(bits.value, batch.column(2).to_numpy(zero_copy_only=False)), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pc.filter(batch.column(k), mask) for k in (0, 1)], names=["node", "text"])
-
-    fed = docs.where("id is not null").select("id", "text", F.shiftrightunsigned(F.xxhash64("id"), 64 - BITS).alias("slot"))
-    return fed.mapInArrow(run, "node long, text string")
+    return among(docs.where("id is not null").select(F.col("id").alias("node"), "text"), nodes, "node")
 
 
 def near_pairs(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
