@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from artiscope.functions import text as X
 from artiscope.functions.findings import findings
-from artiscope.sources.files import extension, name_of
+from artiscope.sources.files import extension
 
 #: Files whose modes are looked at, in the order of their paths.
 PERMISSION_FILES = 500
@@ -34,15 +34,14 @@ def _lines(texts: DataFrame, pattern: str) -> DataFrame:
 
 
 def linux_text_findings(texts: DataFrame) -> DataFrame:
-    """Startup units, schedules, packages and update channels; texts: file_path, text."""
+    """Startup units, schedules and update channels; texts: file_path, text."""
     path, line, n = F.col("file_path"), F.col("line"), F.col("line_number")
-    name, ext = name_of(path), extension(path)
+    ext = extension(path)
     unit = texts.where(ext.isin(".service", ".timer", ".socket"))
     execs = _lines(unit, "(?m)^Exec").where(line.rlike("^Exec(Start|Stop|Reload|StartPre|StartPost)="))
     command = F.regexp_replace(line, "^Exec[A-Za-z]*=[-@+!:]*", "")
     unsafe = command.rlike(r"^(/tmp/|/var/tmp/|/dev/shm/)|(?:^|\s)(/tmp|/var/tmp)/|\b(ba|da|z)?sh\s+-c\b|\$\(|\$\{|`")
     root = unit.where(~F.col("text").rlike(r"(?m)^User=(?!root\s*$)\S") & F.col("text").contains("[Service]"))
-    package = texts.where((name == "control") | ext.isin(".desktop", ".spec"))
     cron = _lines(texts.where(path.rlike(r"/cron(\.[a-z]+)?/|/crontab$")), r"(?m)^[^#\s]").where(line.rlike(r"^\s*(@\w+|[0-9*/,\-]+\s+[0-9*/,\-]+\s)"))
     update = texts.where(F.col("text").rlike(UPDATE_WORDS))
     url = update.select("file_path", "text", F.explode(X.urls(F.col("text"), 20)).alias("url")).where(F.col("url").rlike("(?i)(update|release|appcast|download)"))
@@ -52,7 +51,6 @@ def linux_text_findings(texts: DataFrame) -> DataFrame:
         _of(execs.where(unsafe), "linux", "Startup", "Unsafe Exec Path", "High", line, n, ["permissions"]),
         _of(root, "linux", "Startup", "Runs As Root", "Low", F.lit("no unprivileged User="), None, ["permissions"]),
         _of(cron, "linux", "Startup", "Cron Entry", "Info", line, n),
-        _of(package, "linux", "Application Discovery", "Package Metadata", "Info", F.substring_index("text", "\n", 3)),
         _of(url, "linux", "Update Mechanism", "Update Url", trust, F.col("url"), None, ["auto-update", "transport"]),
     ]
     out = parts[0]
@@ -61,6 +59,32 @@ def linux_text_findings(texts: DataFrame) -> DataFrame:
     return out
 
 
+def package_findings(files: DataFrame) -> DataFrame:
+    """Launchers and package descriptions by the name of the file; files: path, content. A file is of one kind, the first that fits."""
+    plain = F.replace(F.col("path"), F.lit("\\"), F.lit("/"))
+    name, folders = F.substring_index(plain, "/", -1), F.split(plain, "/")
+    described = F.lower(plain).rlike("(^|/)flatpak/|(^|/)metainfo/[^/]*$")
+    kind = (
+        F.when(name.endswith(".desktop"), "Desktop Entry Metadata")
+        .when((name == "control") & F.array_contains(folders, "DEBIAN"), "Debian Package Metadata")
+        .when(name.rlike(r".\.spec$"), "RPM Spec Metadata")
+        .when(F.lower(name).endswith(".appimage"), "AppImage Package Detected")
+        .when(name.isin("metadata", "metadata.json") & described, "Flatpak Metadata Detected")
+        .when((name == "snap.yaml") | name.rlike(r".\.snap(\.|$)"), "Snap Metadata Detected")
+    )
+    # an AppImage or a snap may be large: only the head of the content is decoded
+    head = F.replace(F.make_valid_utf8(F.substring("content", 1, 4000).cast("string")), F.lit("�"), F.lit(""))
+    rows = files.select(F.col("path").alias("file_path"), kind.alias("check"), head.alias("head")).where("check is not null")
+    field = lambda key, other: F.coalesce(F.nullif(F.trim(F.regexp_extract("head", rf"(?m)^[ \t]*{key}[ \t]*=([^\r\n]*)", 1)), F.lit("")), F.lit(other))
+    launcher = F.concat(F.lit("Name="), field("Name", "?"), F.lit(", Exec="), field("Exec", "?"), F.lit(", Version="), field("Version", "unspecified"))
+    check = F.col("check")
+    evidence = F.when(check.startswith("Desktop"), launcher).when(check.startswith("AppImage"), F.col("file_path")).when(check.rlike("^(Flatpak|Snap)"), F.left("head", F.lit(500))).otherwise(F.left("head", F.lit(300)))
+    rule = F.concat(F.lit("linux-application-discovery-"), F.lower(F.replace(check, F.lit(" "), F.lit("-"))))
+    own = F.when(check.rlike("^(AppImage|Flatpak|Snap)"), F.lower(F.substring_index(check, " ", 1)))
+    tags = F.array_compact(F.array(F.lit("linux"), F.lit("inventory"), own))
+    return findings(rows, module="linux", rule_id=rule, title=F.concat(F.lit("[Application Discovery] "), check), severity="Info", file_path=F.col("file_path"), evidence=evidence, tags=tags, confidence="Medium")
+
+
 def permission_findings(modes: DataFrame, module: str = "linux", limit: int = PERMISSION_FILES) -> DataFrame:
     """World-writable and set-id files among the first ``limit`` by path; modes: path, mode, is_symlink."""
     # a sort with a limit keeps the first rows of each partition, so no task sees them all

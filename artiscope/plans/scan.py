@@ -108,6 +108,8 @@ def _of_binaries(hits: DataFrame, wanted: list[str]) -> list[DataFrame]:
 def _platform(found: DataFrame, texts: DataFrame, modes: DataFrame | None, done: list[DataFrame], module: str) -> list[DataFrame]:
     """Findings of one platform's files, and what follows from the binaries' findings."""
     parts = [platforms.linux_text_findings(texts) if module == "linux" else platforms.plist_findings(found)]
+    if module == "linux":
+        parts.append(platforms.package_findings(found))
     if modes is not None:
         parts.append(platforms.permission_findings(modes, module))
     earlier = _union(done)
