@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("block_naming", "bwt_dedup", "decontaminate", "jaccard_groups", "line_crf", "packing", "pii", "toxicity", "token_count", "quality_cascade", "url_filters")
+MODULES = ("block_naming", "bwt_dedup", "collocations", "decontaminate", "jaccard_groups", "line_crf", "packing", "pii", "toxicity", "token_count", "quality_cascade", "url_filters", "whitening")
 
 
 def queries() -> dict:
