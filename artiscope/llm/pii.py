@@ -40,12 +40,17 @@ KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# a match begins where a run of digits begins, so that a long run is read once
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9][0-9().\x20-]*")
-_SPOKEN = re.compile(r"[A-Za-z0-9._%+-]+\s*[\[(]at[\])]\s*[A-Za-z0-9-]+(?:\s*[\[(]dot[\])]\s*[A-Za-z0-9-]+)+", re.I)
+# an email in disguise from its (at) on; what stands before that is looked for backwards
+_SPOKEN = re.compile(r"[\[(]at[\])]\s*[A-Za-z0-9-]++(?:\s*[\[(]dot[\])]\s*[A-Za-z0-9-]++)+", re.I)
+_SPOKEN_LOCAL = re.compile(r"[A-Za-z0-9._%+-]", re.I)
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|=`"
+#: What ends a name that is glued to its value, looked at backwards.
+_APART = ",;:=&?|<>{}[]()\"'"
 
 #: Distinct known instances that a pattern needs, the confidence it needs, and rounds of scoring.
 MIN_SUPPORT, MIN_CONFIDENCE, ROUNDS = 3, 0.6, 3
@@ -112,6 +117,21 @@ def fits(value: str) -> int:
     return sum(1 << k for k in range(len(KINDS)) if shape_allows(k, value))
 
 
+def _disguised(text: str) -> Iterator[tuple[int, int]]:
+    """Emails written with (at) and (dot)."""
+    done = 0
+    for m in _SPOKEN.finditer(text):
+        end = m.start()
+        while end > done and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start > done and _SPOKEN_LOCAL.match(text[start - 1]):
+            start -= 1
+        if start < end:
+            yield start, m.end()
+            done = m.end()
+
+
 def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Identifier-shaped spans that overlap no base span: tokens with four digits or more, groups of digits, emails in disguise."""
     found: list[tuple[int, int]] = []
@@ -127,7 +147,7 @@ def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int,
             done = e
             at = text.find("@", e)
     if "at)" in text or "at]" in text or "AT)" in text or "AT]" in text:
-        found += [(m.start(), m.end()) for m in _SPOKEN.finditer(text)]
+        found += _disguised(text)
     done = 0
     for m in _DIGITS.finditer(text):
         if m.start() < done:
@@ -172,24 +192,29 @@ def _beside(text: str, at: int, step: int) -> list[str]:
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """Patterns of a mention, in lower case."""
+    """Patterns of a mention, in lower case. No part of a text that lies between two mentions is read more than a few times."""
     out = []
-    before = [w.lower() for w in _beside(text, start, -1)]
-    if before and not text[start - 1].isspace():
-        name = before.pop()
-        if name[-1] in ":=" and name[:-1].strip(_EDGE):
-            out.append("K " + name[:-1].strip(_EDGE))
-        if name.strip(_EDGE):
-            before = []  # the mention is a part of a word
+    if start and text[start - 1] in ":=":
+        at = start - 1
+        while at and not text[at - 1].isspace() and text[at - 1] not in _APART:
+            at -= 1
+        if name := text[at : start - 1].strip(_EDGE).lower():
+            out.append("K " + name)
+    at = start
+    while at and text[at - 1] in _EDGE:
+        at -= 1
+    # a mention that is a part of a word has no words before it
+    before = [w.lower() for w in _beside(text, at, -1)] if at and text[at - 1].isspace() else []
     if before:
         out.append("L1 " + before[-1])
         if name := before[-1].strip(_EDGE):
             out.append("N " + name)
         if len(before) > 1:
             out += [f"L2 {before[-2]} {before[-1]}", "G " + before[-2]]
-    after = [w.lower() for w in _beside(text, end, 1)]
-    if after and not text[end].isspace():
-        after = [] if after[0].strip(_EDGE) else after[1:]
+    at = end
+    while at < len(text) and text[at] in _EDGE:
+        at += 1
+    after = [w.lower() for w in _beside(text, at, 1)] if at < len(text) and text[at].isspace() else []
     if after:
         out.append("R1 " + after[0])
     return out

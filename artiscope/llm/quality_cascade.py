@@ -14,6 +14,8 @@ name of an output column is replaced. An empty table gives an empty table.
 from __future__ import annotations
 
 import time
+import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -118,19 +120,16 @@ def _word_length(d: Document) -> bool:
     return not 2 * d.n_words <= d.word_chars <= 20 * d.n_words
 
 
+_ASCII = bytes(range(128))
+
+
 def _shouting(d: Document) -> bool:
-    upper, lower = 0, 0
-    ascii_only = d.raw.isascii()
-    if ascii_only:
-        codes = np.frombuffer(d.raw, np.uint8)
-        upper, lower = int(((codes >= 65) & (codes <= 90)).sum()), int(((codes >= 97) & (codes <= 122)).sum())
-    else:
-        up, low = d.text.upper(), d.text.lower()
-        if len(up) == len(low) == len(d.text):
-            a, b, c = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (d.text, up, low))
-            upper, lower = int(((a == b) & (a != c)).sum()), int(((a == c) & (a != b)).sum())
-        else:
-            upper, lower = sum(map(str.isupper, d.text)), sum(map(str.islower, d.text))
+    """More than twice as many capital as small letters, by Unicode's categories Lu and Ll."""
+    codes = np.frombuffer(d.raw, np.uint8)
+    upper, lower = int(((codes >= 65) & (codes <= 90)).sum()), int(((codes >= 97) & (codes <= 122)).sum())
+    for c, n in Counter(d.raw.translate(None, _ASCII).decode("utf-8", "surrogatepass")).items():
+        kind = unicodedata.category(c)
+        upper, lower = upper + n * (kind == "Lu"), lower + n * (kind == "Ll")
     return upper > 2 * lower
 
 

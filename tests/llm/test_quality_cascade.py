@@ -45,3 +45,20 @@ def test_rules_are_ordered_by_rejection_per_cost(spark):
 
 def test_empty_table(spark):
     assert qc.annotate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_cases_are_counted_one_way(spark):
+    """The same verdict as the SQL, whatever characters change their length with their case."""
+    import duckdb
+
+    bold = "\U0001d400"  # a capital without a small form
+    texts = [" ".join([bold * 3] * 26), " ".join([bold * 3] * 26) + " ß", " ".join(["ĸĸĸĸAA"] * 26), " ".join(["ĸĸĸĸAA"] * 26) + " ß", " ".join(["ǅa"] * 26), " ".join(["ÀÉ"] * 26), " ".join(["Straße İx"] * 26), " ".join(["日本"] * 26)]
+    texts = [" ".join(f"{w}{'abcdefghijklmnopqrstuvwxyz'[k % 26]}" for k, w in enumerate(t.split())) for t in texts] + [t.replace("A", "B") for t in texts]
+    rows = list(enumerate(texts))
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    want = con.sql(qc.ORACLE).select(*cols).fetchall()
+    got = qc.annotate(spark.createDataFrame(rows, "doc_id long, text string")).select(*cols).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {r[-1] for r in want} == {True, False}
