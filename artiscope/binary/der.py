@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
@@ -19,6 +20,10 @@ BASIC_CONSTRAINTS, EXTENDED_USAGE, CODE_SIGNING, TIME_STAMPING = "2.5.29.19", "2
 #: DER of the attributes that hold a timestamp: the older countersignature and the newer token.
 TIMESTAMP_MARKS = (bytes.fromhex("06092a864886f70d010906"), bytes.fromhex("060a2b060104018237030301"))
 
+# --- fixed values: digests, what a signature of an image covers, and the attribute that seals it ---
+DIGESTS = {"1.2.840.113549.2.5": "md5", "1.3.14.3.2.26": "sha1", "2.16.840.1.101.3.4.2.1": "sha256", "2.16.840.1.101.3.4.2.2": "sha384", "2.16.840.1.101.3.4.2.3": "sha512"}
+INDIRECT_DATA, MESSAGE_DIGEST = "1.3.6.1.4.1.311.2.1.4", "1.2.840.113549.1.9.4"
+
 
 class _Bad(ValueError):
     pass
@@ -154,6 +159,58 @@ def signature_certificates(data: bytes) -> list[Certificate]:
         return []
 
 
+@dataclass
+class SignedDigest:
+    """The digest of an image that a signature records; whether the signer's own digest is that of the record (None: it has none)."""
+
+    algorithm: str
+    recorded: str
+    sealed: bool | None
+
+
+def signed_digest(data: bytes) -> SignedDigest | None:
+    """What a PKCS#7 SignedData with indirect data says about the image that it signs."""
+    try:
+        return _signed_digest(data)
+    except (_Bad, ValueError, IndexError, StopIteration):
+        return None
+
+
+def _signed_digest(data: bytes) -> SignedDigest | None:
+    _, a, b = _tlv(data, 0)
+    _, (_, c, _) = list(_children(data, a, b))[:2]
+    _, e, f = _tlv(data, c)
+    parts = list(_children(data, e, f))
+    content = list(_children(data, *next((x, y) for tag, x, y in parts if tag == 0x30)))
+    if _oid(data[content[0][1] : content[0][2]]) != INDIRECT_DATA:
+        return None
+    _, start, end = _tlv(data, content[1][1])
+    _, info = list(_children(data, start, end))[:2]
+    (_, g, h), (_, i, j) = list(_children(data, info[1], info[2]))[:2]
+    _, k, m = next(_children(data, g, h))
+    algorithm = DIGESTS.get(_oid(data[k:m]))
+    if algorithm is None:
+        return None
+    return SignedDigest(algorithm, data[i:j].hex(), _sealed(data, parts, data[start:end]))
+
+
+def _sealed(data: bytes, parts: list, record: bytes) -> bool | None:
+    """Whether the first signer's message digest is that of ``record``."""
+    signers = parts[-1]
+    if signers[0] != 0x31 or signers[1] == signers[2]:
+        return None
+    fields = list(_children(data, *next(_children(data, signers[1], signers[2]))[1:]))
+    _, a, b = next(_children(data, fields[2][1], fields[2][2]))
+    algorithm = DIGESTS.get(_oid(data[a:b]))
+    for tag, x, y in fields[3:4] if algorithm else ():
+        for _, p, q in _children(data, x, y) if tag == 0xA0 else ():
+            (_, r, s), (_, t, u) = list(_children(data, p, q))[:2]
+            if _oid(data[r:s]) == MESSAGE_DIGEST:
+                _, v, w = _tlv(data, t)
+                return data[v:w] == hashlib.new(algorithm, record).digest()
+    return None
+
+
 def has_timestamp(data: bytes) -> bool:
     return any(m in data for m in TIMESTAMP_MARKS)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import struct
 from dataclasses import asdict, dataclass, field
 
+from artiscope.binary import codesign
+
 # --- fixed values ---
 CPUS = {7: "x86", 0x01000007: "x86-64", 12: "ARM", 0x0100000C: "ARM64", 18: "PowerPC"}
 _SINGLE = {b"\xfe\xed\xfa\xce": (">", False), b"\xce\xfa\xed\xfe": ("<", False), b"\xfe\xed\xfa\xcf": (">", True), b"\xcf\xfa\xed\xfe": ("<", True)}
@@ -21,6 +23,7 @@ class MachO:
     signed: bool = False
     hardened: bool | None = None
     encrypted: bool = False
+    signature: codesign.CodeSignature | None = None
 
     def row(self) -> dict:
         return asdict(self)
@@ -76,10 +79,8 @@ def _thin(data: bytes, base: int, out: MachO) -> None:
         elif kind == 0x1D:
             out.signed = True
             offset, length = struct.unpack_from(e + "II", data, at + 8)
-            blob = data[base + offset : base + offset + length]
-            code = blob.find(b"\xfa\xde\x0c\x02")
-            if code >= 0:
-                out.hardened = bool(struct.unpack_from(">I", blob, code + 12)[0] & 0x10000)
+            out.signature = codesign.parse(data[base:], data[base + offset : base + offset + length])
+            out.hardened = out.signature.hardened if out.signature else None
         elif kind in (0x21, 0x2C):
             out.encrypted = bool(struct.unpack_from(e + "I", data, at + 16)[0])
         at += size

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import struct
@@ -206,3 +207,14 @@ def pkcs7(data: bytes, image: Image) -> bytes | None:
         return None
     length, _, kind = struct.unpack_from("<IHH", data, at)
     return data[at + 8 : at + min(length, size)] if kind == 2 and length > 8 else None
+
+
+def authenticode(data: bytes, image: Image, algorithm: str) -> str:
+    """Digest of what a signature covers: the file without its checksum, the certificate table and the directory entry that names the table."""
+    optional = struct.unpack_from("<I", data, 60)[0] + 24
+    checksum, entry = optional + 64, optional + (112 if image.is_64 else 96) + 8 * 4
+    at, size = image.signature if image.has_signature else (len(data), 0)
+    out, view = hashlib.new(algorithm), memoryview(data)
+    for start, end in ((0, checksum), (checksum + 4, entry), (entry + 8, at), (at + size, len(data))):
+        out.update(view[start : max(start, end)])
+    return out.hexdigest()

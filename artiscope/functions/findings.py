@@ -29,8 +29,8 @@ def severity_rank(sev: Column) -> Column:
 
 def fingerprint() -> Column:
     """Identity of a finding; nulls count as the text None, title and tags don't count."""
-    shown = [F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in ("line_number", "column_number", "offset")]
-    return F.left(F.sha2(F.concat_ws("|", "module", "rule_id", "file_path", *shown, "evidence"), 256), F.lit(16))
+    shown = ", ".join(f"coalesce(cast({c} as string), 'None')" for c in ("line_number", "column_number", "offset"))
+    return F.expr(f"left(sha2(concat_ws('|', module, rule_id, file_path, {shown}, evidence), 256), 16)")
 
 
 def is_inventory() -> Column:
@@ -38,12 +38,21 @@ def is_inventory() -> Column:
     return rule.isin(*C.INVENTORY_RULES) | rule.startswith("extracted-") | ((rule == "manifest-privilege-settings") & (F.col("severity") == "Info"))
 
 
+_TYPES = dict(p.strip().split(" ") for p in SCHEMA.split(","))
+_SEVERITY = f"case when initcap(trim(severity)) in ({', '.join(map(repr, C.SEVERITY_RANK))}) then initcap(trim(severity)) else 'Info' end"
+_RANK = "case severity " + " ".join(f"when {k!r} then {v}" for k, v in C.SEVERITY_RANK.items()) + " else 0 end"
+
+
 def findings(df: DataFrame, **columns) -> DataFrame:
     """``df`` as findings: given columns (literals or columns), the rest null; with severity_rank and fingerprint."""
-    types = dict(p.strip().split(" ") for p in SCHEMA.split(","))
     cols = []
     for name in COLUMNS:
         value = columns.get(name)
-        col = value if isinstance(value, Column) else F.array(*map(F.lit, value)) if isinstance(value, (list, tuple)) else F.lit(value)
-        cols.append(col.cast(types[name]).alias(name))
-    return df.select(*cols).withColumn("severity", severity(F.col("severity"))).withColumn("severity_rank", severity_rank(F.col("severity"))).withColumn("fingerprint", fingerprint())
+        if value is None:
+            col = F.expr(f"cast(null as {_TYPES[name]})")
+        elif isinstance(value, Column):
+            col = value.cast(_TYPES[name])
+        else:
+            col = F.array(*map(F.lit, value)) if isinstance(value, (list, tuple)) else F.lit(value)
+        cols.append(col.alias(name))
+    return df.select(*cols).withColumn("severity", F.expr(_SEVERITY)).withColumns({"severity_rank": F.expr(_RANK), "fingerprint": fingerprint()})

@@ -45,15 +45,17 @@ def ipv4s(text: Column) -> Column:
     return F.filter(found, lambda ip: is_ipv4(ip) & ~ip.isin("0.0.0.0", "255.255.255.255"))
 
 
-def in_version_context(text: Column, at: Column, lookback: int = 40) -> Column:
-    """Whether what stands right before position ``at`` (from 1) assigns a version."""
-    start = F.greatest(F.lit(1), at - lookback)
-    return F.substring(text, start, at - start).rlike(C.VERSION_CONTEXT_RE)
+# an address, and before it either what assigns a version or the start of the text or a separator; each match is judged by itself
+_ADDRESS_RE = r"(?i)(?:(?:version|fileversion|productversion|assemblyversion|schemaversion)\s*[:=]\s*[\"']?|^|[^0-9a-z_])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9a-z_])"
 
 
-def addresses(text: Column, limit: int = 15) -> Column:
-    """IPv4 indicators: not the value of a version attribute where it first stands."""
-    return first_distinct(F.filter(F.array_distinct(ipv4s(text)), lambda ip: ~in_version_context(text, F.instr(text, ip))), limit)
+def addresses(text: Column, limit: int = 15, lookback: int = 40) -> Column:
+    """IPv4 indicators: addresses that stand somewhere else than in a version attribute's value, whose name and sign are within ``lookback`` characters."""
+    ip = lambda m: F.regexp_extract(m, r"[0-9.]+$", 0)
+    before = lambda m: F.left(m, F.length(m) - F.length(ip(m)))
+    named = F.transform(every(text, _ADDRESS_RE), lambda m: F.struct(F.ltrim(ip(m), F.lit(".")).alias("ip"), F.right(before(m), F.lit(lookback)).rlike(C.VERSION_CONTEXT_RE).alias("version")))
+    kept = F.filter(named, lambda m: is_ipv4(m["ip"]) & ~m["ip"].isin("0.0.0.0", "255.255.255.255") & ~m["version"])
+    return first_distinct(F.transform(kept, lambda m: m["ip"]), limit)
 
 
 # --- hosts and URLs ---

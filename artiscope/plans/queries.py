@@ -14,6 +14,7 @@ from artiscope.functions import text as X
 from artiscope.operators import binaries, config, dlls, grouping, indicators, platforms, reputation, rules, services
 from artiscope.plans import specimens
 from artiscope.plans import sql as S
+from artiscope.sources import archives as AS
 from artiscope.sources import files as FS
 from artiscope.sources.tables import conversation_files, document_files, read
 from artiscope.streaming import incremental
@@ -50,9 +51,11 @@ def ip_class(spark: SparkSession, d: str) -> DataFrame:
 
 @query("version_context", S.VERSION_CONTEXT)
 def version_context(spark: SparkSession, d: str) -> DataFrame:
-    """Addresses that are the value of a version attribute, on text that has both kinds."""
-    made = read(spark, d, "documents").select("doc_id", F.concat(F.lit('<a version="'), (F.col("doc_id") % 200).cast("string"), F.lit('.2.3.4"/> host 10.20.'), (F.col("doc_id") % 250).cast("string"), F.lit(".7 end")).alias("text"))
-    return made.select("doc_id", F.explode(X.addresses(F.col("text"))).alias("ip"))
+    """Addresses of documents to which values of version attributes were added, among them ones that stand elsewhere too and ones that begin alike."""
+    a = F.concat(F.lit("6."), (F.col("doc_id") % 3).cast("string"), F.lit(".0."), (F.length("text") % 7).cast("string"))
+    b = F.concat(F.lit("5.1.2."), (F.length("text") % 40).cast("string"))
+    text = F.concat_ws("", "text", F.lit(' <a version="'), a, F.lit('"/> on '), b, F.lit(" FileVersion : "), b, F.lit("0 and ProductVersion="), b, F.when(F.length("text") % 2 == 0, F.concat(F.lit(" then "), a)).otherwise(""), F.lit(" end"))
+    return read(spark, d, "documents").select("doc_id", F.posexplode(X.addresses(text)).alias("pos", "ip"))
 
 
 @query("extract_email", S.EMAIL)
@@ -380,7 +383,10 @@ def assembly_rules(spark: SparkSession, d: str) -> DataFrame:
 @query("source_rules", S.SOURCE_RULES)
 def source_rules(spark: SparkSession, d: str) -> DataFrame:
     """Application sources made of events: user and event numbers set the preferences."""
-    text = F.concat(F.lit("const w = new BrowserWindow({ webPreferences: { nodeIntegration: "), F.when(F.col("user_id") % 2 == 0, "true").otherwise("!1"), F.lit(", sandbox: "), F.when(F.col("event_id") % 3 == 0, "false").otherwise("true"), F.lit(" } });\n"), F.when(F.col("event_id") % 5 == 0, "w.loadURL('x')\n").otherwise("\n"))
+    text = F.concat(
+        F.when(F.col("event_id") % 7 == 0, r"const s = 'it\'s', r = /[`'\"]/; ").otherwise("const t = `a ${ f(`b`) } 'c`; "),
+        F.lit("const w = new BrowserWindow({ webPreferences: { nodeIntegration: "), F.when(F.col("user_id") % 2 == 0, "true").otherwise("!1"), F.lit(", sandbox: "), F.when(F.col("event_id") % 3 == 0, "false").otherwise("true"), F.lit(" } });\n"), F.when(F.col("event_id") % 5 == 0, "w.loadURL('x')\n").otherwise("\n"), F.when(F.col("event_id") % 11 == 0, "// don't\nw.on(`will-navigate`, f); w.setWindowOpenHandler(g);").otherwise(""),
+    )
     files = read(spark, d, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit(".js")).alias("path"), text.cast("binary").alias("content"))
     found = binaries.scan_binaries(files, AS_OF).where("rule_id <> 'electron-hardening-summary'")
     return found.groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
@@ -390,7 +396,7 @@ def source_rules(spark: SparkSession, d: str) -> DataFrame:
 def archive_members(spark: SparkSession, d: str) -> DataFrame:
     """Archives made of documents, unpacked again."""
     rows = read(spark, d, "documents").where(F.length("text") > 0).select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".zip")).alias("path"), F.concat(F.lit("t"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("body"))
-    members, _ = FS.expand(specimens.made(rows, specimens.archive), max_depth=1, max_archives=None)
+    members, _ = AS.expand(specimens.made(rows, specimens.archive), max_depth=1, max_archives=None)
     return members.select("path", F.sha2("content", 256).alias("sha256"))
 
 
@@ -424,11 +430,11 @@ def registry_services(spark: SparkSession, d: str) -> DataFrame:
 
 @query("permission_bits", "SELECT p_partkey, (p_size * 37 % 4096) & 2 <> 0 AS world, (p_size * 37 % 4096) & 3072 <> 0 AS set_id FROM part ORDER BY 'm' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') LIMIT 500")
 def permission_bits(spark: SparkSession, d: str) -> DataFrame:
-    name = F.concat(F.lit("m"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
+    name = F.concat(F.lit("logs/m"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
     modes = read(spark, d, "part").select(name.alias("path"), (F.col("p_size") * 37 % 4096).cast("int").alias("mode"), F.lit(False).alias("is_symlink"))
-    found = platforms.permission_findings(modes).groupBy("file_path").agg(F.max(F.col("rule_id").endswith("world-writable")).alias("world"), F.max(F.col("rule_id").endswith("suid-sgid")).alias("set_id"))
+    found = platforms.permission_findings(modes).groupBy("file_path").agg(F.max(F.col("rule_id").endswith("world-writable-file")).alias("world"), F.max(F.col("rule_id").endswith("suid/sgid-file-detected")).alias("set_id"))
     first = modes.orderBy("path").limit(platforms.PERMISSION_FILES)
-    return first.join(found, F.col("path") == F.col("file_path"), "left").select(F.substring("path", 2, 9).cast("long").alias("p_partkey"), F.coalesce("world", F.lit(False)).alias("world"), F.coalesce("set_id", F.lit(False)).alias("set_id"))
+    return first.join(found, F.col("path") == F.col("file_path"), "left").select(F.substring("path", 7, 9).cast("long").alias("p_partkey"), F.coalesce("world", F.lit(False)).alias("world"), F.coalesce("set_id", F.lit(False)).alias("set_id"))
 
 
 @query("finding_paths", "SELECT page_id, 'in/' || page_id || CASE WHEN page_id % 2 = 0 THEN ' > sub/a.js' ELSE '' END AS path, 'App_' || page_id || '_' AS app FROM pages")
@@ -460,10 +466,45 @@ def severity_names(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", name.alias("severity"), severity_rank(name).alias("severity_rank"))
 
 
-@query("network_artifacts", "SELECT CASE WHEN regexp_matches(url, '[./](dev|development|stage|staging|test|testing|internal|corp|local|sandbox|qa|uat)\\.') THEN 'linux-network-artifacts-internal-host' ELSE 'linux-network-artifacts-endpoint' END AS rule_id, count(DISTINCT url) AS n FROM (SELECT regexp_extract(url, 'https?://[^\\s\"''<>]{4,300}') AS url FROM pages) GROUP BY 1")
+@query("network_artifacts", S.NETWORK_ARTIFACTS)
 def network_artifacts(spark: SparkSession, d: str) -> DataFrame:
-    urls = indicators.url_findings(read(spark, d, "pages").select(F.col("page_id").cast("string").alias("file_path"), F.col("url").alias("text")))
-    return platforms.network_artifacts(urls).groupBy("rule_id").agg(F.count("*").alias("n"))
+    """Internal hosts among the URLs that stand in binaries: each page's HTML and URL, and its URL on another host, are put into one."""
+    hosts = F.array(*map(F.lit, S.OTHER_HOSTS))
+    other = F.replace("url", F.lit("://"), F.concat(F.lit("://"), F.element_at(hosts, (F.length("html") % len(S.OTHER_HOSTS) + 1).cast("int"))))
+    rows = read(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".so")).alias("path"), F.concat_ws("\n", "url", other, F.substring("html", 1, 1000)).alias("text"))
+    hits = binaries.binary_hits(specimens.made(rows, lambda text: specimens.elf_object((text or "").split("\n"))), AS_OF)
+    urls = hits.where("rule_id = 'linux-binary-analysis-embedded-url(s)'").select("file_path", F.explode("items").alias("url"))
+    return platforms.network_artifacts(urls).select("rule_id", "evidence", "file_path")
+
+
+@query("embedded_indicators", S.EMBEDDED)
+def embedded_indicators(spark: SparkSession, d: str) -> DataFrame:
+    """The first addresses of mail in each binary that holds a document, ten at most, in their order."""
+    rows = read(spark, d, "documents").where(F.length("text") > 0).select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".so")).alias("path"), "text")
+    hits = binaries.binary_hits(specimens.made(rows, lambda text: specimens.elf_object(text.split("\n"))), AS_OF)
+    found = hits.where("rule_id = 'linux-binary-analysis-embedded-email-address(s)'")
+    return found.select("file_path", F.posexplode("items").alias("pos", "email"))
+
+
+@query("authenticode_digests", S.AUTHENTICODE)
+def authenticode_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Signed images that carry a document each. They were signed before ``token`` was put in where the document has it."""
+    rows = read(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".exe")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    return binaries.signature_digests(specimens.made(rows, lambda text: specimens.signed_image(text.encode(), text.replace("token", "entry").encode())))
+
+
+@query("archive_levels", S.ARCHIVE_LEVELS)
+def archive_levels(spark: SparkSession, d: str) -> DataFrame:
+    """What archives of four kinds hold: one for each source and language with its documents, every fifth text in an archive of its own."""
+    k = F.col("doc_id")
+    name = F.concat(F.lit("t"), k.cast("string"), F.lit(".txt"))
+    group = F.concat_ws("-", "source", "lang", F.floor(k / 50).cast("string"))
+    rows = read(spark, d, "documents").where(F.length("text") > 0).select(group.alias("group"), k.alias("doc_id"), name.alias("name"), "text")
+    held = rows.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("doc_id", "name", "text"))).alias("docs"))
+    kind = F.element_at(F.array(F.lit("zip"), F.lit("tar"), F.lit("tgz"), F.lit("7z")), (F.length("group") % 4 + 1).cast("int"))
+    made = held.select(F.concat_ws(".", "group", kind).alias("path"), kind.alias("kind"), "docs")
+    members, _ = AS.expand(specimens.made(made, specimens.nested_archive), max_depth=1, max_archives=None)
+    return members.select("path", "depth", F.when(~F.col("path").endswith(".zip"), F.sha2("content", 256)).alias("sha256"))
 
 
 # --- operators of a scan's end ---
@@ -472,7 +513,7 @@ def network_artifacts(spark: SparkSession, d: str) -> DataFrame:
 @query("roll_up", S.ROLL_UP)
 def roll_up(spark: SparkSession, d: str) -> DataFrame:
     """All findings of one rule as one, with the number of files and the first twenty."""
-    rows = grouping.roll_up(document_findings(spark, d), "private-ip")
+    rows = grouping.roll_up(document_findings(spark, d), "hardcoded-ip")
     return rows.select("module", "rule_id", "severity", "n_files", F.array_join("files", ",").alias("files"))
 
 
@@ -488,9 +529,8 @@ def libraries(spark: SparkSession, d: str) -> DataFrame:
     """Libraries of suppliers' binaries, the first thirty by name for each module."""
     part = F.concat(F.lit("lib"), F.lpad(F.col("l_partkey").cast("string"), 8, "0"))
     module = F.when(F.col("l_suppkey") % 2 == 0, "linux").otherwise("macos")
-    found = read(spark, d, "lineitem").groupBy(module.alias("module"), "l_suppkey").agg(F.array_join(F.sort_array(F.collect_set(part)), ", ").alias("evidence"))
-    found = found.withColumn("rule_id", F.concat("module", F.lit("-third-party-libraries")))
-    return platforms.libraries(found).select("module", F.array_join("libraries", ",").alias("libraries"))
+    linked = read(spark, d, "lineitem").groupBy(module.alias("module"), "l_suppkey").agg(F.collect_set(part).alias("items"))
+    return platforms.libraries(linked).select("module", F.array_join("libraries", ",").alias("libraries"))
 
 
 @query("config_counts", S.CONFIG_COUNTS)

@@ -6,6 +6,7 @@ from artiscope.functions import constants as C
 from artiscope.functions.text import WORDS_IN_NAME_RE
 from artiscope.operators.grouping import CWE_BY_TAG, MITRE_BY_TAG
 from artiscope.operators.rules import DEFAULT_RULES
+from artiscope.plans.specimens import CHECKSUM, ENTRY, PLAIN_IMAGE
 
 
 def lit(text: str) -> str:
@@ -42,7 +43,12 @@ def _private(x: str) -> str:
 
 
 IP_CLASS = f"WITH {_IP_ROWS} SELECT {_private('ip')} AS private, count(*) AS n, count(DISTINCT ip) AS n_ips FROM r GROUP BY ALL"
-VERSION_CONTEXT = "SELECT doc_id, '10.20.' || (doc_id % 250) || '.7' AS ip FROM documents"
+# RE2 has no look-behind: a match takes in what assigns a version before it, and such matches are left out
+_VERSION_MARK = r"(?i)(?:(?:version|fileversion|productversion|assemblyversion|schemaversion)\s*[:=]\s*[\"']?)?\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
+_VERSION_A, _VERSION_B = "'6.' || (doc_id % 3) || '.0.' || (length(text) % 7)", "'5.1.2.' || (length(text) % 40)"
+VERSION_CONTEXT = f"""
+WITH t AS (SELECT doc_id, concat(text, ' <a version="', {_VERSION_A}, '"/> on ', {_VERSION_B}, ' FileVersion : ', {_VERSION_B}, '0 and ProductVersion=', {_VERSION_B}, CASE WHEN length(text) % 2 = 0 THEN ' then ' || {_VERSION_A} ELSE '' END, ' end') AS text FROM documents),
+{_first("t", "doc_id", f"regexp_extract_all(text, {lit(_VERSION_MARK)})", "NOT regexp_matches(v, '^[A-Za-z]') AND " + _valid("v"), "ip", 15)} SELECT doc_id, pos, ip FROM r"""
 EMAIL = "WITH " + _first("documents", "doc_id", f"regexp_extract_all(text, {lit(C.EMAIL_RE)})", f"lower(regexp_extract(v, '@([^@]*)$', 1)) NOT IN ({listed(C.PLACEHOLDER_EMAIL_DOMAINS)})", "email", 10) + " SELECT doc_id, pos, email FROM r"
 API = "WITH p AS (SELECT page_id, regexp_replace(url, '/(en|fr|de|es)/', '/v1/\\1/', 'g') || ' /api/list' AS text FROM pages), " + _first("p", "page_id", f"regexp_extract_all(text, {lit(C.API_RE)})", "true", "endpoint", 10) + " SELECT page_id, pos, endpoint FROM r"
 _HOST = "lower(regexp_extract({}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
@@ -62,6 +68,34 @@ INTERNAL_HOSTS = f"""
 WITH p AS (SELECT page_id, string_split(['api.dev.', 'latest.', 'localhost.', '10.0.0.1#', 'qa.'][page_id % 5 + 1] || {_HOST.format('url')}, '#')[1] AS host FROM pages)
 SELECT page_id, host, host <> '' AND (starts_with(host, 'localhost') OR starts_with(host, '127.0.0.1') OR starts_with(host, '0.0.0.0')
   OR (coalesce({_valid('host')}, false) AND {_private('host')}) OR list_has_any(string_split(host, '.'), [{listed(C.INTERNAL_LABELS)}])) AS internal FROM p"""
+# strings of a binary are runs of printable ASCII
+OTHER_HOSTS = ("latest.", "api.staging.", "cdn.", "10.0.0.7:8080/", "qa-")
+_PAGE_TEXT = rf"regexp_replace(concat_ws(chr(10), url, replace(url, '://', '://' || [{listed(OTHER_HOSTS)}][length(html) % {len(OTHER_HOSTS)} + 1]), substr(html, 1, 1000)), '[^\x20-\x7e]', chr(10), 'g')"
+NETWORK_ARTIFACTS = f"""
+WITH p AS (SELECT 'p' || page_id || '.so' AS path, {_PAGE_TEXT} AS text FROM pages),
+{_first("p", "path", f"list_transform(regexp_extract_all(text, {lit(C.URL_RE)}), lambda u: regexp_replace(u, '[.,;)\"''\"]+$', ''))", f"{_HOST.format('v')} <> '' AND NOT {_below(_HOST.format('v'), C.BOILERPLATE_DOMAINS)}", "url", 15)},
+h AS (SELECT path, url, {_HOST.format('url')} AS host FROM r)
+SELECT 'linux-network-artifact-discovery-internal/development-endpoint-referenced' AS rule_id, url AS evidence, min(path) AS file_path FROM h
+WHERE starts_with(host, 'localhost') OR starts_with(host, '127.0.0.1') OR starts_with(host, '0.0.0.0') OR (coalesce({_valid('host')}, false) AND {_private('host')}) OR list_has_any(string_split(host, '.'), [{listed(C.INTERNAL_LABELS)}]) GROUP BY url"""
+EMBEDDED = EMAIL.replace("SELECT doc_id, pos, email FROM r", "SELECT 'd' || doc_id || '.so' AS file_path, pos, email FROM r")
+_PARTS = [PLAIN_IMAGE[:CHECKSUM], PLAIN_IMAGE[CHECKSUM + 4 : ENTRY] + PLAIN_IMAGE[ENTRY + 8 :]]
+
+
+def _image_digest(text: str) -> str:
+    pad = f"unhex(repeat('00', CAST((8 - (octet_length(encode({text})) + {len(PLAIN_IMAGE)}) % 8) % 8 AS INT)))"
+    return "sha256(" + " || ".join([*(f"unhex('{p.hex()}')" for p in _PARTS), f"encode({text})", pad]) + ")"
+
+
+AUTHENTICODE = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT doc_id, {_image_digest("replace(text, 'token', 'entry')")} AS recorded, {_image_digest("text")} AS calculated FROM t)
+SELECT 'd' || doc_id || '.exe' AS path, 'sha256' AS algorithm, recorded, calculated, recorded = calculated AS verified FROM d"""
+ARCHIVE_LEVELS = """
+WITH d AS (SELECT doc_id, text, source || '-' || lang || '-' || (doc_id // 50) AS g FROM documents WHERE length(text) > 0),
+a AS (SELECT doc_id, text, g || '.' || ['zip', 'tar', 'tgz', '7z'][length(g) % 4 + 1] || ' > t' || doc_id || '.txt' AS path FROM d)
+SELECT path, CAST(1 AS INT) AS depth, sha256(text) AS sha256 FROM a WHERE doc_id % 5 <> 0
+UNION ALL SELECT path || '.zip', 1, NULL FROM a WHERE doc_id % 5 = 0
+UNION ALL SELECT path || '.zip > t' || doc_id || '.txt', 2, sha256(text) FROM a WHERE doc_id % 5 = 0"""
 PLAUSIBLE = r"""
 WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '([A-Za-z0-9]+)', 1)) AS sld FROM documents)
 SELECT sld || '.com' AS name,
@@ -224,7 +258,7 @@ SOURCE_RULES = """
 SELECT rule_id, severity, count(*) AS n FROM (
   SELECT CASE WHEN user_id % 2 = 0 THEN 'electron-node-integration' END AS rule_id, 'High' AS severity FROM events
   UNION ALL SELECT CASE WHEN event_id % 3 = 0 THEN 'electron-sandbox-off' END, 'Medium' FROM events
-  UNION ALL SELECT CASE WHEN event_id % 5 = 0 THEN 'electron-navigation-unrestricted' END, 'Medium' FROM events) WHERE rule_id IS NOT NULL GROUP BY ALL"""
+  UNION ALL SELECT CASE WHEN event_id % 5 = 0 AND event_id % 11 <> 0 THEN 'electron-navigation-unrestricted' END, 'Medium' FROM events) WHERE rule_id IS NOT NULL GROUP BY ALL"""
 RISKY_KEYS = ("debug", "ssl_verify", "password", "api_key", "password_min_length", "service_secret", "name")
 RISKY_VALUES = ("true", "false", "${X}", "changeme", "P%ssw0rd!Real", "12", "Qp8$wLz2!mRt")
 RISKY = f"""
@@ -237,7 +271,7 @@ SELECT key, value,
   OR (regexp_matches(last, 'password|passwd|pwd|secret|token|api_?key') AND NOT regexp_matches(last, 'length|lifetime|expir|timeout|policy|enabled|required|min|max|count|url|file|path|hint|type|name')
       AND NOT regexp_matches(v, '^([$][{{].*[}}]|[$][a-z_]+|%.*%|<.*>|changeme|change_me|example|placeholder|none|null|true|false|xxx+|[*]+|[0-9]{{1,5}})$') AND length(v) >= 6) AS risky,
   count(*) AS n FROM k GROUP BY ALL"""
-ROLL_UP = with_findings("SELECT module, rule_id, severity, count(DISTINCT file_path) AS n_files, array_to_string(list_sort(list(DISTINCT file_path))[1:20], ',') AS files FROM f WHERE rule_id = 'private-ip' GROUP BY ALL")
+ROLL_UP = with_findings("SELECT module, rule_id, severity, count(DISTINCT file_path) AS n_files, array_to_string(list_sort(list(DISTINCT file_path))[1:20], ',') AS files FROM f WHERE rule_id = 'hardcoded-ip' GROUP BY ALL")
 REPORT_FILTER = with_issues("SELECT rule_id, severity, affected_count, 'Secrets & Configuration' AS label FROM i WHERE module = 'secrets' AND contains(issue_title, 'address')")
 LIBRARIES = """
 SELECT module, array_to_string(list_sort(list(name))[1:30], ',') AS libraries FROM (

@@ -7,12 +7,10 @@ import stat
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from artiscope.binary import archives
 from artiscope.functions import constants as C
 
 # --- fixed values: kinds of files by extension, and names of credential files ---
@@ -77,6 +75,11 @@ def read_files(spark: SparkSession, folder: str, max_bytes: int = C.MAX_FILE_BYT
     return out
 
 
+def names_beside(spark: SparkSession, path: str) -> DataFrame:
+    """path of the files in a file's folder, not below it."""
+    return spark.read.format("binaryFile").load(os.path.dirname(path) or ".").select("path")
+
+
 def scannable(files: DataFrame) -> DataFrame:
     return files.where((file_class(F.col("path")) != "unknown") | is_secret_name(F.col("path")))
 
@@ -161,39 +164,3 @@ def read_modes(spark: SparkSession, folder: str) -> DataFrame:
     spark.dataSource.register(FileModes)
     return spark.read.format("file_modes").load(folder)
 
-
-MEMBERS = "path string, content binary, extracted_from string, depth int, note string"
-
-
-def expand(files: DataFrame, max_depth: int = 2, max_total: int = 2048 << 20, max_archives: int | None = 25) -> tuple[DataFrame, DataFrame]:
-    """Members of archives, level by level, and notes of what wasn't unpacked.
-
-    files: path, content. A member's path is archive > member. The first ``max_archives`` files by path that
-    are archives are opened (None: all); one archive may hold at most ``max_total`` bytes when unpacked.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content, depth in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                name = path.rsplit(" > ", 1)[-1].replace("\\", "/").rsplit("/", 1)[-1]
-                found, notes = archives.members(name, content or b"", max_total)
-                rows = [(f"{path} > {m}", body, path, depth + 1, None) for m, body in found] + [(path, None, path, depth + 1, n) for n in notes]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.binary(), pa.string(), pa.int32(), pa.string()))], names=["path", "content", "extracted_from", "depth", "note"])
-
-    low = F.lower(F.col("path"))
-    by_name = low.rlike(r"\.(" + "|".join(x[1:].replace(".", r"\.") for x in (*archives.ZIP_LIKE, *archives.TAR_LIKE, *archives.UNREADABLE, ".asar", ".gz", ".exe")) + ")$")
-    head = F.hex(F.substring("content", 1, 4))
-    level = files.where(by_name | head.isin("504B0304", "4D534346", "52617221", "377ABCAF") | head.startswith("1F8B")).select("path", "content")
-    if max_archives is not None:
-        level = level.orderBy("path").limit(max_archives)
-    level = level.withColumn("depth", F.lit(0))
-    members = notes = None
-    for _ in range(max_depth):
-        out = level.mapInArrow(run, MEMBERS)
-        good, bad = out.where("note is null").drop("note"), out.where("note is not null").select("path", "note")
-        members = good if members is None else members.unionByName(good)
-        notes = bad if notes is None else notes.unionByName(bad)
-        level = good.select("path", "content", "depth")
-    deeper = level.mapInArrow(run, MEMBERS).where("note is null").select(F.col("extracted_from").alias("path")).distinct().withColumn("note", F.lit("deeper than the limit"))
-    return members, notes.unionByName(deeper)

@@ -23,6 +23,12 @@ def test_ipv4(spark, text, want):
 
 def test_version_context_is_no_address(spark):
     assert one(spark, '<x version="6.0.0.0"/> 8.8.8.8', X.addresses) == ["8.8.8.8"]
+    # each place is judged by itself, also where one address begins like another
+    assert one(spark, 'version="6.0.0.0" server 6.0.0.0', X.addresses) == ["6.0.0.0"]
+    assert one(spark, "FileVersion=5.1.2.30 host 5.1.2.3", X.addresses) == ["5.1.2.3"]
+    assert one(spark, "host 5.1.2.3 ProductVersion : '5.1.2.3", X.addresses) == ["5.1.2.3"]
+    assert one(spark, "version" + " " * 41 + "= 9.9.9.9 version" + " " * 30 + "=8.8.8.8", X.addresses) == ["9.9.9.9"]
+    assert one(spark, "1.2.3.4;5.6.7.8 a7.7.7.7 256.1.1.1 0.0.0.0", X.addresses) == ["1.2.3.4", "5.6.7.8"]
 
 
 def test_hosts(spark):
