@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from artiscope.functions import constants as C
 from artiscope.functions import paths
 from artiscope.functions import text as X
-from artiscope.operators import binaries, config, dlls, grouping, indicators, platforms, reputation, rules, services
+from artiscope.operators import binaries, bundles, config, dlls, grouping, indicators, platforms, reputation, rules, services
 from artiscope.plans import specimens
 from artiscope.plans import sql as S
 from artiscope.sources import archives as AS
 from artiscope.sources import files as FS
 from artiscope.sources.tables import conversation_files, document_files, read
+from artiscope.sources.scratch import Scratch
 from artiscope.streaming import incremental
+from artiscope.streaming.cache import FindingCache, cached_scan
 
 #: Queries judge certificates as of this moment.
 AS_OF = datetime(2025, 1, 1, tzinfo=timezone.utc)
@@ -507,6 +509,45 @@ def archive_levels(spark: SparkSession, d: str) -> DataFrame:
     return members.select("path", "depth", F.when(~F.col("path").endswith(".zip"), F.sha2("content", 256)).alias("sha256"))
 
 
+@query("secret_bundles", S.BUNDLES)
+def secret_bundles(spark: SparkSession, d: str) -> DataFrame:
+    """Secrets of documents and conversations that stand near one another; above each token a password was written."""
+    added = F.concat(F.lit('password = "Hx7!'), F.length("text").cast("string"), F.lit('.Lantern"\ntoken = "'))
+    files = document_files(spark, d).unionByName(conversation_files(spark, d)).withColumn("text", F.replace("text", F.lit('token = "'), added))
+    found = rules.scan(files)
+    return bundles.bundles(found).select("file_path", "first_line", "last_line", "n_secrets", F.array_join("rules", ",").alias("rules"), "severity_rank")
+
+
+@query("decoded_tokens", S.TOKENS)
+def decoded_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Claims of tokens made of documents, out of the documents' texts."""
+    n = F.length("text")
+    url64 = lambda c: F.translate(F.base64(c.cast("binary")), "+/=\r\n", "-_")
+    head = F.concat(F.lit('{"typ":"JWT","alg":"'), F.when(n % 3 == 0, "none").otherwise("HS256"), F.lit('"}'))
+    body = F.to_json(F.struct(F.col("source").alias("iss"), F.left("text", F.lit(20)).alias("sub"), (F.lit(1_700_000_000) + n * 10_000).alias("exp")))
+    token = F.concat_ws(".", url64(head), url64(body), F.when(n % 3 == 0, "").otherwise(F.left(F.sha2("text", 256), F.lit(43))))
+    texts = read(spark, d, "documents").where(n > 0).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_path"), F.concat("text", F.lit("\nAuthorization: Bearer "), token, F.lit("; eyJub.eyJno.x eyJhbGci.eyJ.x")).alias("text"))
+    found = bundles.token_findings(texts, AS_OF)
+    claim = lambda k: F.get_json_object("extra", f"$.{k}").alias(k)
+    return found.select("file_path", "severity", claim("alg"), claim("iss"), claim("sub"), claim("exp").cast("bigint").alias("exp"))
+
+
+@query("finding_cache", S.CACHE)
+def finding_cache(spark: SparkSession, d: str) -> DataFrame:
+    """What a cache holds after three rescans of documents, of which some came, changed and went in between."""
+    k, text = F.col("doc_id"), F.col("text")
+    docs = read(spark, d, "documents").where(text.isNotNull()).select(F.concat_ws("/", "source", k.cast("string")).alias("path"), "text", k.alias("k"), F.length("text").alias("n"))
+    with_sum = lambda df: df.withColumn("sha256", F.sha2("text", 256))
+    states = [docs.where("n % 4 <> 1"), docs.where("n % 5 <> 2").withColumn("text", F.when(F.col("n") % 3 == 0, F.concat(text, F.lit(" more"))).otherwise(text))]
+    scratch = Scratch(spark)
+    cache = FindingCache(spark, f"{scratch.folder}/cache", buckets=16)
+    scan = lambda files: rules.scan(files.select(F.col("path").alias("file_path"), "text"))
+    for files in (*states, states[1]):
+        cached_scan(cache, with_sum(files), scan, "secrets")
+    counts = cache.findings().groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("n_findings"))
+    return cache.entries().join(counts, "path", "left").select("path", "module", "sha256", F.coalesce("n_findings", F.lit(0)).alias("n_findings"))
+
+
 # --- operators of a scan's end ---
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from artiscope.functions.findings import findings
 from artiscope.functions.paths import default_poc, localize_poc, relative, scrub
-from artiscope.operators import binaries, config, dlls, grouping, indicators, platforms, plugins, reputation, rules, services
+from artiscope.operators import binaries, bundles, config, dlls, grouping, indicators, platforms, plugins, reputation, rules, services
 from artiscope.operators.system_dlls import known
 from artiscope.sources import archives as AS
 from artiscope.sources import files as FS
@@ -82,7 +82,7 @@ def _secrets(found: DataFrame, texts: DataFrame, how: Options) -> list[DataFrame
     if how.entropy:
         hits.append(indicators.entropy_hits(rules.without_certificates(text)))
     settings = config.setting_findings(config.settings(found.where(kind.isNull())))
-    return [indicators.text_findings(texts, hits), rules.scan_keys(texts), rules.scan(strings, how.rules), settings]
+    return [indicators.text_findings(texts, hits), rules.scan_keys(texts), rules.scan(strings, how.rules), settings, bundles.token_findings(texts, how.as_of)]
 
 
 def _libraries(spark: SparkSession, found: DataFrame, hits: DataFrame, modes: DataFrame | None, how: Options) -> list[DataFrame]:

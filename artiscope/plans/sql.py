@@ -174,6 +174,23 @@ _OCC = "o AS (SELECT DISTINCT module, rule_id, lower(trim(title)) AS issue_title
 _ISSUES = f"i AS (SELECT module, rule_id, issue_title, severity, CASE severity {_RANKS} END AS severity_rank, count(*) AS affected_count, min(file_path) AS first_path FROM o GROUP BY ALL)"
 
 
+_BUNDLED = f"SELECT file_path, replace(text, 'token = \"', 'password = \"Hx7!' || length(text) || '.Lantern\"' || chr(10) || 'token = \"') AS text FROM ({_FILES} UNION ALL {_TURNS})"
+BUNDLES = f"""
+WITH x AS (SELECT DISTINCT file_path, line_number, column_number, rule_id, evidence, CASE severity {_RANKS} END AS severity_rank FROM ({_rules(_BUNDLED)})),
+s AS (SELECT *, CASE WHEN line_number - lag(line_number) OVER o <= 5 THEN 0 ELSE 1 END AS starts FROM x WINDOW o AS (PARTITION BY file_path ORDER BY line_number, column_number, rule_id, evidence)),
+r AS (SELECT *, sum(starts) OVER (PARTITION BY file_path ORDER BY line_number, column_number, rule_id, evidence ROWS UNBOUNDED PRECEDING) AS run FROM s)
+SELECT file_path, min(line_number) AS first_line, max(line_number) AS last_line, count(DISTINCT evidence) AS n_secrets, array_to_string(list_sort(list(DISTINCT rule_id)), ',') AS rules, max(severity_rank) AS severity_rank
+FROM r GROUP BY file_path, run HAVING count(DISTINCT evidence) >= 2"""
+TOKENS = """
+WITH d AS (SELECT doc_id, source, text, CAST(length(text) AS BIGINT) AS n FROM documents WHERE length(text) > 0),
+t AS (SELECT 'd' || doc_id AS file_path, CASE WHEN n % 3 = 0 THEN 'none' ELSE 'HS256' END AS alg, source AS iss, left(text, 20) AS sub, 1700000000 + n * 10000 AS exp FROM d)
+SELECT file_path, CASE WHEN alg = 'none' THEN 'High' WHEN exp <= 1735689600 THEN 'Low' ELSE 'Medium' END AS severity, alg, iss, sub, exp FROM t"""
+_CACHED = "SELECT source || '/' || doc_id AS file_path, CASE WHEN length(text) % 3 = 0 THEN text || ' more' ELSE text END AS text FROM documents WHERE length(text) % 5 <> 2"
+CACHE = f"""
+WITH n AS (SELECT file_path, count(*) AS n FROM ({_rules(_CACHED)}) GROUP BY file_path)
+SELECT d.file_path AS path, 'secrets' AS module, sha256(d.text) AS sha256, coalesce(n.n, 0) AS n_findings FROM ({_CACHED}) d LEFT JOIN n ON n.file_path = d.file_path"""
+
+
 def with_issues(select: str) -> str:
     return f"WITH f AS ({_FINDINGS}), {_OCC}, {_ISSUES} {select}"
 

@@ -155,3 +155,36 @@ def test_report_filters(spark):
     assert grouping.roll_up(f, "r", keep=1).first().asDict() == {"module": "m", "rule_id": "r", "severity": "High", "n_files": 2, "files": ["a/x.exe"]}
     assert [tuple(r) for r in grouping.hardening_summary(f).collect()] == [("a", "k=on")]
     assert one(spark, "dll_hijack", grouping.module_label) == "DLL Hijacking" and one(spark, "my_mod", grouping.module_label) == "My Mod"
+
+
+def test_bundles_of_secrets(spark):
+    from artiscope.functions.findings import findings
+    from artiscope.operators import bundles
+
+    rows = [("a", 1, 1, "r1", "x"), ("a", 6, 1, "r2", "y"), ("a", 6, 1, "r2", "y"), ("a", 12, 3, "r1", "z"), ("a", 40, 1, "r1", "q"), ("a", 41, 1, "r1", "q"), ("b", 1, 1, "r1", "x"), ("c", None, None, "r1", "x"), ("d", 3, 9, "r1", "k"), ("d", 3, 2, "r3", "m")]
+    df = spark.createDataFrame(rows, "f string, l int, c int, r string, e string")
+    found = findings(df, module="secrets", rule_id=F.col("r"), title="t", severity=F.when(F.col("r") == "r2", "High").otherwise("Low"), file_path=F.col("f"), evidence=F.col("e"), line_number=F.col("l"), column_number=F.col("c"))
+    got = {(r.file_path, r.first_line, r.last_line, r.n_secrets, tuple(r.rules), r.severity_rank) for r in bundles.bundles(found).collect()}
+    assert got == {("a", 1, 6, 2, ("r1", "r2"), 3), ("d", 3, 3, 2, ("r1", "r3"), 1)}
+    shown = {r.file_path: (r.severity, r.line_number, r.evidence) for r in bundles.bundle_findings(found).collect()}
+    assert shown == {"a": ("High", 1, "2 secrets: r1, r2"), "d": ("Low", 3, "2 secrets: r1, r3")}
+    assert bundles.bundles(found.limit(0)).count() == 0
+
+
+def test_claims_of_tokens(spark):
+    import base64
+    import json
+    from datetime import datetime, timezone
+
+    from artiscope.operators import bundles
+
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x, ensure_ascii=False).encode()).decode().rstrip("=")
+    token = lambda head, body, sig="c2ln": f"{part(head)}.{part(body)}.{sig}"
+    old, new = token({"alg": "RS256"}, {"iss": "orchard?~é", "exp": 100}), token({"alg": "HS256"}, {"sub": "u", "exp": 9_000_000_000, "aud": "web"})
+    none, junk = token({"alg": "none"}, {"exp": "soon"}, ""), token({"typ": "JWT"}, {"a": 1})
+    texts = spark.createDataFrame([("a", f"x {old} {old} y"), ("b", f"'{new}'"), ("c", none + " " + junk), ("d", "eyJ no"), ("e", None), ("f", "eyJhbGciOiJ!.eyJhbGciOiJ.x eyJ////////.eyJ////////.s eyJhbGciOiJIUzI1NiJ9.eyJ_____w.z")], "file_path string, text string")
+    got = {r.file_path: r for r in bundles.tokens(texts).where("file_path < 'f'").collect()}
+    assert set(got) == {"a", "b", "c"} and (got["a"].iss, got["a"].exp, got["a"].alg) == ("orchard?~é", 100, "RS256")
+    assert (got["b"].sub, got["b"].aud, got["c"].exp) == ("u", "web", None)
+    sev = {r.file_path: r.severity for r in bundles.token_findings(texts, datetime(2025, 1, 1, tzinfo=timezone.utc)).collect()}
+    assert {k: sev[k] for k in "abc"} == {"a": "Low", "b": "Medium", "c": "High"}
