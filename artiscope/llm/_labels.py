@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -23,4 +24,15 @@ def training_labels(labels: DataFrame, label: str, parts: int, part: int, id_col
 
 def first_rows(rows: DataFrame, limit: int, id_col: str = "doc_id") -> DataFrame:
     """At most ``limit`` rows, the same ones every time: the first by a hash of the id."""
-    return rows.orderBy(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), id_col).limit(limit)
+    return rows.orderBy(*_order(id_col)).limit(limit)
+
+
+def _order(id_col: str) -> list[Column]:
+    return [F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.col(id_col)]
+
+
+def within(ids: DataFrame, texts: DataFrame, size: Column, most: int, id_col: str = "doc_id") -> DataFrame:
+    """Of a bounded sample of ids, in its order, those whose texts' sizes add up to no more than ``most``: what is learnt from is bounded as a whole."""
+    sizes = texts.join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.max(size).cast("long").alias("size"))
+    upto = F.sum("size").over(W.orderBy(*_order(id_col)).rowsBetween(W.unboundedPreceding, 0))
+    return sizes.withColumn("upto", upto).where(F.col("upto") <= most).select(id_col)

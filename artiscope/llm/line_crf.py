@@ -7,7 +7,7 @@ between rounds (a bad document keeps at least one bad line). Forward-backward ma
 lines' lengths, are a document's quality; a logistic curve fitted to the same documents turns that into a
 score.
 
-Fitting uses a bounded sample of labelled rows (``MAX_ROWS``); every document is scored, over all lines of
+Fitting uses a bounded sample of labelled rows (``MAX_ROWS``, ``MAX_SAMPLE_LINES``); every document is scored, over all lines of
 its whole text.
 
 Results for odd input: a null or empty text is one empty line. Repeated rows score alike; of a repeated id
@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from artiscope.llm._labels import first_rows, held_out, training_labels
+from artiscope.llm._labels import first_rows, held_out, training_labels, within
 from artiscope.llm._scratch import table
 from artiscope.llm._worker import worker
 
 #: Labelled rows that the field is fitted to, at most, of either quality, and lines of a text among them; longer texts are scored, not learnt from.
 MAX_ROWS, MAX_LINES = 2500, 500
+#: Lines of all texts of a sample together, at most: the driver holds a few hundred bytes for each.
+MAX_SAMPLE_LINES = 400_000
 ROUNDS, STEPS, RATE, DECAY = 3, 120, 0.1, 1e-4
 THRESHOLD = 0.5
 
@@ -196,9 +198,11 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, flo
     return float(a[0]), float(a[1])
 
 
-def _sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, max_rows: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+def _sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, max_rows: int, max_lines: int = MAX_SAMPLE_LINES) -> list[tuple[np.ndarray, np.ndarray, int]]:
     chosen = first_rows(known.where("label = 1"), max_rows, id_col).unionByName(first_rows(known.where("label = 0"), max_rows, id_col))
-    texts = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) < MAX_LINES)
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    texts = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(breaks < MAX_LINES)
+    chosen = chosen.join(F.broadcast(within(chosen.select(id_col), texts, breaks + 1, max_lines, id_col)), id_col)
     # of repeated ids one text counts
     rows = texts.join(F.broadcast(chosen), id_col).groupBy(F.col(id_col).cast("string").alias("id"), "label").agg(F.min("text").alias("text")).select("id", "text", "label")
 
@@ -219,8 +223,8 @@ def _sample(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, max_r
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Field:
-    return fit(_sample(docs, training_labels(labels, "quality", parts, part, id_col), id_col, text_col, max_rows))
+def train(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_lines: int = MAX_SAMPLE_LINES) -> Field:
+    return fit(_sample(docs, training_labels(labels, "quality", parts, part, id_col), id_col, text_col, max_rows, max_lines))
 
 
 def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

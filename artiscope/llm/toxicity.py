@@ -5,7 +5,7 @@ unlabelled part, of which a share (the class prior) is toxic too. A linear class
 their beginnings minimizes the class-prior-corrected risk: prior * R+(positives) plus the risk of the
 unlabelled as negatives less the positives' part in it, kept from going below zero.
 
-The classifier is fitted on a bounded sample of rows (``MAX_POSITIVE``, ``MAX_UNLABELLED``); every
+The classifier is fitted on a bounded sample of rows (``MAX_POSITIVE``, ``MAX_UNLABELLED``, ``MAX_SAMPLE_CHARS``); every
 document is scored, over its whole text. A word's weight is computed once and remembered, so scoring is a
 sum over a document's distinct words.
 
@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from artiscope.llm._labels import first_rows, held_out, training_labels
+from artiscope.llm._labels import first_rows, held_out, training_labels, within
 from artiscope.llm._scratch import table
 from artiscope.llm._worker import worker
 
 PREFIXES = (4, 5, 6, 7, 8, 9)
 #: Rows of the training sample, at most, and characters of a text in it; longer texts are scored, not learnt from.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_CHARS = 2500, 6000, 1 << 20
+#: Characters of all texts of a sample together, at most: the driver holds four bytes or so for each.
+MAX_SAMPLE_CHARS = 64 << 20
 #: A feature is kept if positives hold it so much oftener than the unlabelled that chance is below this.
 CHANCE, MAX_FEATURES = 1e-5, 20_000
 EPOCHS, BATCH, RATE, DECAY = 60, 400, 0.05, 3e-3
@@ -184,7 +186,7 @@ def _feature_rows(docs: DataFrame, id_col: str, text_col: str) -> list[np.ndarra
     return [np.frombuffer(bytes(r["feats"]), "<u4") for r in sorted(rows, key=lambda r: (r["id"] or "", bytes(r["feats"])))]
 
 
-def train(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, id_col: str = "doc_id", text_col: str = "text", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, id_col: str = "doc_id", text_col: str = "text", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_chars: int = MAX_SAMPLE_CHARS) -> Model:
     known = training_labels(labels, "toxic", parts, part, id_col)
     counts = known.groupBy().agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).first()
     if not counts["toxic"]:
@@ -193,7 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 4, part: int = 2, id_
     toxic = first_rows(known.where("label = 1").select(id_col), max_positive, id_col)
     # of repeated ids one text counts
     texts = docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).where(F.length(text_col) <= MAX_CHARS)
-    one = lambda ids: texts.join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min(text_col).alias(text_col))
+    fitting = lambda ids: within(ids, texts, F.length(text_col), max_chars, id_col)
+    one = lambda ids: texts.join(F.broadcast(fitting(ids)), id_col).groupBy(id_col).agg(F.min(text_col).alias(text_col))
     positive = _feature_rows(one(toxic), id_col, text_col)
     # text of any document that isn't held out, confirmed or not: the unlabelled part must have the prior's share of toxic text
     others = first_rows(docs.where(~held_out(id_col, parts, part)).where(f"{id_col} is not null").select(id_col).distinct(), max_unlabelled, id_col)

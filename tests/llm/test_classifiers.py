@@ -152,3 +152,38 @@ def test_quality_of_odd_rows(spark):
     assert len(got) == 6 and all(r.score == 0.5 for r in got)
     assert max(r.n_lines for r in got) == 3001
     assert line_crf.score(docs.limit(0), line_crf.train(docs, none)).count() == 0
+
+
+def test_queries_score_odd_rows_with_a_trained_model(spark, tmp_path):
+    import zlib
+
+    docs, labels = make()
+    toxic, clean = docs[0][1], docs[2][1]
+    odd = [(9001, None), (9002, ""), (9003, " \n\n"), (9004, clean + ("\n" + clean) * 300), (9005, "x" * 300_000), (9006, toxic), (9006, toxic), (None, clean), (9007, "\u0000 \U0001d400 ß")]
+    spark.createDataFrame([(*d, "z", 0.5) for d in docs + odd], "doc_id long, text string, lang string, score double").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*labels, (9004, 1, 0), (9004, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for query, parts, part, cut, want in ((toxicity.op8_pu_toxicity, 4, 2, 0.3, {k: t for k, _, t in labels}), (line_crf.op10_line_crf_quality, 3, 1, 0.5, {k: q for k, q, _ in labels})):
+        got = query(spark, str(tmp_path)).collect()
+        assert len(got) == len(docs) + len(odd) and all(0 <= r.score <= 1 for r in got)
+        assert all(r.predicted == int(r.score >= cut) for r in got)
+        assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % parts == part) for r in got)
+        assert accuracy([r for r in got if r.doc_id is not None and r.doc_id < 9000], want) > 0.9
+        assert len({r.score for r in got}) > 1  # a trained model, not a constant
+        by = {}
+        for r in got:
+            by.setdefault(r.doc_id, set()).add(r.score)
+        assert len(by[9006]) == 1 and by[9001] == by[9002] and by[None] == by[2]
+    assert query is line_crf.op10_line_crf_quality and min(by[9004]) >= 0.5  # long and clean
+
+
+def test_samples_are_bounded_as_a_whole(spark):
+    from artiscope.llm._labels import first_rows, within
+
+    texts = spark.createDataFrame([(k, "y" * 10) for k in range(100)] + [(3, "y")], "doc_id long, text string")
+    ids = first_rows(texts.select("doc_id").distinct(), 40)
+    order = [r.doc_id for r in ids.collect()]
+    kept = {r.doc_id for r in within(ids, texts, F.length("text"), 95).collect()}
+    assert kept == set(order[:9])
+    assert within(ids, texts, F.length("text"), 5).count() == 0
+    docs, labels = frames(spark, *make())
+    assert toxicity.train(docs, labels, max_chars=20_000) is not None and line_crf.train(docs, labels, max_lines=300) is not None
