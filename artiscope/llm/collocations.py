@@ -263,16 +263,18 @@ ORACLE_SQL = {
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang,
          unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
-w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), x -> x <> '') AS w FROM p),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
 g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (
   SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS ks(k))),
 f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, count(*) AS f FROM g GROUP BY ALL),
 total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
 cand AS (SELECT lang, k, phrase, w, f AS a FROM f WHERE k >= 2 AND f >= 10),
+parts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, v.cut, array_to_string(c.w[1:v.cut], ' ') AS head, array_to_string(c.w[v.cut + 1:], ' ') AS tail
+  FROM cand c, (VALUES (1), (2)) AS v(cut) WHERE v.cut < c.k),
 cuts AS (
-  SELECT c.lang, c.k, c.phrase, c.w, c.a, l.k AS cut, l.f AS l, r.f AS r, (1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f) AS score
-  FROM cand c JOIN f l ON l.lang = c.lang AND l.k < c.k AND l.phrase = array_to_string(c.w[1:l.k], ' ')
-  JOIN f r ON r.lang = c.lang AND r.k = c.k - l.k AND r.phrase = array_to_string(c.w[l.k + 1:], ' ')),
+  SELECT p.lang, p.k, p.phrase, p.a, p.cut, l.f AS l, r.f AS r, (1000000::HUGEINT * p.a * p.a) // (l.f::HUGEINT * r.f) AS score
+  FROM parts p JOIN f l ON l.lang = p.lang AND l.phrase = p.head JOIN f r ON r.lang = p.lang AND r.phrase = p.tail),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 swallowed AS (
   SELECT DISTINCT s.lang, s.phrase FROM (
