@@ -521,7 +521,7 @@ def secret_bundles(spark: SparkSession, d: str) -> DataFrame:
 @query("decoded_tokens", S.TOKENS)
 def decoded_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Claims of tokens made of documents, out of the documents' texts."""
-    n = F.length("text")
+    n = F.length("text").cast("long")
     url64 = lambda c: F.translate(F.base64(c.cast("binary")), "+/=\r\n", "-_")
     head = F.concat(F.lit('{"typ":"JWT","alg":"'), F.when(n % 3 == 0, "none").otherwise("HS256"), F.lit('"}'))
     body = F.to_json(F.struct(F.col("source").alias("iss"), F.left("text", F.lit(20)).alias("sub"), (F.lit(1_700_000_000) + n * 10_000).alias("exp")))
