@@ -16,7 +16,7 @@ from artiscope.plans import specimens
 from artiscope.plans import sql as S
 from artiscope.sources import archives as AS
 from artiscope.sources import files as FS
-from artiscope.sources.tables import conversation_files, document_files, read
+from artiscope.sources.tables import conversation_files, document_files, read, spread
 from artiscope.sources.scratch import Scratch
 from artiscope.streaming import incremental
 from artiscope.streaming.cache import FindingCache, cached_scan
@@ -346,7 +346,7 @@ def binary_strings(spark: SparkSession, d: str) -> DataFrame:
 def pe_mitigations(spark: SparkSession, d: str) -> DataFrame:
     """Images made of parts: their size gives the mitigation flags, odd keys are 32-bit."""
     flags = (F.col("p_size") * 1301 + F.col("p_partkey") * 97) % 32768
-    rows = read(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".exe")).alias("path"), flags.cast("int").alias("flags"), (F.col("p_partkey") % 2 == 0).alias("wide"))
+    rows = spread(read(spark, d, "part").select("p_partkey", "p_size")).select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".exe")).alias("path"), flags.cast("int").alias("flags"), (F.col("p_partkey") % 2 == 0).alias("wide"))
     found = binaries.scan_binaries(specimens.made(rows, lambda flags, wide: specimens.image(flags, ("kernel32.dll",), wide)), AS_OF)
     return found.where(F.col("rule_id").isin("aslr-disabled", "aslr-high-entropy-va-disabled", "dep-disabled", "cfg-disabled", "safeseh-disabled")).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
 
@@ -364,7 +364,7 @@ def pe_imports(spark: SparkSession, d: str) -> DataFrame:
 def class_rules(spark: SparkSession, d: str) -> DataFrame:
     """Class files made of documents: a cipher and a digest by source and language, a connection with the document's number."""
     names = F.array(*map(F.lit, S.CIPHERS))
-    rows = read(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".class")).alias("path"), F.element_at(names, (F.col("doc_id") % len(S.CIPHERS) + 1).cast("int")).alias("cipher"), F.upper("lang").alias("lang"), F.concat(F.when(F.col("doc_id") % 4 == 0, "jdbc:db://h/?pwd=").otherwise("jdbc:db://h/?user="), F.col("doc_id").cast("string")).alias("url"))
+    rows = spread(read(spark, d, "documents").select("doc_id", "lang")).select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".class")).alias("path"), F.element_at(names, (F.col("doc_id") % len(S.CIPHERS) + 1).cast("int")).alias("cipher"), F.upper("lang").alias("lang"), F.concat(F.when(F.col("doc_id") % 4 == 0, "jdbc:db://h/?pwd=").otherwise("jdbc:db://h/?user="), F.col("doc_id").cast("string")).alias("url"))
 
     def build(cipher: str, lang: str, url: str) -> bytes:
         return specimens.java_class((("javax/crypto/Cipher", "getInstance"), ("java/security/MessageDigest", "getInstance")), (cipher, "MD5" if lang == "EN" else "SHA-256", url))
@@ -473,7 +473,7 @@ def network_artifacts(spark: SparkSession, d: str) -> DataFrame:
     """Internal hosts among the URLs that stand in binaries: each page's HTML and URL, and its URL on another host, are put into one."""
     hosts = F.array(*map(F.lit, S.OTHER_HOSTS))
     other = F.replace("url", F.lit("://"), F.concat(F.lit("://"), F.element_at(hosts, (F.length("html") % len(S.OTHER_HOSTS) + 1).cast("int"))))
-    rows = read(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".so")).alias("path"), F.concat_ws("\n", "url", other, F.substring("html", 1, 1000)).alias("text"))
+    rows = spread(read(spark, d, "pages").select("page_id", "url", "html")).select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".so")).alias("path"), F.concat_ws("\n", "url", other, F.substring("html", 1, 1000)).alias("text"))
     hits = binaries.binary_hits(specimens.made(rows, lambda text: specimens.elf_object((text or "").split("\n"))), AS_OF)
     urls = hits.where("rule_id = 'linux-binary-analysis-embedded-url(s)'").select("file_path", F.explode("items").alias("url"))
     return platforms.network_artifacts(urls).select("rule_id", "evidence", "file_path")

@@ -17,6 +17,7 @@ from artiscope.operators import binaries, bundles, config, dlls, grouping, indic
 from artiscope.operators.system_dlls import known
 from artiscope.sources import archives as AS
 from artiscope.sources import files as FS
+from artiscope.sources.batches import small_batches
 from artiscope.sources.scratch import Scratch
 
 MODULES = ("secrets", "dll_hijack", "signature", "re_exposure", "linux", "macos")
@@ -230,6 +231,7 @@ def run_scan(
     unknown = set(modules) - set(MODULES)
     if unknown:
         raise ValueError(f"unknown modules: {sorted(unknown)}")
+    small_batches(spark)
     how = Options(as_of or datetime.now(timezone.utc), tuple(modules), entropy, tuple(rules.load_rules(rule_folder)) if rule_folder else rules.DEFAULT_RULES, **options)
     root = os.path.dirname(folder) if single_file else folder
     found = FS.read_files(spark, folder).select("path", "content")
