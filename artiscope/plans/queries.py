@@ -389,7 +389,7 @@ def source_rules(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("event_id") % 7 == 0, r"const s = 'it\'s', r = /[`'\"]/; ").otherwise("const t = `a ${ f(`b`) } 'c`; "),
         F.lit("const w = new BrowserWindow({ webPreferences: { nodeIntegration: "), F.when(F.col("user_id") % 2 == 0, "true").otherwise("!1"), F.lit(", sandbox: "), F.when(F.col("event_id") % 3 == 0, "false").otherwise("true"), F.lit(" } });\n"), F.when(F.col("event_id") % 5 == 0, "w.loadURL('x')\n").otherwise("\n"), F.when(F.col("event_id") % 11 == 0, "// don't\nw.on(`will-navigate`, f); w.setWindowOpenHandler(g);").otherwise(""),
     )
-    files = read(spark, d, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit(".js")).alias("path"), text.cast("binary").alias("content"))
+    files = spread(read(spark, d, "events").select("event_id", "user_id")).select(F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit(".js")).alias("path"), text.cast("binary").alias("content"))
     found = binaries.scan_binaries(files, AS_OF).where("rule_id <> 'electron-hardening-summary'")
     return found.groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
 
@@ -405,7 +405,7 @@ def archive_members(spark: SparkSession, d: str) -> DataFrame:
 @query("settings_of_files", "SELECT 'e' || event_id || '.ini' AS file_path, 'app.user' AS key, CAST(user_id AS VARCHAR) AS value FROM events UNION ALL SELECT 'e' || event_id || '.ini', 'app.debug', CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'no' END FROM events")
 def settings_of_files(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("[app]\nuser = "), F.col("user_id").cast("string"), F.lit("\ndebug = "), F.when(F.col("user_id") % 2 == 0, "true").otherwise("no"), F.lit("\n"))
-    files = read(spark, d, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit(".ini")).alias("path"), text.cast("binary").alias("content"))
+    files = spread(read(spark, d, "events").select("event_id", "user_id")).select(F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit(".ini")).alias("path"), text.cast("binary").alias("content"))
     return config.settings(files).select("file_path", "key", "value")
 
 
