@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from artiscope.binary import archives
+from artiscope.sources.batches import file_rows, record_batches
 
 #: Bytes of members that one range holds, unless a block or a member is larger.
 RANGE_BYTES = 64 << 20
@@ -34,9 +35,8 @@ def is_candidate(path: str) -> F.Column:
     return F.lower(F.col(path)).rlike(r"\.(" + "|".join(x[1:].replace(".", r"\.") for x in ENDS) + ")$")
 
 
-def _open(path: str, content: pa.Scalar | None) -> BinaryIO:
-    body = content.as_py() if content is not None else None
-    return open(path, "rb") if body is None else io.BytesIO(body)
+def _open(path: str, content: bytes | None) -> BinaryIO:
+    return open(path, "rb") if content is None else io.BytesIO(content)
 
 
 def _name(path: str) -> str:
@@ -61,17 +61,18 @@ def _listed(most: int, limit: int):
     """For each archive a row with its total, and one for each range of its members."""
     schema = pa.schema([("root", pa.string()), ("path", pa.string()), ("total", pa.int64()), ("wanted", pa.list_(pa.int32())), ("note", pa.string())])
 
+    def rows(root: str, path: str, content: bytes | None) -> Iterator[tuple]:
+        try:
+            with _open(path, content) as f:
+                found = archives.listing(_name(path), f, limit)
+        except OSError as e:
+            found = archives.Listing("", note=f"{_name(path)}: {type(e).__name__}")
+        if found is not None:
+            yield root, path, found.total, None, found.note
+            yield from ((root, path, 0, r, None) for r in _ranges(found.entries, most))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for root, path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                try:
-                    with _open(path, content) as f:
-                        found = archives.listing(_name(path), f, limit)
-                except OSError as e:
-                    found = archives.Listing("", note=f"{_name(path)}: {type(e).__name__}")
-                if found is not None:
-                    rows = [(root, path, found.total, None, found.note)] + [(root, path, 0, r, None) for r in _ranges(found.entries, most)]
-                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+        yield from record_batches((r for row in file_rows(batches) for r in rows(*row)), schema.types, schema.names, lambda r: 4 * len(r[3] or ()))
 
     return run, "root string, path string, total long, wanted array<int>, note string"
 
@@ -80,20 +81,21 @@ def _unpacked(limit: int):
     """Members of ranges; a range that can't be read is a note."""
     schema = pa.schema([("root", pa.string()), ("path", pa.string()), ("content", pa.binary()), ("extracted_from", pa.string()), ("note", pa.string())])
 
+    def rows(root: str, path: str, content: bytes | None, wanted: list[int]) -> Iterator[tuple]:
+        note = None
+        try:
+            with _open(path, content) as f:
+                found = archives.listing(_name(path), f, limit)
+                entries = [found.entries[k] for k in wanted]
+                for e, body in zip(entries, archives.read(found.kind, f, entries), strict=True):
+                    yield root, f"{path} > {e.path}", body, path, None
+        except archives.BROKEN as e:
+            note = f"{_name(path)}: {type(e).__name__}" + (f" ({e})" if isinstance(e, archives.sevenzip.Unsupported) else "")
+        if note:
+            yield root, path, None, path, note
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for root, path, content, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-                note = None
-                try:
-                    with _open(path, content) as f:
-                        found = archives.listing(_name(path), f, limit)
-                        entries = [found.entries[k] for k in wanted]
-                        for e, body in zip(entries, archives.read(found.kind, f, entries), strict=True):
-                            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((root, f"{path} > {e.path}", body, path, None), schema.types)], schema=schema)
-                except archives.BROKEN as e:
-                    note = f"{_name(path)}: {type(e).__name__}" + (f" ({e})" if isinstance(e, archives.sevenzip.Unsupported) else "")
-                if note:
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((root, path, None, path, note), schema.types)], schema=schema)
+        yield from record_batches((r for row in file_rows(batches) for r in rows(*row)), schema.types, schema.names, lambda r: len(r[2] or b""))
 
     return run, "root string, path string, content binary, extracted_from string, note string"
 
