@@ -13,6 +13,7 @@ import json
 import uuid
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,7 +91,16 @@ class FindingCache:
         if batch and batch[1] <= now["batches"].get(batch[0], -1):
             return False
         gone = gone.select("path").distinct() if gone is not None else self.spark.createDataFrame([], "path string")
-        keys = scanned.select("path", "module", "sha256").dropDuplicates(["path", "module"])
+        # narrow rows that five joins and two writes read: files are read and hashed for them once
+        keys = scanned.select("path", "module", "sha256").dropDuplicates(["path", "module"]).persist(StorageLevel.MEMORY_AND_DISK)
+        gone = gone.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self._write(now, keys, gone, found, batch)
+        finally:
+            keys.unpersist()
+            gone.unpersist()
+
+    def _write(self, now: dict, keys: DataFrame, gone: DataFrame, found: DataFrame, batch: tuple[str, int] | None) -> bool:
         touched = sorted(r[0] for r in keys.select("path").unionByName(gone).select(self.bucket("path")).distinct().collect())
         folder = f"data/{now['version'] + 1}-{uuid.uuid4().hex}"
         if touched:
